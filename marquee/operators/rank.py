@@ -43,28 +43,34 @@ def pct_rank_avg(value: Column, partition_by: list | None = None) -> Column:
     return F.when(value.isNotNull(), (rank + (peers - 1) / 2.0) / n)
 
 
-def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: int = 64) -> DataFrame:
+def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: int = 64,
+                  by: list[str] | None = None) -> DataFrame:
     """Cumulative ``weight`` over ascending ``value`` (ties included) for a table of
-    distinct values, without a one-partition window.
+    distinct values (optionally per group ``by``), without a one-partition window.
 
     Values are cut into ``buckets`` ranges by approximate quantiles (a bounded list
-    of cut points), totals per range are offset with a window over at most
-    ``buckets`` rows, and the running sum inside a range is a window partitioned
-    by the range.  Exact: the cut points only decide how work is split.
+    of cut points per group), totals per range are offset with a window over at
+    most groups x ``buckets`` rows, and the running sum inside a range is a window
+    partitioned by (group, range).  Exact: the cut points only decide how the work
+    is split.
     """
+    by = list(by or [])
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = hist.agg(F.percentile_approx(value, qs, 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(c for c in cuts if c is not None))
-    if cuts:
-        arr = F.array(*[F.lit(c) for c in cuts])
-        b = F.size(F.filter(arr, lambda c: c < F.col(value)))
+    cuts = hist.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("_cuts"))
+    if by:
+        h = hist.join(F.broadcast(cuts), by)
+        b = F.size(F.filter(F.array_distinct(F.col("_cuts")), lambda c: c < F.col(value)))
+        h = h.withColumn("_b", b).drop("_cuts")
     else:
-        b = F.lit(0)
-    h = hist.withColumn("_b", b)
-    tot = h.groupBy("_b").agg(F.sum(weight).alias("_bt"))
-    off = tot.select("_b", (F.sum("_bt").over(Window.orderBy("_b")) - F.col("_bt")).alias("_off"))
-    h = h.join(F.broadcast(off), "_b")
-    run = F.sum(weight).over(Window.partitionBy("_b").orderBy(value)
+        cl = cuts.first()["_cuts"] or []
+        cl = sorted(set(c for c in cl if c is not None))
+        arr = F.array(*[F.lit(c) for c in cl]) if cl else None
+        h = hist.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col(value))) if cl else F.lit(0))
+    tot = h.groupBy(*by, "_b").agg(F.sum(weight).alias("_bt"))
+    off = tot.select(*by, "_b", (F.sum("_bt").over(Window.partitionBy(*by).orderBy("_b"))
+                                 - F.col("_bt")).alias("_off"))
+    h = h.join(F.broadcast(off), [*by, "_b"])
+    run = F.sum(weight).over(Window.partitionBy(*by, "_b").orderBy(value)
                              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return h.withColumn(out, run + F.col("_off")).drop("_b", "_off")
 

@@ -33,7 +33,7 @@ def rnd(df: DataFrame, places: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), places).alias(f.name))
+            cols.append((F.round(F.col(f"`{f.name}`").cast("double"), places) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -44,4 +44,4 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 # import the query modules so their decorators run
-from marquee.plans import q_linkage  # noqa: E402,F401
+from marquee.plans import q_linkage, q_profile  # noqa: E402,F401
