@@ -95,11 +95,11 @@ def release_year_cast(c, mode: str = "parity") -> Column:
     col = F.col(c) if isinstance(c, str) else c
     if mode == "parity":
         return F.coalesce(col, F.lit(0)).cast("string").cast("double").cast("bigint")
-    return F.try_cast(F.try_cast(col.cast("string"), "double"), "bigint")
+    return col.cast("string").try_cast("double").try_cast("bigint")
 
 
 def to_datetime_coerce(c) -> Column:
     """Invalid values -> null (pandas ``errors='coerce'``)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_cast(col.cast("string"), "timestamp_ntz"),
+    return F.coalesce(col.cast("string").try_cast("timestamp_ntz"),
                       F.try_to_timestamp(col.cast("string")).cast("timestamp_ntz"))

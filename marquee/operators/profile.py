@@ -269,8 +269,13 @@ def cardinality(df: DataFrame, cols: list[str], dropna: bool = False, approx: bo
 
 
 def mode_value(df: DataFrame, col: str) -> DataFrame:
-    """Most frequent non-null value, smallest on ties."""
-    return df.agg(F.mode(_q(col), True).alias("mode"))
+    """Most frequent non-null value, smallest on ties.
+
+    ``groupBy(value).count`` then ``min_by`` (partial aggregation) instead of the
+    ``mode`` aggregate, whose single final buffer would hold every distinct value.
+    """
+    vc = df.where(_q(col).isNotNull()).groupBy(_q(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return vc.agg(F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("mode"))
 
 
 # ---------------------------------------------------------------- correlation
