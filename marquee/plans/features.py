@@ -74,14 +74,16 @@ def reference_price(df: DataFrame, territory_base: DataFrame | None = None) -> D
 
     price = max(0, base * season[month(window_start)] * (1 + 0.25 * 2^(-days/180)))
             * (1 - 0.12 * min(1, log1p(units)/10)), rounded to 2 places,
-    with days = window_start - Jan 1 of release_year (the deal date stands in for
-    "today") and base = the per-territory median price (or a given table
+    with days = max(0, window_start - Jan 1 of release_year) (the deal date stands
+    in for "today") and base = the per-territory median price (or a given table
     ``territory, base_price``, broadcast: one row per territory).
     """
     if territory_base is None:
         territory_base = df.groupBy("territory").agg(F.median("price").alias("base_price"))
     ry = F.coalesce(F.col("release_year").cast("int"), F.year("window_start"))
-    days = F.datediff(F.to_date("window_start"), F.make_date(ry, F.lit(1), F.lit(1))).cast("double")
+    # age since release, floored at 0: a deal dated before the release gets the full uplift
+    days = F.greatest(F.lit(0.0), F.datediff(F.to_date("window_start"),
+                                             F.make_date(ry, F.lit(1), F.lit(1))).cast("double"))
     season = F.element_at(F.array(*[F.lit(x) for x in SEASONALITY]), F.month("window_start"))
     fresh = 1.0 + MAX_UPLIFT * F.exp(-F.log(F.lit(2.0)) * days / F.greatest(F.lit(1.0), F.lit(float(HALF_LIFE_DAYS))))
     vol = 1.0 - 0.12 * F.least(F.lit(1.0), F.log1p(F.coalesce(F.col("units"), F.lit(0.0))) / 10.0)

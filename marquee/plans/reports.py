@@ -122,3 +122,70 @@ def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
     for c in tim:
         out[f"trend_{c}"] = P.datetime_trend(src, c, "M")
     return {k: v for k, v in out.items() if v is not None}
+
+
+# ---------------------------------------------------------------- report datasets
+
+def report_eda(df: DataFrame) -> dict[str, DataFrame]:
+    """describe table, 30-bin histogram of the first numeric column, top-20 of the
+    first non-numeric column, 25-row preview."""
+    from marquee.functions.columns import select_dtypes
+    num = select_dtypes(df, "numeric")
+    cat = [c for c in df.columns if c not in num]
+    out = {"describe": P.describe_all(df), "preview": df.limit(25)}
+    if num:
+        out["histogram"] = P.histogram(df, num[0], 30)
+    if cat:
+        out["top_values"] = P.value_counts_top(df, cat[0], 20)
+    return out
+
+
+def report_visual(df: DataFrame) -> dict[str, DataFrame]:
+    """Scatter of the first two numeric columns and correlations of the first eight."""
+    from marquee.functions.columns import select_dtypes
+    num = select_dtypes(df, "numeric")
+    out = {}
+    if len(num) >= 2:
+        out["scatter"] = scatter_sample(df, num[0], num[1])
+    if num:
+        out["corr"] = P.corr_matrix(df, num[:8], places=None)
+    return out
+
+
+def report_model(pred: DataFrame, importances: DataFrame | None = None) -> dict[str, DataFrame]:
+    from marquee.operators import evaluate as EV
+    out = {"metrics": EV.regression_metrics(pred),
+           "ensembles": EV.regression_metrics(EV.ensemble_average(pred)).unionByName(
+               EV.regression_metrics(EV.ensemble_weighted(pred))),
+           "residuals": EV.residuals(pred),
+           "actual_vs_pred": EV.actual_vs_pred(pred)}
+    if importances is not None:
+        out["importances"] = importances.orderBy(F.desc(importances.columns[1])).limit(20)
+    return out
+
+
+def report_full(df: DataFrame, pred: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    out = {f"eda_{k}": v for k, v in report_eda(df).items()}
+    out.update({f"visual_{k}": v for k, v in report_visual(df).items()})
+    out.update({f"model_{k}": v for k, v in report_model(pred).items()})
+    out["meta"] = P.shape(df).select(F.lit(run_id).alias("run_id"), F.col("rows"))
+    return out
+
+
+def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, rows) for a bundle of report datasets."""
+    parts = [v.select(F.lit(k).alias("section"), F.lit(1).alias("_one")) for k, v in sections.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("section").agg(F.count("_one").alias("rows"))
+
+
+def scatter_sample(df: DataFrame, x: str, y: str, max_points: int | None = None, seed: int = 42) -> DataFrame:
+    """Rows where both are present; with ``max_points`` a deterministic hash sample of
+    at most that many points (top-n by hash: per-partition top-n, then merge)."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    if max_points is None:
+        return pairs
+    h = F.xxhash64(F.col("x"), F.col("y"), F.lit(seed))
+    return pairs.withColumn("_h", h).orderBy("_h").limit(max_points).drop("_h")
