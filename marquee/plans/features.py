@@ -69,7 +69,7 @@ HALF_LIFE_DAYS = 180
 MAX_UPLIFT = 0.25
 
 
-def reference_price(df: DataFrame, territory_base: DataFrame | None = None) -> DataFrame:
+def reference_price(df: DataFrame, territory_base: DataFrame | None = None, places: int = 2) -> DataFrame:
     """Re-aimed licensing price curve, deterministic per row.
 
     price = max(0, base * season[month(window_start)] * (1 + 0.25 * 2^(-days/180)))
@@ -89,4 +89,4 @@ def reference_price(df: DataFrame, territory_base: DataFrame | None = None) -> D
     vol = 1.0 - 0.12 * F.least(F.lit(1.0), F.log1p(F.coalesce(F.col("units"), F.lit(0.0))) / 10.0)
     price = F.greatest(F.lit(0.0), F.col("base_price") * season * fresh) * vol
     return (df.join(F.broadcast(territory_base), "territory", "left")
-            .withColumn("reference_price", F.round(price, 2)))
+            .withColumn("reference_price", F.round(price, places)))
