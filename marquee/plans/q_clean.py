@@ -89,7 +89,7 @@ def q_outliers_filter_report(spark, sf_dir):
 def _report_join_sql(before_sql, after_sql, cols, std_delta=False):
     stats = ["mean", "median", "missing", "std", "min", "q1", "q3", "max"]
     sel = ", ".join(
-        f"round(b.{s}, 6) as {s}_before, round(a.{s}, 6) as {s}_after" if s != "missing"
+        f"round(b.{s}, 6) + 0.0 as {s}_before, round(a.{s}, 6) + 0.0 as {s}_after" if s != "missing"
         else f"b.{s} as {s}_before, a.{s} as {s}_after" for s in stats)
     if std_delta:
         sel += ", round(a.std - b.std, 6) + 0.0 as std_delta"
