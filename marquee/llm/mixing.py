@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, ranked, read_table, seeded_hex, small
+from .common import Workspace, partitions, ranked, read_table, seeded_hex, small
 
 SEED = "marquee-mix-1"
 WEIGHTS = (3, 1, 2)
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
                         size.cast("long").alias("size"), seeded_hex(seed, F.col(id_col)).alias("_h"),
                         F.col(id_col).cast("string").alias("_id"), F.xxhash64(F.col(text_col)).alias("_x"))
     light = ws.save(light, "sizes")
-    buckets = max(1, -(-light.count() // ROWS_PER_BUCKET))
+    buckets = max(2 * partitions(spark), -(-light.count() // ROWS_PER_BUCKET))
     by_hash = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32))
     placed = ranked(light, ["src"], by_hash, [F.col("_h"), F.col("_id"), F.col("_x")], "off", F.col("size"))
     placed = ws.save(placed.select("_row", "src", "size", "off", F.monotonically_increasing_id().alias("rk")), "placed")
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     cut = arcs.select("src", "_lo", "_hi", "goal", "source_size", "blocks", F.explode(F.sequence(
         F.floor(F.col("_lo") * F.lit(cells / all_wide)), F.floor(F.col("_hi") * F.lit(cells / all_wide)))).alias("_cell"))
     slots = slots.join(small(cut), "_cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    slots = ranked(slots, ["src"], F.floor(F.col("slot") / F.lit(ROWS_PER_BUCKET)), [F.col("slot")], "_r")
+    slots = ranked(slots, ["src"], F.floor(F.col("slot") * F.lit(buckets) / F.lit(max(1, slots_n))), [F.col("slot")], "_r")
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * F.lit(block))
     played = (slots.withColumn("epoch", F.expr("_r div blocks"))
               .withColumn("block", F.expr("_r % blocks"))

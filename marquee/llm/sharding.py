@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, read_table, seeded_hex
+from .common import partitions, ranked, read_table, seeded_hex
 
 SEED = "marquee-shard-1"
 ROWS_PER_BUCKET = 20_000
@@ -35,7 +35,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", source_col:
     through the sorts; carried columns ride along, so name few of them where you can.
     """
     n = docs.count()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
+    buckets = max(2 * partitions(docs.sparkSession), -(-n // ROWS_PER_BUCKET))
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("shard", "slot")]
     rows = docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("_row"),
