@@ -80,6 +80,14 @@ def identified(ws: Workspace, docs: DataFrame, id_col: str, columns: dict[str, C
     return ws.save(ordered, "rows"), True
 
 
+def with_ids(out: DataFrame, rows: DataFrame, rekeyed: bool) -> DataFrame:
+    """Put the ids back in place of ``uid``: the same number, or looked up in the numbered table."""
+    if not rekeyed:
+        return out.select(F.col("uid").cast(rows.schema["_id"].dataType).alias("_id"), *[c for c in out.columns if c != "uid"])
+    ids = rows.select("uid", "_id")
+    return out.join(ids, "uid").select("_id", *[c for c in out.columns if c != "uid"])
+
+
 def seeded_hex(seed: str, *cols: Column) -> Column:
     """Reproducible shuffle key: md5 of the seed and the columns as text, null as an empty word."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).cast("binary"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from .exact_dedup import op7_exact_dedup
 from .mixing import op1_mixing
 from .sharding import op10_sharding
+from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
 
