@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import op7_exact_dedup
+from .jaccard_join import op8_jaccard_join
 from .mixing import op1_mixing
 from .sharding import op10_sharding
 from .substring_dedup import op2_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
