@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontamination
 from .exact_dedup import op7_exact_dedup
+from .html_extract import op4_html_extract
 from .jaccard_join import op8_jaccard_join
 from .mixing import op1_mixing
 from .sharding import op10_sharding
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
+from .toxicity import op5_toxicity
+from .warc_zip import op6_warc_zip
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_html_extract": op4_html_extract,
+    "op5_toxicity": op5_toxicity,
+    "op6_warc_zip": op6_warc_zip,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
