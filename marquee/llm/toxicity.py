@@ -8,7 +8,7 @@ Learning (labelled rows only):
 2. Misspellings: words within one edit of a lexicon word are hits, too, unless clean labelled
    documents use them (they are words of their own).
 3. A logistic model over a document's hit features is fitted on a bounded sample of labelled
-   rows (``FIT_ROWS``, in hash order).
+   rows (about ``FIT_ROWS``, chosen by hash).
 
 Matching: the Levenshtein automaton of a word and the lexicon trie are walked together, as
 one automaton over pairs (trie node, edits so far), made deterministic as words need it.
@@ -237,8 +237,11 @@ def learn(ws: Workspace, labelled: DataFrame) -> dict:
     # at most the words within one edit of the lexicon
     words_near = frozenset(r.term for r in counts.filter("clean > 0").select("term").mapInArrow(known, "term string").collect())
     model = {"terms": terms, "weights": weights, "known": words_near, "beta": None}
-    sample = labelled.select("h", "y", score_column(model, F.col("text")).alias("s")).orderBy("h").limit(FIT_ROWS)
-    got = sample.select("y", "s.features").collect()
+    # about FIT_ROWS rows by hash, never more than twice as many
+    one_in = max(1, -(-(n0 + n1) // FIT_ROWS))
+    sample = labelled.filter(F.pmod("h", F.lit(one_in)) == 0).limit(2 * FIT_ROWS)
+    got = sample.select("y", score_column(model, F.col("text")).alias("s")).select("y", "s.features").collect()
+    got.sort(key=lambda r: (r.y, r.features))
     x = np.array([[1.0, *r.features] for r in got])
     model["beta"] = fit_logistic(x, np.array([float(r.y) for r in got]))
     return model
