@@ -99,7 +99,8 @@ def phrase_matches(rows: DataFrame, found: DataFrame, windows: DataFrame) -> Dat
     """(uid, matches): a document's exact matches (pid, start, len)."""
     asked = (found.join(small(windows), "pid").groupBy("uid")
              .agg(F.collect_list(F.struct("pid", "start", "len", "phrase")).alias("asked")))
-    texts = rows.select("uid", words_of(F.col("text")).alias("w")).join(asked, "uid")
+    # texts, not their word lists, go through the join
+    texts = rows.select("uid", "text").join(asked, "uid").select("uid", "asked", words_of(F.col("text")).alias("w"))
     exact = F.filter("asked", lambda a: F.slice(F.col("w"), a["start"] + 1, a["len"]) == a["phrase"])
     return (texts.select("uid", F.transform(exact, lambda a: F.struct(a["pid"], a["start"], a["len"])).alias("matches"))
             .filter(F.size("matches") > 0))
