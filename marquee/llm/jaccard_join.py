@@ -19,7 +19,8 @@ Two documents link when their shingle sets have |A n B| / |A u B| of at least nu
 4. Blocks are the components of those edges. No link crosses blocks. In a block the
    whole sets are compared exactly, within tiles of bounded size: tiles are cut from
    the block in order of size, and every two tiles whose sizes admit a link meet in some
-   task. Pairs that are connected already are skipped, as only the groups are asked for.
+   task. Pairs without a common first shingle cannot link, and pairs that are connected
+   already are skipped, as only the groups are asked for.
 5. Verified edges give the groups, by rounds of large-star and small-star steps over
    written tables.
 
@@ -214,11 +215,20 @@ class Forest:
             self.label[self.label == y] = x
 
 
-def near(cells: np.ndarray, sizes: np.ndarray, i: int, lo: int, hi: int, num: int, den: int) -> np.ndarray:
-    """Which of the sets lo..hi-1 the cell counts let link with set i."""
-    apart = np.abs(cells[lo:hi].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1)
+def near(cells: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the other sets the cell counts let link with set i."""
+    apart = np.abs(cells[others].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1)
     # |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|) for linked sets
-    return lo + np.flatnonzero(apart * (den + num) <= (den - num) * (sizes[lo:hi] + sizes[i]))
+    return others[apart * (den + num) <= (den - num) * (sizes[others] + sizes[i])]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Shared members of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
 def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -235,7 +245,7 @@ def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
         left, right = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a == 2 and not old:
-                if num * sizes[a + 1] <= den * sizes[a] and len(near(cells, sizes, a + 1, a, a + 1, num, den)):
+                if num * sizes[a + 1] <= den * sizes[a] and len(near(cells, sizes, a + 1, np.arange(a, a + 1), num, den)):
                     left.append(uid[a])
                     right.append(uid[a + 1])
                 continue
@@ -246,7 +256,7 @@ def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
                 if lo >= i:
                     continue
                 label = forest.label
-                for j in near(cells, sizes, i, lo, i, num, den).tolist():
+                for j in near(cells, sizes, i, np.arange(lo, i), num, den).tolist():
                     if label[j - a] != label[i - a]:
                         forest.join(i - a, j - a)
                         left.append(uid[j])
@@ -300,15 +310,25 @@ def verified(rows: DataFrame, placed: DataFrame, width: int, num: int, den: int)
             both = len(np.unique(tile)) > 1
             forest = Forest(len(uid))
             low = np.searchsorted(sizes * den, sizes * num, "left")
+            lists: dict[int, list[int]] = {}      # inverted lists of first shingles, inside the tiles
             left, right = [], []
-            for i in range(1, len(uid)):
-                lo = int(low[i])
-                if lo >= i:
+            for i in range(len(uid)):
+                met: list[int] = []
+                n = int(sizes[i])
+                for k in sets[i][:n - least_overlap(n, num, den) + 1].tolist():
+                    have = lists.setdefault(k, [])
+                    met += have
+                    have.append(i)
+                if not met:
                     continue
-                for j in near(cells, sizes, i, lo, i, num, den).tolist():
-                    if forest.label[i] == forest.label[j] or (both and tile[i] == tile[j]):
+                others = np.unique(np.array(met))
+                others = others[(others >= low[i]) & (forest.label[others] != forest.label[i])]
+                if both:
+                    others = others[tile[others] != tile[i]]
+                for j in near(cells, sizes, i, others, num, den).tolist():
+                    if forest.label[i] == forest.label[j]:
                         continue
-                    common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+                    common = overlap(sets[i], sets[j])
                     if den * common >= num * (len(sets[i]) + len(sets[j]) - common):
                         forest.join(i, j)
                         left.append(uid[i])
