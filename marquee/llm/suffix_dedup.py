@@ -15,7 +15,8 @@ those that share an anchor. Consecutive windows with one anchor travel as one ru
    differ in bytes, their first occurrences go on to step 4.
 3. Boundaries: a gram that a splitter names may lie in several buckets. Each of them
    sends its local firsts, and firsts of equal runs are compared across the buckets.
-4. The bytes of the runs that go on are fetched, dealt by the same splitters, and in each
+4. The bytes of the runs that go on are fetched, dealt by the same splitters (only a heavy
+   gram is cut by them now, as its distinct runs are far fewer than its runs), and in each
    bucket their windows are sorted by multikey quicksort (eight bytes a step; runs that are
    equal to the end are set aside at once). Among equal windows the earliest start stays. For
    grams at a boundary the local firsts are compared across buckets by their window hashes.
@@ -51,7 +52,8 @@ GRAM = 24
 SAMPLE_DOCS = 2_000       # documents whose runs give the splitters
 SAMPLE_RUNS = 20_000      # and the most runs of them that the driver sorts
 CHUNK_RUNS = 400_000      # runs that a bucket looks at together in step 2
-CHUNK_TEXTS = 3_000       # runs whose windows are sorted together in step 4
+CHUNK_TEXTS = 10_000      # runs whose windows are sorted together in step 4
+HEAVY_RUNS = 100_000      # estimated runs from which step 4 deals a gram to several buckets
 
 _RUNS = "bucket int, key long, full long, uid long, at long"
 _SPAN, _REP, _EDGE = 0, 1, 2
@@ -79,24 +81,37 @@ def runs(rows: DataFrame, window: int, gram: int, split: Callable[[np.ndarray, n
     return rows.select("uid", "text").mapInArrow(scan, _RUNS)
 
 
-def splitters(rows: DataFrame, buckets: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, uid) pairs that cut a bounded sample of runs into equal parts."""
+def splitters(rows: DataFrame, buckets: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, uid) pairs that cut a bounded sample of runs into equal parts, and the keys estimated to be heavy."""
     n = rows.count()
     one_in = max(1, n // SAMPLE_DOCS)
     some = rows.filter(F.pmod(F.xxhash64("uid"), F.lit(one_in)) == 0)
-    sample = runs(some, window, gram, lambda key, uid: np.zeros(len(key), np.int32)).select("key", "uid")
-    got = sample.orderBy(F.xxhash64("key", "uid")).limit(SAMPLE_RUNS).collect()
+    sample = runs(some, window, gram, lambda key, uid: np.zeros(len(key), np.int32)).select("key", "uid", "at")
+    # the sampled documents are few, but may be long: a hash of the run's place thins their runs
+    thin = max(1, -(-sample.count() // SAMPLE_RUNS))
+    got = sample.filter(F.pmod(F.xxhash64("key", "uid", "at"), F.lit(thin)) == 0).limit(2 * SAMPLE_RUNS).collect()
     pairs = sorted((r.key, r.uid) for r in got)
     cuts = [pairs[len(pairs) * i // buckets] for i in range(1, buckets)] if pairs else []
-    return np.array([k for k, _ in cuts], dtype=np.int64), np.array([u for _, u in cuts], dtype=np.int64)
+    keys, times = np.unique(np.array([k for k, _ in pairs], dtype=np.int64), return_counts=True)
+    heavy = keys[times * one_in * thin >= HEAVY_RUNS]
+    return np.array([k for k, _ in cuts], dtype=np.int64), np.array([u for _, u in cuts], dtype=np.int64), heavy
 
 
 def splitting(cut_key: np.ndarray, cut_uid: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Bucket of each (key, uid) under the splitters."""
+    return _splitting(cut_key, cut_uid, None)
+
+
+def splitting_heavy(cut_key: np.ndarray, cut_uid: np.ndarray, heavy: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The same, but only heavy keys are dealt to several buckets; the others stay whole."""
+    return _splitting(cut_key, cut_uid, heavy)
+
+
+def _splitting(cut_key: np.ndarray, cut_uid: np.ndarray, only: np.ndarray | None):
     def split(key: np.ndarray, uid: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(cut_key, key, "left"), np.searchsorted(cut_key, key, "right")
         out = lo.copy()
-        for i in np.flatnonzero(lo < hi):
+        for i in np.flatnonzero((lo < hi) if only is None else (lo < hi) & np.isin(key, only)):
             out[i] = lo[i] + np.searchsorted(cut_uid[lo[i]:hi[i]], uid[i], "right")
         return out.astype(np.int32)
     return split
@@ -266,8 +281,8 @@ def _span_batch(uid: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Re
 def repeated_spans(ws: Workspace, rows: DataFrame, dealt: DataFrame, window: int, gram: int) -> DataFrame:
     """(uid, start, len): bytes covered by a window that also starts earlier."""
     buckets = partitions(ws.spark)
-    cut_key, cut_uid = splitters(rows, buckets, window, gram)
-    split = splitting(cut_key, cut_uid)
+    cut_key, cut_uid, heavy = splitters(rows, buckets, window, gram)
+    split, split_heavy = splitting(cut_key, cut_uid), splitting_heavy(cut_key, cut_uid, heavy)
     cut_key = np.unique(cut_key)
     seen = ws.save(sorted_runs(runs(rows, window, gram, split), buckets, cut_key, window), "runs")
     start, length = F.expr("at div 256"), F.expr(f"at % 256 + {window - 1}")
@@ -278,7 +293,7 @@ def repeated_spans(ws: Workspace, rows: DataFrame, dealt: DataFrame, window: int
     later = edges.filter("_r > 1").select("uid", start.alias("start"), length.alias("len"))
     wanted = (seen.filter(F.col("kind") == _REP).select("uid", "key", "at")
               .unionByName(edges.filter("_r = 1").select("uid", "key", "at")))
-    found = sorted_windows(fetch(dealt, wanted, window, split), buckets, cut_key, window)
+    found = sorted_windows(fetch(dealt, wanted, window, split_heavy), buckets, heavy, window)
     # sure rows are alone in their group by design; the others stay only where they are first
     across = Window.partitionBy("h1", "h2").orderBy("uid", "start")
     branched = (found.withColumn("_r", F.rank().over(across)).filter("sure or _r > 1").select("uid", "start", "len"))
