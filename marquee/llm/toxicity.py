@@ -16,7 +16,7 @@ A word costs about one step per letter, and most die after two or three.
 
 Context: each hit is scored in a window of words around it. Quotation marks around it and
 verbs of reporting or words about words lower it (quotation); address to the reader raises it
-(abuse).
+(abuse). A misspelt hit counts a quarter of a plain one, so that one chance likeness decides nothing.
 
 The lexicon has at most ``LEXICON`` terms (the strongest), a documented parameter, so the model
 that travels to the tasks is bounded; counts and scores cover all rows.
@@ -139,7 +139,8 @@ class Matcher(dict):
         return hit
 
 
-FEATURES = ["abuse", "misspelt", "quoted", "kinds", "share"]
+FEATURES = ["abuse", "quoted", "kinds", "share"]
+PART = 0.25               # what a misspelt or a quoted hit counts beside a plain one
 
 
 def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[float], list[str]]:
@@ -151,8 +152,8 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[fl
     if not at:
         return [0.0] * len(FEATURES), []
     spans = [m.span() for m in TOKEN.finditer(low)]
-    abuse = misspelt = quoted = 0.0
-    kinds = set()
+    abuse = quoted = total = 0.0
+    kinds: dict[int, float] = {}
     for i in at:
         term, edits = got[i]
         a, b = max(0, i - NEAR), min(len(words), i + NEAR + 1)
@@ -161,16 +162,16 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[fl
         around = words[a:i] + words[i + 1:b]
         reported = any(w in _REPORT for w in around)
         addressed = any(w in _ADDRESS for w in around)
-        w = weights[term]
+        part = PART if edits else 1.0
         if inside or (reported and not addressed):
-            quoted += w
-        elif edits:
-            misspelt += w * (1.25 if addressed else 1.0)
+            quoted += weights[term] * part
+            part *= PART
         else:
-            abuse += w * (1.25 if addressed else 1.0)
-        kinds.add(term)
-    return [math.log1p(abuse), math.log1p(misspelt), math.log1p(quoted), math.log1p(len(kinds)),
-            math.log1p(1000 * len(at) / len(words)) / 7], [words[i] for i in at]
+            abuse += weights[term] * part * (1.25 if addressed else 1.0)
+        kinds[term] = max(part, kinds.get(term, 0.0))
+        total += part
+    return [math.log1p(abuse), math.log1p(quoted), math.log1p(sum(kinds.values())),
+            math.log1p(1000 * total / len(words)) / 7], [words[i] for i in at]
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
@@ -270,9 +271,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
         if not wrong:
             break
         use[wrong] = False
-    # an edit away from a term counts at least a third of the term itself
-    i, j = FEATURES.index("abuse") + 1, FEATURES.index("misspelt") + 1
-    beta[j] = max(beta[j], beta[i] / 3)
     return beta.tolist()
 
 
