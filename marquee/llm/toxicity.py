@@ -2,7 +2,8 @@
 
 Learning (labelled rows only):
 1. Every term of every labelled text is counted by document and class, over all labelled
-   rows. Terms that stand out in toxic documents (log-likelihood ratio above 2 ln of the
+   rows; copies of a text (those with the same least hash of five-word shingles) speak once,
+   so that the words of a much-copied text do not pass for toxic terms. Terms that stand out in toxic documents (log-likelihood ratio above 2 ln of the
    vocabulary's size) make the lexicon, weighted by their log odds; beginnings of words that
    stand out in the same way over three terms or more enter as stems.
 2. Misspellings: words within one edit of a lexicon word are hits, too, unless clean labelled
@@ -41,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, read_table, small
+from .jaccard_join import shingle_sets
 
 FIT_ROWS = 20_000
 LEXICON = 5_000
@@ -174,6 +176,13 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[fl
             math.log1p(1000 * total / len(words)) / 7], [words[i] for i in at]
 
 
+@F.pandas_udf("long")
+def family(texts: pd.Series) -> pd.Series:
+    """Least hash of a text's five-word shingles: the same for copies, and for most near copies."""
+    sets = shingle_sets(pa.array(texts, type=pa.large_string(), from_pandas=True), 5)
+    return pd.Series([int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in sets], dtype="int64")
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, toxic, clean): documents of each class that hold a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
     labelled = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(small(known), F.col("_doc") == F.col("_id"))
-                .select("text", "y", F.xxhash64("_doc", "text").alias("h")))
+                .select("text", "y", F.xxhash64("_doc", "text").alias("h"), family(F.coalesce("text", F.lit(""))).alias("f")))
+    labelled = ws.save(labelled.groupBy("f", "y").agg(F.min(F.struct("h", "text")).alias("one")).select("one.text", "y", "one.h"), "labelled")
     return learn(ws, labelled)
 
 
