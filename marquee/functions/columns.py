@@ -51,12 +51,14 @@ def require_columns(df: DataFrame, required: Iterable[str], name: str = "frame")
 
 
 def preferred_column_order(df: DataFrame) -> DataFrame:
-    cols = df.columns
-    order = [c for c in PREFERRED_HEAD if c in cols]
-    order += sorted(c for c in cols if c.startswith("pv_"))
-    order += [c for c in PREFERRED_TAIL if c in cols and c not in order]
-    order += [c for c in cols if c not in order]
-    return df.select(*order)
+    """Stable sort of the columns by (group, place): head list, pv_ columns by name, tail list, the rest."""
+    def place(c: str) -> tuple:
+        if c in PREFERRED_HEAD:
+            return (0, PREFERRED_HEAD.index(c), "")
+        if c.startswith("pv_"):
+            return (1, 0, c)
+        return (2, PREFERRED_TAIL.index(c), "") if c in PREFERRED_TAIL else (3, 0, "")
+    return df.select(*sorted(df.columns, key=place))
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,

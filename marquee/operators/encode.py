@@ -12,23 +12,21 @@ from marquee.functions.text import normalize_category
 from marquee.operators.profile import _q
 from marquee.operators.rank import bounded_keys
 
-MAX_LEVELS = 1000
-
 
 def _safe(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values; raises beyond ``max_levels`` (use ``one_hot_sparse``)."""
-    rows = df.where(_q(col).isNotNull()).select(_q(col).alias("v")).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
+def levels(df: DataFrame, col: str, max_levels: int | None = None) -> list:
+    """Sorted distinct non-null values; ``max_levels`` is an optional guard that raises beyond it."""
+    rows = df.where(_q(col).isNotNull()).select(_q(col).alias("v")).distinct().collect()
+    if max_levels is not None and len(rows) > max_levels:
         raise ValueError(f"{col}: more than {max_levels} levels; use one_hot_sparse")
     return sorted(r["v"] for r in rows)
 
 
 def one_hot(df: DataFrame, cols: list[str], normalise: bool = True, drop_first: bool = False,
-            as_bool: bool = False, max_levels: int = MAX_LEVELS) -> DataFrame:
+            as_bool: bool = False, max_levels: int | None = None) -> DataFrame:
     """Dummy columns ``{col}_{level}`` for each level (sorted); originals dropped.
 
     ``normalise`` (UI path): strip/upper, "NAN"/null -> "UNKNOWN" first, int dummies.

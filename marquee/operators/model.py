@@ -24,16 +24,32 @@ from marquee.session import cut_lineage
 # ---------------------------------------------------------------- data prep
 
 def feature_target(df: DataFrame, target: str = "price", features: list[str] | None = None,
-                   key: str | None = None):
-    """Numeric target + features (default: the other numeric columns); rows with a
-    null in either are dropped; returns (assembled_df, features)."""
+                   key: str | None = None, on_missing: str = "error"):
+    """Numeric target + features (default: the other numeric columns); returns
+    (assembled_df, features). A null in a feature or the target is an error, unless
+    ``on_missing="drop"``, which leaves such rows out (``missing_rows`` counts them)."""
     feats = features or [c for c in select_dtypes(df, "numeric") if c != target]
     cols = ([key] if key else []) + feats + [target]
-    clean = df.select(*cols).dropna()
+    clean = df.select(*cols)
+    if on_missing == "drop":
+        clean = clean.dropna(subset=feats + [target])
+    elif on_missing == "error":
+        absent = F.raise_error(F.lit(f"null in {', '.join(feats + [target])}: pass on_missing='drop' to leave such rows out"))
+        whole = F.lit(True)
+        for c in feats + [target]:
+            whole = whole & F.col(c).isNotNull()
+        clean = clean.withColumn(target, F.when(whole, F.col(target)).otherwise(absent.cast(df.schema[target].dataType)))
+    else:
+        raise ValueError(f"on_missing: {on_missing}")
     va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")
     return va.transform(clean).withColumn("label", F.col(target).cast("double")), feats
 
 
+def missing_rows(df: DataFrame, target: str, features: list[str]) -> int:
+    """Rows that ``on_missing="drop"`` leaves out."""
+    return df.count() - df.dropna(subset=[*features, target]).count()
+
+
 def split_flag(key_cols: list[str], seed: int = 42, valid_pct: int = 20):
     """Deterministic 80/20 split column: true = validation row."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(100)) < valid_pct
@@ -174,11 +190,13 @@ def stacking_oof(df: DataFrame, target: str, features: list[str], key: str,
     oof = None
     for f in range(k):
         tr, va = data.where(F.col("_fold") != f), data.where(F.col("_fold") == f)
-        part = va.select(key, "label")
+        # every model of the fold scores the same rows in turn: no join, so keys may repeat
+        part = va
         for s in specs:
             m = fit(s, tr)
             fold_models[s.name].append(m)
-            part = part.join(m.transform(va).select(key, F.col("prediction").alias(f"oof_{s.name}")), key)
+            part = m.transform(part).withColumnRenamed("prediction", f"oof_{s.name}")
+        part = part.select(key, "label", *[f"oof_{s.name}" for s in specs])
         oof = part if oof is None else oof.unionByName(part)
     oof = cut_lineage(oof)
     meta_in = VectorAssembler(inputCols=[f"oof_{s.name}" for s in specs], outputCol="features").transform(oof)

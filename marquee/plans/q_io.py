@@ -61,7 +61,7 @@ def q_scan_tsv(spark, sf_dir):
 def q_scan_json(spark, sf_dir):
     p = scratch_path(spark, "customer.json")
     _customer(spark, sf_dir).write.json(p)
-    return _typed(IO.read_json(spark, p, multiline=False))
+    return _typed(IO.read_json(spark, p))
 
 
 @query("scan_by_suffix", "select ext, count(*) as rows from (select 'parquet' as ext from customer union all "
@@ -74,7 +74,7 @@ def q_scan_by_suffix(spark, sf_dir):
                         ("json", lambda w, p: w.json(p))]:
         p = scratch_path(spark, f"customer.{ext}")
         writer(c.write, p)
-        parts.append(IO.read_any(spark, p, **({"multiline": False} if ext == "json" else {}))
+        parts.append(IO.read_any(spark, p)
                      .select(F.lit(ext).alias("ext")))
     out = parts[0]
     for p in parts[1:]:
@@ -118,7 +118,7 @@ def q_sink_json(spark, sf_dir):
     lic = tables(spark, sf_dir)["licensing"]
     agg = lic.groupBy("territory").agg(F.count(F.lit(1)).alias("licences"), F.sum("price").alias("revenue"))
     path = IO.write_json(agg, scratch_path(spark, "profiles"), "run1", "territory_revenue", "20240101_0000")
-    back = IO.read_json(spark, path, multiline=False, schema="territory string, licences long, revenue double")
+    back = IO.read_json(spark, path, schema="territory string, licences long, revenue double")
     return rnd(back)
 
 

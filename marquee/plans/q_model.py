@@ -244,7 +244,7 @@ def q_split(spark, sf_dir):
 def q_feature_target(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     lic = tables(spark, sf_dir)["licensing"]
-    data, feats = M.feature_target(lic, "price", ["release_year", "units"], "license_id")
+    data, feats = M.feature_target(lic, "price", ["release_year", "units"], "license_id", on_missing="drop")
     return data.select("license_id", vector_to_array("features").alias("features"), "label")
 
 

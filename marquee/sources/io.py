@@ -20,9 +20,12 @@ def read_parquet(spark: SparkSession, path: str, base_dir: str | None = None) ->
     return spark.read.parquet(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Header CSV; an explicit schema avoids the inference pass (prefer it at scale)."""
-    r = spark.read.option("header", True)
+def read_csv(spark: SparkSession, path: str, schema=None, multiline: bool = False) -> DataFrame:
+    """Header CSV with RFC 4180 quotes (a quote inside a field is doubled).
+
+    ``multiline`` is for files whose quoted fields hold line breaks; such files are read
+    whole by one task each. An explicit schema avoids the inference pass (prefer it at scale)."""
+    r = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)
 
@@ -34,7 +37,8 @@ def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.csv(path)
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True, schema=None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, multiline: bool = False, schema=None) -> DataFrame:
+    """JSON lines (splittable); ``multiline`` for files that hold one document or array each."""
     r = spark.read.option("multiLine", multiline)
     if schema is not None:
         r = r.schema(schema)
@@ -74,11 +78,12 @@ def base_name(src: str) -> str:
 
 
 def ingest_raw(spark: SparkSession, src: str, root: str, run_id: str, cap_n_rows: int | None = None,
-               name: str | None = None) -> str:
+               name: str | None = None, **reader) -> str:
     """Any source -> ``<root>/<run_id>/<name>.parquet``; returns the path.
 
-    ``cap_n_rows`` is the reference's optional row cap (None = whole source)."""
-    df = read_any(spark, src)
+    ``cap_n_rows`` is an optional row cap (None = whole source); ``reader`` goes to the
+    source's reader (``schema``, ``multiline``)."""
+    df = read_any(spark, src, **reader)
     if cap_n_rows is not None:
         df = df.limit(cap_n_rows)
     out = posixpath.join(root, run_id, f"{name or base_name(src)}.parquet")
@@ -97,7 +102,7 @@ def write_parquet(df: DataFrame, root: str, run_id: str, name: str, partition_by
 
 def write_csv(df: DataFrame, root: str, run_id: str, name: str) -> str:
     out = posixpath.join(root, run_id, _with_suffix(name, ".csv"))
-    df.write.mode("overwrite").option("header", True).csv(out)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(out)
     return out
 
 

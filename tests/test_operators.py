@@ -188,3 +188,44 @@ def test_ridge_matches_closed_form(spark):
     m = M.fit(M.ModelSpec("Ridge", "ridge", {"alpha": 10.0}), data)
     b, a = M.fit_ridge_1d(df, "x", "y", 10.0)
     assert abs(m.coefficients[0] - b) < 1e-6 and abs(m.intercept - a) < 1e-4
+
+
+def test_json_and_csv_round_trips(spark, tmp_path):
+    """Default options lose no row: JSON lines, doubled quotes, commas; line breaks by explicit option."""
+    from marquee.sources import io as IO
+    rows = [(i, f'say "{i}", then go', "a,b") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, said string, other string")
+    path = IO.write_json(df, str(tmp_path), "r", "j")
+    assert IO.read_any(spark, path).count() == 100
+    out = IO.ingest_raw(spark, path, str(tmp_path), "run")
+    assert spark.read.parquet(out).count() == 100
+    path = IO.write_csv(df, str(tmp_path), "r", "c")
+    assert sorted(map(tuple, IO.read_csv(spark, path, "id long, said string, other string").collect())) == rows
+    f = tmp_path / "x.csv"
+    f.write_text('id,said\n1,"two\nlines ""quoted"""\n2,plain\n')
+    got = IO.read_csv(spark, str(f), "id long, said string", multiline=True).orderBy("id").collect()
+    assert [r.said for r in got] == ['two\nlines "quoted"', "plain"]
+
+
+def test_feature_target_says_what_it_drops(spark):
+    from marquee.operators import model as M
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 1.0), (3, 4.0, None)], "id long, x double, y double")
+    with pytest.raises(Exception, match="on_missing"):
+        M.feature_target(df, "y", ["x"], "id")[0].collect()
+    data, _ = M.feature_target(df, "y", ["x"], "id", on_missing="drop")
+    assert [r.id for r in data.collect()] == [1] and M.missing_rows(df, "y", ["x"]) == 2
+
+
+def test_stacking_keeps_rows_of_repeated_keys(spark):
+    from marquee.operators import model as M
+    rows = [(i % 50, float(i), float(2 * i + i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    specs = [M.ModelSpec("a", "linear", {}), M.ModelSpec("b", "ridge", {"alpha": 1.0})]
+    oof, _, predict = M.stacking_oof(df, "y", ["x"], "id", specs, k=3)
+    assert oof.count() == 200 and predict(df).count() == 200
+
+
+def test_one_hot_takes_any_number_of_levels(spark):
+    from marquee.operators import encode as E
+    df = spark.range(1500).selectExpr("cast(id as string) as c")
+    assert len(E.one_hot(df, ["c"], normalise=False).columns) == 1500
