@@ -46,7 +46,7 @@ def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.Lin
     emap = mapping if mapping is not None else L.entity_mapping(base, cat.core, cat.cand, cfg, mode)
     ranked = L.rank_entity_map(emap, cfg, mode)
     imdb = cat.core.select("title_id", "primaryTitle", "primary_title_norm", "releaseYear",
-                           "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"])
+                           "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"]).withColumn("_known", F.lit(True))
     if mode == "parity":
         out = base.join(ranked.select("license_id", "method", "match_score"), "license_id", "left")
     else:
@@ -58,8 +58,9 @@ def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.Lin
     out = out.withColumns({
         "title_final": F.coalesce(F.col("primaryTitle"), F.col("title")),
         "log1p_numVotes": F.log1p(F.coalesce(F.col("numVotes").cast("double"), F.lit(0.0))),
-        "has_entity": F.col("title_id").isNotNull().cast("int"),
-    })
+        # a title that the catalogue does not hold is no entity (parity counts any id)
+        "has_entity": F.col("title_id" if mode == "parity" else "_known").isNotNull().cast("int"),
+    }).drop("_known")
     return preferred_column_order(out)
 
 

@@ -120,10 +120,10 @@ def linkage_ctes(mode: str, upto: str = "ranked") -> str:
 
 def feature_master_sql(mode: str) -> str:
     if mode == "parity":
-        tid = "b.title_id"
+        tid, known = "b.title_id", "fm.title_id"
         fm_from = "base b left join ranked m on b.license_id = m.license_id"
     else:
-        tid = "coalesce(m.title_id, b.title_id)"
+        tid, known = "coalesce(m.title_id, b.title_id)", "i.title_id"
         fm_from = "base b left join ranked m on b.license_id = m.license_id"
     return f"""
 imdb as (select title_id, primaryTitle, primary_title_norm, releaseYear, titleType, averageRating, numVotes
@@ -137,5 +137,5 @@ feature_master as (
   select fm.*, i.primaryTitle, i.primary_title_norm, i.releaseYear, i.titleType, i.averageRating,
          i.numVotes, coalesce(i.primaryTitle, fm.title) as title_final,
          ln(1 + {D('coalesce(i.numVotes, 0)')}) as log1p_numVotes,
-         case when fm.title_id is not null then 1 else 0 end as has_entity
+         case when {known} is not null then 1 else 0 end as has_entity
   from fm left join imdb i on fm.title_id = i.title_id)"""
