@@ -26,4 +26,52 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+_OP2 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k
+        from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50) t),
+again as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as f from win) t where f < doc_id),
+gone as (select distinct doc_id, i + j as pos from again, (select unnest(range(0, 50)) as j) o),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+kept as (select words.doc_id, count(*) as n_kept, string_agg(word, ' ' order by words.pos) as t
+         from words left join gone on words.doc_id = gone.doc_id and words.pos = gone.pos
+         where gone.pos is null group by words.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n_kept, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id"""
+
+_OP3 = r"""
+with a as (select cast(item_id as varchar) as item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+asked as (select distinct item, n, array_to_string(ws[s:s + n - 1], ' ') as k
+          from (select item, ws, least(len(ws), 13) as n, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) as s
+                from a where len(ws) > 0) t),
+d as (select doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+places as (select doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') as k
+           from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as s
+                 from d, (select distinct n from asked) l where len(ws) >= n) t),
+found as (select doc_id, s, places.n, item from places join asked on places.n = asked.n and places.k = asked.k),
+hit as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from found) t group by doc_id),
+which as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, item from found) t group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hit on d.doc_id = hit.doc_id left join which on d.doc_id = which.doc_id"""
+
+_OP7 = """
+select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
+       cast(count(*) over (partition by coalesce(text, '')) as bigint) as group_size,
+       doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept, sha256(coalesce(text, '')) as text_sha256
+from documents"""
+
+#: the others are compared with brute force in tests/llm: SQL has no learnt model, no HTML parser, no CRC-32 or base32,
+#: no seeded shuffle of ours, or takes too long on whole tables
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": _OP2,
+    "op3_decontamination": _OP3,
+    "op7_exact_dedup": _OP7,
+}

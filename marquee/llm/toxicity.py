@@ -176,11 +176,14 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[fl
             math.log1p(1000 * total / len(words)) / 7], [words[i] for i in at]
 
 
-@F.pandas_udf("long")
-def family(texts: pd.Series) -> pd.Series:
+def family(text: Column) -> Column:
     """Least hash of a text's five-word shingles: the same for copies, and for most near copies."""
-    sets = shingle_sets(pa.array(texts, type=pa.large_string(), from_pandas=True), 5)
-    return pd.Series([int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in sets], dtype="int64")
+    @F.pandas_udf("long")
+    def least(texts: pd.Series) -> pd.Series:
+        sets = shingle_sets(pa.array(texts, type=pa.large_string(), from_pandas=True), 5)
+        return pd.Series([int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in sets], dtype="int64")
+
+    return least(text)
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
