@@ -96,14 +96,15 @@ def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int = 5) -> Dat
 
 
 def phrase_matches(rows: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
-    """(uid, matches): a document's exact matches (pid, start, len)."""
+    """(uid, matches): a document's exact matches (pid, start, len), which may be none."""
     asked = (found.join(small(windows), "pid").groupBy("uid")
              .agg(F.collect_list(F.struct("pid", "start", "len", "phrase")).alias("asked")))
-    # texts, not their word lists, go through the join
-    texts = rows.select("uid", "text").join(asked, "uid").select("uid", "asked", words_of(F.col("text")).alias("w"))
-    exact = F.filter("asked", lambda a: F.slice(F.col("w"), a["start"] + 1, a["len"]) == a["phrase"])
-    return (texts.select("uid", F.transform(exact, lambda a: F.struct(a["pid"], a["start"], a["len"])).alias("matches"))
-            .filter(F.size("matches") > 0))
+    # texts, not their word lists, go through the join; as the variable of a function the list is made
+    # once a row (a column of its own would be put in its place and made anew for every match)
+    texts = rows.select("uid", "text").join(asked, "uid")
+    exact = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter(
+        "asked", lambda a: F.slice(w, a["start"] + 1, a["len"]) == a["phrase"]))[0]
+    return texts.select("uid", F.transform(exact, lambda a: F.struct(a["pid"], a["start"], a["len"])).alias("matches"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -117,7 +118,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows, asked = windows_of(ws, items, window=window)
     index, terms = build_index(ws, rows, windows)
     rarest = rarest_terms(ws, index, terms, windows, RAREST)
-    matches = ws.save(phrase_matches(rows, candidates(index, rarest), windows), "matches")
+    # the filter reads the written rows; before the write it would compare every match twice
+    matches = ws.save(phrase_matches(rows, candidates(index, rarest), windows), "matches").filter(F.size("matches") > 0)
     covered = F.array_distinct(F.flatten(F.transform(
         "matches", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1))))
     hits = matches.select("uid", F.size(covered).cast("long").alias("n_hit"))
