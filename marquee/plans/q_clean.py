@@ -174,8 +174,8 @@ def _impute_report_sql(cols, tol=2.0):
             f"a.median as median_after from b join a on b.\"column\" = a.\"column\") "
             f"select \"column\", missing_before, missing_after, missing_before - missing_after as missing_reduction, "
             f"round(mean_before, 4) as mean_before, round(mean_after, 4) as mean_after, "
-            f"round(mean_after - mean_before, 4) as mean_delta, "
-            f"round({pct('mean_after - mean_before', 'mean_before')}, 4) as mean_delta_pct, "
+            f"round(mean_after - mean_before, 4) + 0.0 as mean_delta, "
+            f"round({pct('mean_after - mean_before', 'mean_before')}, 4) + 0.0 as mean_delta_pct, "
             f"coalesce(abs({pct('mean_after - mean_before', 'mean_before')}) <= {tol}, false) as mean_stable, "
             f"round(median_before, 4) as median_before, round(median_after, 4) as median_after, "
             f"round(median_after - median_before, 4) as median_delta, "
