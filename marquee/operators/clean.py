@@ -114,14 +114,6 @@ def row_bounds(df: DataFrame) -> DataFrame:
         F.count_if((days < WIN_DAYS_MIN) | (days > WIN_DAYS_MAX)).alias("window_days_out_of_range"))
 
 
-def row_bound_flags(df: DataFrame) -> DataFrame:
-    """Per-row rule columns (true = rule holds; null when an input is null)."""
-    days = F.datediff(F.to_date("window_end"), F.to_date("window_start"))
-    return df.withColumns({"ok_units": F.col("units") >= UNITS_MIN,
-                           "ok_price": F.col("price") >= PRICE_MIN,
-                           "ok_window": days.between(WIN_DAYS_MIN, WIN_DAYS_MAX)})
-
-
 # ---------------------------------------------------------------- imputation
 
 def impute(df: DataFrame, strategy: str = "median", columns: list[str] | None = None,

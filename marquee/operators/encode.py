@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,11 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import normalize_category
 from marquee.operators.profile import _q
-from marquee.operators.rank import bounded_keys
-
-
-def _safe(name: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]", "_", name)
+from marquee.session import cut_lineage
 
 
 def levels(df: DataFrame, col: str, max_levels: int | None = None) -> list:
@@ -31,7 +26,7 @@ def one_hot(df: DataFrame, cols: list[str], normalise: bool = True, drop_first:
 
     ``normalise`` (UI path): strip/upper, "NAN"/null -> "UNKNOWN" first, int dummies.
     Service path: ``drop_first=True, as_bool=True`` on raw values; null -> all zero.
-    Other columns keep their order and come first.
+    Other columns keep their order and come first.  A level's text is kept as it is.
     """
     work = df.withColumns({c: normalize_category(c) for c in cols}) if normalise else df
     dummies = []
@@ -41,21 +36,22 @@ def one_hot(df: DataFrame, cols: list[str], normalise: bool = True, drop_first:
             lv = lv[1:]
         for v in lv:
             d = F.coalesce(_q(c) == F.lit(v), F.lit(False))
-            dummies.append((d if as_bool else d.cast("int")).alias(_safe(f"{c}_{v}")))
+            dummies.append((d if as_bool else d.cast("int")).alias(f"{c}_{v}"))
     keep = [_q(c) for c in work.columns if c not in cols]
     return work.select(*keep, *dummies)
 
 
 def one_hot_sparse(df: DataFrame, cols: list[str], normalise: bool = True) -> DataFrame:
     """Scale variant: ``StringIndexer`` + ``OneHotEncoder`` into sparse vectors
-    ``{col}_ohe`` (levels ordered alphabetically, no dropped level)."""
+    ``{col}_ohe``, as long as there are levels (ordered alphabetically); null is all zero."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     work = df.withColumns({c: normalize_category(c) for c in cols}) if normalise else df
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
                             handleInvalid="keep") for c in cols]
+    # the indexer numbers null last, so dropping the last category drops that one only
     stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}_ohe" for c in cols],
-                                dropLast=False, handleInvalid="keep"))
+                                dropLast=True, handleInvalid="error"))
     out = Pipeline(stages=stages).fit(work).transform(work)
     return out.drop(*[f"{c}__idx" for c in cols], *cols)
 
@@ -72,7 +68,6 @@ class TargetEncoding:
     """Fitted level -> mean(target) tables (fit on training rows only to avoid leakage)."""
     cols: list[str]
     tables: dict
-    sizes: dict
     normalise: bool
 
     def transform(self, df: DataFrame, keep_original: bool = True) -> DataFrame:
@@ -93,20 +88,18 @@ class TargetEncoding:
         return out
 
 
-def target_encode_fit(df: DataFrame, cols: list[str], target: str = "price", normalise: bool = True,
-                      max_broadcast_levels: int = 100_000) -> TargetEncoding:
+def target_encode_fit(df: DataFrame, cols: list[str], target: str = "price", normalise: bool = True) -> TargetEncoding:
     """Mean of ``target`` per level (null level excluded, as pandas groupby does).
 
-    Level tables up to ``max_broadcast_levels`` rows are materialised once and
-    broadcast; larger ones are checkpointed and joined with a shuffle.
+    Level tables are checkpointed once; AQE chooses the joins by their size.
     """
     work = df.withColumns({c: normalize_category(c) for c in cols}) if normalise else df
-    tables, sizes = {}, {}
+    tables = {}
     for c in cols:
         t = (work.where(_q(c).isNotNull()).groupBy(_q(c).alias("_lvl"))
              .agg(F.avg(F.col(target).cast("double")).alias(f"{c}__target")))
-        tables[c], sizes[c] = bounded_keys(t, max_broadcast_levels)
-    return TargetEncoding(cols, tables, sizes, normalise)
+        tables[c] = cut_lineage(t)
+    return TargetEncoding(cols, tables, normalise)
 
 
 def target_encode(df: DataFrame, cols: list[str], target: str = "price", normalise: bool = True,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.stats import chi2_sf, f_sf, norm_ppf
+from marquee.operators.profile import group_quantiles
 
 
 def regression_metrics(pred: DataFrame, by: str = "model") -> DataFrame:
@@ -69,29 +70,30 @@ def residuals(pred: DataFrame) -> DataFrame:
 
 def actual_vs_pred(pred: DataFrame) -> DataFrame:
     """Pairs plus the identity line range [min(y), max(y)] per model."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("model")
-    return pred.select("row_id", "model", "y_true", "y_pred",
-                       F.min("y_true").over(w).alias("line_min"), F.max("y_true").over(w).alias("line_max"))
+    ends = pred.groupBy("model").agg(F.min("y_true").alias("line_min"), F.max("y_true").alias("line_max"))
+    return (pred.select("row_id", "model", "y_true", "y_pred").join(ends.withColumnRenamed("model", "_m"),
+                                                                   F.col("model").eqNullSafe(F.col("_m"))).drop("_m"))
 
 
 def qq_points(pred: DataFrame, points: int = 99, model: str | None = None, approx: bool = False) -> DataFrame:
     """Residual quantiles vs normal quantiles on a fixed probability grid, plus the
     standardised reference line (slope = std, intercept = mean of residuals).
 
-    No global sort: one grouped aggregation per model; ``approx`` uses the
-    mergeable ``percentile_approx`` sketch for very large residual sets."""
+    Quantiles come from a distributed histogram of the residuals; ``approx`` uses the
+    mergeable ``percentile_approx`` sketch."""
     p = pred if model is None else pred.where(F.col("model") == model)
-    r = (F.col("y_true") - F.col("y_pred"))
+    r = F.col("y_true") - F.col("y_pred")
     grid = [(i + 1) / (points + 1) for i in range(points)]
-    probs_arr = F.array(*[F.lit(g) for g in grid])
-    q = F.percentile_approx(r, probs_arr, 10000) if approx else F.percentile(r, probs_arr)
-    agg = p.groupBy("model").agg(q.cast("array<double>").alias("q"),
-                                 F.stddev_pop(r).alias("slope"), F.avg(r).alias("intercept"))
-    theo = F.array(*[F.lit(norm_ppf(g)) for g in grid])
-    probs = F.array(*[F.lit(g) for g in grid])
-    z = F.arrays_zip(probs.alias("p"), theo.alias("theoretical"), F.col("q").alias("sample"))
-    return agg.select("model", "slope", "intercept", F.explode(z).alias("z")).select(
+    line = p.groupBy("model").agg(F.stddev_pop(r).alias("slope"), F.avg(r).alias("intercept"))
+    if approx:
+        q = p.groupBy("model").agg(F.percentile_approx(r, grid, 10000).cast("array<double>").alias("q"))
+    else:
+        rows = p.select("model", r.cast("double").alias("r")).where(F.col("model").isNotNull() & F.col("r").isNotNull())
+        q = p.sparkSession.createDataFrame(sorted(group_quantiles(rows, "model", "r", grid).items()),
+                                           "model string, q array<double>")
+    z = F.arrays_zip(F.array(*[F.lit(g) for g in grid]).alias("p"),
+                     F.array(*[F.lit(norm_ppf(g)) for g in grid]).alias("theoretical"), F.col("q").alias("sample"))
+    return line.join(q, "model").select("model", "slope", "intercept", F.explode(z).alias("z")).select(
         "model", F.col("z.p").alias("p"), F.col("z.theoretical").alias("theoretical"),
         F.col("z.sample").alias("sample"), "slope", "intercept")
 
@@ -99,39 +101,28 @@ def qq_points(pred: DataFrame, points: int = 99, model: str | None = None, appro
 def breusch_pagan(df: DataFrame, resid: str, features: list[str]) -> dict:
     """LM, LM p, F, F p of the auxiliary regression e^2 ~ [1, X].
 
-    One aggregation builds the (p+1)x(p+1) Gram matrix X'X, X'u, sum u, sum u^2;
-    the solve is on the driver (p small).  Failure -> {}.
+    One aggregation gives the covariances of the features with each other and with e^2;
+    the solve is on the driver (p small).  Features without a unique solution -> {}.
     """
     u = F.pow(F.col(resid), 2)
-    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
-    k = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(u).alias("su"), F.sum(u * u).alias("suu")]
-    for i in range(k):
-        aggs.append(F.sum(xs[i] * u).alias(f"xu{i}"))
-        for j in range(i, k):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"xx{i}_{j}"))
-    src = df.where(F.col(resid).isNotNull())
-    for c in features:
-        src = src.where(F.col(c).isNotNull())
-    r = src.agg(*aggs).first()
+    xs = [F.col(c).cast("double") for c in features]
+    p = len(xs)
+    src = df.dropna(subset=[resid, *features])
+    r = src.agg(F.count(F.lit(1)).alias("n"), F.var_pop(u).alias("vu"),
+                *[F.covar_pop(x, u).alias(f"xu{i}") for i, x in enumerate(xs)],
+                *[F.covar_pop(xs[i], xs[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+    n = r["n"]
+    if n <= p + 1 or not r["vu"]:
+        return {}
+    sxx = np.array([[r[f"xx{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    sxu = np.array([r[f"xu{i}"] for i in range(p)])
     try:
-        n = r["n"]
-        xtx = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                xtx[i, j] = xtx[j, i] = r[f"xx{i}_{j}"]
-        xtu = np.array([r[f"xu{i}"] for i in range(k)])
-        beta = np.linalg.solve(xtx, xtu)
-        ubar = r["su"] / n
-        sst = r["suu"] - n * ubar * ubar
-        ssr = float(beta @ xtu) - n * ubar * ubar
-        r2 = ssr / sst
-        p = k - 1
-        lm = n * r2
-        fval = (r2 / p) / ((1 - r2) / (n - p - 1))
-        return {"LM": lm, "LM_pvalue": chi2_sf(lm, p), "F": fval, "F_pvalue": f_sf(fval, p, n - p - 1)}
-    except Exception:  # noqa: BLE001 - reference returns an empty result on failure
+        beta = np.linalg.solve(sxx, sxu)
+    except np.linalg.LinAlgError:
         return {}
+    r2 = float(beta @ sxu) / r["vu"]
+    fval = (r2 / p) / ((1 - r2) / (n - p - 1))
+    return {"LM": n * r2, "LM_pvalue": chi2_sf(n * r2, p), "F": fval, "F_pvalue": f_sf(fval, p, n - p - 1)}
 
 
 def format_metrics(metrics: DataFrame, cols: list[str] | None = None) -> DataFrame:

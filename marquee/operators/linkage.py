@@ -5,7 +5,7 @@ Scale notes
 * ``resolve_entities`` never loops over licences and never pairs licences with
   candidates.  The score depends only on the block key ``(release_year, iso2)``,
   so we (1) take the distinct block keys of the unmatched rows (bounded by
-  years x territories; counted before it is broadcast), (2) pre-aggregate the
+  years x territories), (2) pre-aggregate the
   candidates to ``(releaseYear, region, numVotes) -> count, min(title_id)``,
   (3) equi-join keys to the aggregated candidates on an exploded year key,
   (4) score each key's block with windows over aggregated rows, (5) pick the
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.functions.columns import ensure_columns, rename_alias, require_columns
+from marquee.functions.columns import CORE_OPTIONAL, release_year_cast, rename_alias, require_columns
 from marquee.functions.text import normalize_title, title_similarity
-from marquee.operators.rank import bounded_keys, broadcast_if_small
+from marquee.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,6 @@ class LinkageConfig:
     method_rank: dict = field(default_factory=lambda: {
         "id_exact": 5, "exact_title_norm_year": 4, "exact_title_norm": 3,
         "meta_year_region_votes": 2, "fuzzy_title_norm_year": 1, "no_match": 0})
-    # largest block-key table we broadcast (rows); beyond it a shuffle join is used
-    max_broadcast_keys: int = 200_000
 
 
 META_METHOD = "meta_year+region+votes"
@@ -54,25 +52,24 @@ MAPPING_COLUMNS = ["license_id", "title_id", "method", "match_score"]
 
 def catalog_core(basics: DataFrame | None, ratings: DataFrame | None,
                  year_mode: str = "parity") -> DataFrame:
-    """basics LEFT JOIN ratings on tconst, aliases, releaseYear, normalised title."""
-    if basics is not None and ratings is not None:
-        core = basics.join(ratings, "tconst", "left")
-    elif basics is not None:
-        core = basics
-    elif ratings is not None:
-        core = ratings
-    else:
+    """Title catalogue: one select over basics and ratings (either may be absent).
+
+    The derived columns are declared below by name; all others pass through as they are.
+    """
+    given = [t for t in (basics, ratings) if t is not None]
+    if not given:
         raise ValueError("catalogue needs basics or ratings")
-    if "primaryTitle" not in core.columns and "primary_title" in core.columns:
-        core = core.withColumnRenamed("primary_title", "primaryTitle")
-    if "startYear" in core.columns and "releaseYear" not in core.columns:
-        from marquee.functions.columns import release_year_cast
-        core = core.withColumn("releaseYear", release_year_cast("startYear", year_mode)).drop("startYear")
-    core = ensure_columns(core)
-    if "primaryTitle" not in core.columns:
-        core = core.withColumn("primaryTitle", F.lit(None).cast("string"))
-    core = core.withColumn("primary_title_norm", normalize_title("primaryTitle"))
-    return core.withColumnRenamed("tconst", "title_id")
+    joined = given[0] if len(given) == 1 else given[0].join(given[1], "tconst", "left")
+    have = set(joined.columns)
+    title = next((F.col(c) for c in ("primaryTitle", "primary_title") if c in have), F.lit(None).cast("string"))
+    year = release_year_cast("startYear", year_mode) if "startYear" in have and "releaseYear" not in have else None
+    declared = {"title_id": F.col("tconst"), "primaryTitle": title, "primary_title_norm": normalize_title(title)}
+    if year is not None:
+        declared["releaseYear"] = year
+    read = {"tconst", "primary_title" if "primaryTitle" not in have else "", "startYear" if year is not None else ""}
+    through = [c for c in joined.columns if c not in read and c not in declared]
+    absent = {c: F.lit(None).cast(t) for c, t in CORE_OPTIONAL.items() if c not in declared and c not in through}
+    return joined.select(*through, *[e.alias(c) for c, e in {**absent, **declared}.items()])
 
 
 def catalog_akas(akas: DataFrame) -> DataFrame:
@@ -132,7 +129,7 @@ def block_keys(rows: DataFrame, cfg: LinkageConfig) -> DataFrame:
 def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
     """Best candidate per block key: (k_year, k_iso2, best_title_id, meta_score).
 
-    Keys whose block is empty get no row.  Returns ``(winners, number_of_keys)``.
+    Keys whose block is empty get no row.
     """
     n = cfg.contingency_year
     votes = F.col("numVotes")
@@ -144,7 +141,7 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
         F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id"))
     by_year_region = by_year_region.where(F.col("c_year").isNotNull())
 
-    kb, nkeys = bounded_keys(keys, cfg.max_broadcast_keys)
+    kb = cut_lineage(keys)     # read by every branch below; AQE chooses the joins by its size
 
     ky = F.col("k_year")
     kr = F.col("k_iso2")
@@ -207,7 +204,7 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
     winners = scored.groupBy(*key).agg(
         F.min_by(F.struct(F.col("best_id").alias("title_id"), "meta_score"), order).alias("w")
     ).select(*key, F.col("w.title_id").alias("best_title_id"), F.col("w.meta_score").alias("meta_score"))
-    return winners, nkeys
+    return winners
 
 
 def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = LinkageConfig(),
@@ -216,11 +213,11 @@ def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = Link
     require_columns(rows, ["license_id", "release_year", "territory"], "base")
     require_columns(cand, ["title_id", "releaseYear", "numVotes", "region"], "cand")
     keys = block_keys(rows, cfg)
-    winners, nkeys = score_blocks(keys, cand, cfg)
+    winners = score_blocks(keys, cand, cfg)
     keyed = rows.select("license_id",
                         F.col("release_year").cast("bigint").alias("k_year"),
                         _iso2(F.col("territory"), cfg).alias("k_iso2"))
-    joined = keyed.join(broadcast_if_small(winners, nkeys, cfg.max_broadcast_keys),
+    joined = keyed.join(winners,
                         keyed.k_year.eqNullSafe(winners.k_year) & keyed.k_iso2.eqNullSafe(winners.k_iso2),
                         "left")
     ok = F.col("meta_score") >= F.lit(cfg.min_similarity_score)

@@ -1,18 +1,18 @@
 """Profiling aggregates: one wide aggregation + one unpivot, never one job per column.
 
-Quantiles are exact by default (pandas ``linear`` interpolation) and adaptive in
-how they are computed: a column whose approximate distinct count is under
-``max_exact_distinct`` uses Spark's exact ``percentile`` (its buffer is a
-value->count map, bounded by that check); a column above it goes through a
-distributed histogram (``groupBy(column, value)``) and exact running totals, so
-no single task ever holds every distinct value.  ``approx=True`` switches to the
-mergeable ``percentile_approx`` sketch.
+Quantiles are exact by default (pandas ``linear`` interpolation): a distributed
+histogram (``groupBy(column, value)``) and exact running totals find the order
+statistics, so no single task ever holds every distinct value.  ``approx=True``
+switches to the mergeable ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +20,7 @@ from pyspark.sql.window import Window
 
 from marquee.functions.columns import select_dtypes
 from marquee.operators.rank import running_total
-
-MAX_EXACT_DISTINCT = 2_000_000
+from marquee.session import cut_lineage
 
 
 def _q(name: str) -> Column:
@@ -53,62 +52,36 @@ def _long(df: DataFrame, cols: list[str], value: Column | None = None) -> DataFr
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False,
-              max_exact_distinct: int = MAX_EXACT_DISTINCT,
-              distinct_estimates: dict | None = None, accuracy: int = 10000) -> dict:
+              accuracy: int = 10000) -> dict:
     """{column: [q(p) for p in probs]} with linear interpolation; None for all-null columns."""
     if not cols:
         return {}
     if approx:
         row = df.agg(*[F.percentile_approx(_num(df, c), probs, accuracy).alias(c) for c in cols]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    est = distinct_estimates
-    if est is None:
-        r = df.agg(*[F.approx_count_distinct(_num(df, c)).alias(c) for c in cols]).first()
-        est = {c: r[c] for c in cols}
-    small = [c for c in cols if est[c] <= max_exact_distinct]
-    big = [c for c in cols if c not in small]
-    out = {}
-    if small:
-        row = df.agg(*[F.percentile(_num(df, c), F.array(*[F.lit(p) for p in probs])).alias(c)
-                       for c in small]).first()
-        for c in small:
-            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    if big:
-        out.update(_hist_quantiles(df, big, probs))
-    return out
+    found = group_quantiles(_long(df, cols), "column", "v", probs)
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
-def _hist_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """Exact quantiles through a distributed value histogram and running totals."""
-    spark = df.sparkSession
-    hist = _long(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    rt = running_total(hist, "v", "cnt", "le", by=["column"])
-    n = {r["column"]: r["n"] for r in hist.groupBy("column").agg(F.sum("cnt").alias("n")).collect()}
-    req = []
-    for c in cols:
-        if not n.get(c):
-            continue
-        for p in probs:
-            h = (n[c] - 1) * p
-            req += [(c, int(math.floor(h))), (c, int(math.ceil(h)))]
-    if not req:
-        return {c: [None] * len(probs) for c in cols}
-    rq = spark.createDataFrame(sorted(set(req)), "column string, k long")
+def group_quantiles(rows: DataFrame, group: str, value: str, probs: list[float]) -> dict:
+    """{group: [q(p) for p in probs]}, exact, for a bounded number of groups of non-null values.
+
+    The order statistics come from a distributed histogram and its running totals.
+    """
+    hist = cut_lineage(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt")))
+    sizes = {r[group]: r["n"] for r in hist.groupBy(group).agg(F.sum("cnt").alias("n")).collect()}
+    wanted = {g: [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs] for g, n in sizes.items()}
+    asked = sorted({(g, k) for g, at in wanted.items() for _, lo, hi in at for k in (lo, hi)})
+    if not asked:
+        return {}
+    kind = rows.schema[group].dataType.simpleString()
+    asked = rows.sparkSession.createDataFrame(asked, f"`{group}` {kind}, k long")
     # order statistic k (0-based) is the value whose count range [le-cnt, le-1] holds k
-    hit = rt.join(F.broadcast(rq), "column").where((F.col("le") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("le")))
-    vals = {(r["column"], r["k"]): r["v"] for r in hit.select("column", "k", "v").collect()}
-    out = {}
-    for c in cols:
-        if not n.get(c):
-            out[c] = [None] * len(probs)
-            continue
-        qs = []
-        for p in probs:
-            h = (n[c] - 1) * p
-            lo, hi = vals[(c, int(math.floor(h)))], vals[(c, int(math.ceil(h)))]
-            qs.append(lo + (h - math.floor(h)) * (hi - lo))
-        out[c] = qs
-    return out
+    totals = running_total(hist, value, "cnt", "le", by=[group])
+    hit = totals.join(F.broadcast(asked), group).where((F.col("le") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("le")))
+    at_rank = {(r[group], r["k"]): r[value] for r in hit.select(group, "k", value).collect()}
+    return {g: [at_rank[(g, lo)] + (h - lo) * (at_rank[(g, hi)] - at_rank[(g, lo)]) for h, lo, hi in at]
+            for g, at in wanted.items()}
 
 
 # ---------------------------------------------------------------- shape / missing
@@ -160,11 +133,9 @@ def num_summary(df: DataFrame, cols: list[str] | None = None, approx: bool = Fal
         x = _num(df, c)
         aggs += [F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"),
                  F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"),
-                 F.count_if(_missing(df, c)).alias(f"{c}|missing"),
-                 F.approx_count_distinct(x).alias(f"{c}|nd")]
+                 F.count_if(_missing(df, c)).alias(f"{c}|missing")]
     r = df.agg(*aggs).first()
-    qs = quantiles(df, num, [0.5, 0.25, 0.75], approx=approx,
-                   distinct_estimates={c: r[f"{c}|nd"] for c in num})
+    qs = quantiles(df, num, [0.5, 0.25, 0.75], approx=approx)
     rows = [(c, r[f"{c}|mean"], qs[c][0], r[f"{c}|std"], r[f"{c}|min"], qs[c][1], qs[c][2],
              r[f"{c}|max"], int(r[f"{c}|missing"])) for c in num]
     return spark.createDataFrame(rows, _SUMMARY_SCHEMA)
@@ -195,14 +166,13 @@ def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
     for c, x in vals.items():
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.max(x).alias(f"{c}|max"), F.approx_count_distinct(x).alias(f"{c}|nd")]
+                 F.max(x).alias(f"{c}|max")]
     aggs += [F.count(_q(c)).alias(f"{c}|count") for c in cat]
     r = df.agg(*aggs).first() if aggs else None
     qs = {}
     if vals:
         tmp = df.select(*[x.alias(c) for c, x in vals.items()])
-        qs = quantiles(tmp, list(vals), [0.25, 0.5, 0.75], approx=approx,
-                       distinct_estimates={c: r[f"{c}|nd"] for c in vals})
+        qs = quantiles(tmp, list(vals), [0.25, 0.5, 0.75], approx=approx)
     rows = []
     for c in df.columns:
         if c in vals:
@@ -280,31 +250,68 @@ def mode_value(df: DataFrame, col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation
 
+_MOMENTS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double, " \
+           "xlo double, xhi double, ylo double, yhi double"
+
+
+def _pair_moments(p: int):
+    """Per partition: moment sums of every pair of ``p`` columns over the rows where both are present."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        lo, hi = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            z, m = np.where(there, x, 0.0), there.astype(float)
+            n += m.T @ m
+            sx += z.T @ m
+            sxx += (z * z).T @ m
+            sxy += z.T @ z
+            least, most = np.where(there, x, np.inf), np.where(there, x, -np.inf)
+            for j in range(p):                  # extremes of every column where column j is present
+                rows = there[:, j]
+                if rows.any():
+                    lo[:, j] = np.minimum(lo[:, j], least[rows].min(axis=0))
+                    hi[:, j] = np.maximum(hi[:, j], most[rows].max(axis=0))
+        i, j = np.triu_indices(p)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+             *[pa.array(a) for a in (n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j],
+                                     lo[i, j], hi[i, j], lo[j, i], hi[j, i])]],
+            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy", "xlo", "xhi", "ylo", "yhi"])
+    return scan
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, places: int | None = 3) -> DataFrame:
     """Pairwise-complete Pearson correlation as (col_a, col_b, corr); constant -> null.
 
-    One aggregation holds the covariance / variance terms of every pair; each pair
-    masks rows where either side is missing, as pandas does.
+    Each partition turns its rows into one matrix of moment sums (numpy on Arrow batches),
+    and the matrices are added by pair, so the plan does not grow with the number of
+    columns.  Values are centred by the column means first, which keeps the digits.
     """
-    num = cols or select_dtypes(df, "numeric")
-    aggs = []
-    pairs = [(a, b) for i, a in enumerate(num) for b in num[i:]]
-    for k, (a, b) in enumerate(pairs):
-        x, y = _num(df, a), _num(df, b)
-        xm = F.when(y.isNotNull(), x)
-        ym = F.when(x.isNotNull(), y)
-        den = F.stddev_pop(xm) * F.stddev_pop(ym)
-        r = F.when(den > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.covar_pop(xm, ym) / den)))
-        if places is not None:
-            r = F.round(r, places) + F.lit(0.0)     # + 0.0 turns -0.0 into 0.0
-        aggs.append(r.alias(f"p{k}"))
-    wide = df.agg(*aggs)
-    items = []
-    for k, (a, b) in enumerate(pairs):
-        items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{k}").alias("corr")))
-        if a != b:
-            items.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{k}").alias("corr")))
-    return wide.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    num = list(cols or select_dtypes(df, "numeric"))
+    if not num:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    means = df.agg(*[F.avg(_num(df, c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
+    centre = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    wide = df.select(*[(_num(df, c) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(num, centre))])
+    parts = wide.mapInArrow(_pair_moments(len(num)), _MOMENTS).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+        *[F.min(c).alias(c) for c in ("xlo", "ylo")], *[F.max(c).alias(c) for c in ("xhi", "yhi")])
+    spread = F.sqrt(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * F.sqrt(
+        F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))
+    r = F.when((F.col("n") > 0) & varies, F.when(spread > 0, F.least(F.lit(1.0), F.greatest(
+        F.lit(-1.0), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread))))
+    if places is not None:
+        r = F.round(r, places) + F.lit(0.0)     # + 0.0 turns -0.0 into 0.0
+    p = len(num)
+    grid = df.sparkSession.range(p * p).select((F.col("id") / p).cast("int").alias("a"), (F.col("id") % p).cast("int").alias("b"))
+    pairs = grid.join(parts, (F.least("a", "b") == F.col("i")) & (F.greatest("a", "b") == F.col("j")), "left")
+    name = F.array(*[F.lit(c) for c in num])
+    return pairs.select(name[F.col("a")].alias("col_a"), name[F.col("b")].alias("col_b"), r.alias("corr"))
 
 
 # ---------------------------------------------------------------- datetime
@@ -319,9 +326,8 @@ def datetime_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                  F.count_if(t.isNull()).alias(f"{c}|miss")]
     wide = df.agg(*aggs)
 
-    def rng(c):
-        d = F.unix_micros(F.col(f"`{c}|max`").cast("timestamp")) - F.unix_micros(F.col(f"`{c}|min`").cast("timestamp"))
-        return F.floor(d / F.lit(86_400_000_000)).cast("long")
+    def rng(c):   # a difference of zone-less times knows no clock changes
+        return F.extract(F.lit("DAY"), F.col(f"`{c}|max`") - F.col(f"`{c}|min`")).cast("long")
 
     items = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}|n`").alias("count"),
                       F.col(f"`{c}|min`").alias("min"), F.col(f"`{c}|max`").alias("max"),
@@ -378,15 +384,15 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def _box_from(df: DataFrame, x: Column, group: list, q: DataFrame) -> DataFrame:
-    """Whiskers and flier counts given per-group quartiles ``q`` (group..., q1, median, q3)."""
+    """Whiskers (never inside the box) and flier counts given per-group quartiles ``q`` (group..., q1, median, q3)."""
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     j = df.select(*group, x.alias("_x")).where(F.col("_x").isNotNull())
     j = j.join(F.broadcast(q), group)
     inside = (F.col("_x") >= lo_f) & (F.col("_x") <= hi_f)
     return j.groupBy(*group, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("_x"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("_x"))).alias("whisker_hi"),
+        F.least(F.min(F.when(inside, F.col("_x"))), F.col("q1")).alias("whisker_lo"),
+        F.greatest(F.max(F.when(inside, F.col("_x"))), F.col("q3")).alias("whisker_hi"),
         F.count_if(~inside).alias("fliers"), F.count(F.lit(1)).alias("n"))
 
 
@@ -403,11 +409,14 @@ def box_stats(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame
 def month_box(df: DataFrame, ts: str, val: str, approx: bool = False) -> DataFrame:
     """Box statistics of ``val`` per month of ``ts`` (both non-null).
 
-    Quartiles per month come from one grouped aggregation (12 groups)."""
+    Quartiles come from a distributed histogram, so no task sorts a whole month."""
     x = _num(df, val)
     base = df.where(_q(ts).isNotNull() & x.isNotNull()).select(F.month(_q(ts)).alias("month"), x.alias("v"))
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qa = F.percentile_approx("v", probs, 10000) if approx else F.percentile("v", probs)
-    q = base.groupBy("month").agg(qa.alias("_q")).select(
-        "month", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    probs = [0.25, 0.5, 0.75]
+    if approx:
+        q = base.groupBy("month").agg(F.percentile_approx("v", probs, 10000).alias("_q")).select(
+            "month", *[F.col("_q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    else:
+        q = df.sparkSession.createDataFrame([(m, *v) for m, v in sorted(group_quantiles(base, "month", "v", probs).items())],
+                                            "month int, q1 double, median double, q3 double")
     return _box_from(base, F.col("v"), ["month"], q)

@@ -1,4 +1,4 @@
-"""Ranking, top-k, set operations and size-checked broadcast."""
+"""Ranking, top-k and set operations."""
 
 from __future__ import annotations
 
@@ -9,26 +9,6 @@ from pyspark.sql.window import Window
 from marquee.session import cut_lineage
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is known and under ``max_rows``."""
-    return F.broadcast(df) if rows is not None and rows <= max_rows else df
-
-
-def bounded_keys(keys: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
-    """Materialise a key table once.
-
-    At most ``max_rows`` keys are brought to the driver and re-created as a local
-    (broadcastable) relation; a larger key set is checkpointed to the shared
-    folder instead and joined with a shuffle.  Either way the source is scanned once.
-    """
-    rows = keys.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        local = keys.sparkSession.createDataFrame(rows, keys.schema)
-        return F.broadcast(local), len(rows)
-    big = cut_lineage(keys)
-    return big, big.count()
-
-
 def pct_rank_avg(value: Column, partition_by: list | None = None) -> Column:
     """pandas ``rank(pct=True)``: average rank of ties divided by the non-null count.
 
@@ -43,22 +23,23 @@ def pct_rank_avg(value: Column, partition_by: list | None = None) -> Column:
     return F.when(value.isNotNull(), (rank + (peers - 1) / 2.0) / n)
 
 
-def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: int = 64,
+def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: int | None = None,
                   by: list[str] | None = None) -> DataFrame:
     """Cumulative ``weight`` over ascending ``value`` (ties included) for a table of
     distinct values (optionally per group ``by``), without a one-partition window.
 
-    Values are cut into ``buckets`` ranges by approximate quantiles (a bounded list
-    of cut points per group), totals per range are offset with a window over at
+    Values are cut into ``buckets`` ranges (as many as shuffle partitions unless given)
+    by approximate quantiles, totals per range are offset with a window over at
     most groups x ``buckets`` rows, and the running sum inside a range is a window
     partitioned by (group, range).  Exact: the cut points only decide how the work
-    is split.
+    is split.  ``hist`` is read more than once: pass a written or checkpointed table.
     """
     by = list(by or [])
+    buckets = buckets or max(2, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     qs = [i / buckets for i in range(1, buckets)]
     cuts = hist.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("_cuts"))
     if by:
-        h = hist.join(F.broadcast(cuts), by)
+        h = hist.join(cuts, by)
         b = F.size(F.filter(F.array_distinct(F.col("_cuts")), lambda c: c < F.col(value)))
         h = h.withColumn("_b", b).drop("_cuts")
     else:
@@ -69,7 +50,7 @@ def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: i
     tot = h.groupBy(*by, "_b").agg(F.sum(weight).alias("_bt"))
     off = tot.select(*by, "_b", (F.sum("_bt").over(Window.partitionBy(*by).orderBy("_b"))
                                  - F.col("_bt")).alias("_off"))
-    h = h.join(F.broadcast(off), [*by, "_b"])
+    h = h.join(off, [*by, "_b"])
     run = F.sum(weight).over(Window.partitionBy(*by, "_b").orderBy(value)
                              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return h.withColumn(out, run + F.col("_off")).drop("_b", "_off")
@@ -77,9 +58,12 @@ def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: i
 
 def pct_rank_global(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average-tie percentile rank of ``value`` over the whole table: histogram of
-    distinct values -> exact running totals (``running_total``) -> join back."""
-    hist = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_peers"))
-    n = df.where(F.col(value).isNotNull()).count()
+    distinct values -> exact running totals (``running_total``) -> join back.
+    Null and NaN get null."""
+    kind = df.schema[value].dataType.typeName()
+    known = F.col(value).isNotNull() & (~F.isnan(value) if kind in ("double", "float") else F.lit(True))
+    hist = cut_lineage(df.where(known).groupBy(value).agg(F.count(F.lit(1)).alias("_peers")))
+    n = hist.agg(F.sum("_peers")).first()[0] or 0
     ranks = running_total(hist, value, "_peers", "_le")
     ranks = ranks.select(value, ((F.col("_le") - (F.col("_peers") - 1) / 2.0) / F.lit(n)).alias(out))
     return df.join(ranks, value, "left")

@@ -249,24 +249,24 @@ def _pred(spark, sf_dir):
 
 @query("report_eda")
 def q_report_eda(spark, sf_dir):
-    return R.section_counts(R.report_eda(tables(spark, sf_dir)["licensing"]))
+    return R.section_values(R.report_eda(tables(spark, sf_dir)["licensing"]))
 
 
 @query("report_visual")
 def q_report_visual(spark, sf_dir):
-    return R.section_counts(R.report_visual(tables(spark, sf_dir)["licensing"]))
+    return R.section_values(R.report_visual(tables(spark, sf_dir)["licensing"]))
 
 
 @query("report_model")
 def q_report_model(spark, sf_dir):
-    return R.section_counts(R.report_model(_pred(spark, sf_dir)))
+    return R.section_values(R.report_model(_pred(spark, sf_dir)))
 
 
 @query("report_full")
 def q_report_full(spark, sf_dir):
-    return R.section_counts(R.report_full(tables(spark, sf_dir)["licensing"], _pred(spark, sf_dir), "run1"))
+    return R.section_values(R.report_full(tables(spark, sf_dir)["licensing"], _pred(spark, sf_dir), "run1"))
 
 
 @query("eda_profile")
 def q_eda_profile(spark, sf_dir):
-    return R.section_counts(R.eda_profile(tables(spark, sf_dir)["licensing"]))
+    return R.section_values(R.eda_profile(tables(spark, sf_dir)["licensing"]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import profile as P
+from marquee.session import cut_lineage
 
 EPS = 1e-12
 
@@ -106,9 +107,9 @@ def manifest_status(manifest: DataFrame) -> DataFrame:
 
 def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
     """Shape, dtypes, missing, describe, correlations, sample, datetime summary and
-    monthly trends, sharing one cached input."""
+    monthly trends, sharing one checkpointed input."""
     from marquee.functions.columns import dtypes_table, select_dtypes
-    src = df.cache()
+    src = cut_lineage(df)
     tim = select_dtypes(src, "datetime")
     out = {
         "shape": P.shape(src),
@@ -116,7 +117,7 @@ def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
         "missing": P.missing_counts(src),
         "describe": P.describe_all(src),
         "corr_numeric": P.corr_matrix(src),
-        "sample_head": src.limit(10),
+        "sample_head": src.orderBy(*src.columns).limit(10),
         "datetime_summary": P.datetime_summary(src, tim) if tim else None,
     }
     for c in tim:
@@ -132,7 +133,7 @@ def report_eda(df: DataFrame) -> dict[str, DataFrame]:
     from marquee.functions.columns import select_dtypes
     num = select_dtypes(df, "numeric")
     cat = [c for c in df.columns if c not in num]
-    out = {"describe": P.describe_all(df), "preview": df.limit(25)}
+    out = {"describe": P.describe_all(df), "preview": df.orderBy(*df.columns).limit(25)}
     if num:
         out["histogram"] = P.histogram(df, num[0], 30)
     if cat:
@@ -158,6 +159,7 @@ def report_model(pred: DataFrame, importances: DataFrame | None = None) -> dict[
            "ensembles": EV.regression_metrics(EV.ensemble_average(pred)).unionByName(
                EV.regression_metrics(EV.ensemble_weighted(pred))),
            "residuals": EV.residuals(pred),
+           "residual_histogram": P.histogram(EV.residuals(pred), "resid", 30),
            "actual_vs_pred": EV.actual_vs_pred(pred)}
     if importances is not None:
         out["importances"] = importances.orderBy(F.desc(importances.columns[1])).limit(20)
@@ -172,13 +174,15 @@ def report_full(df: DataFrame, pred: DataFrame, run_id: str) -> dict[str, DataFr
     return out
 
 
-def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
-    """(section, rows) for a bundle of report datasets."""
-    parts = [v.select(F.lit(k).alias("section"), F.lit(1).alias("_one")) for k, v in sections.items()]
+def section_values(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, item): every row of every report dataset, as JSON with its column names (nulls kept)."""
+    parts = [v.select(F.lit(k).alias("section"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in v.columns]),
+                                                          {"ignoreNullFields": "false"}).alias("item"))
+             for k, v in sections.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("section").agg(F.count("_one").alias("rows"))
+    return out
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, max_points: int | None = None, seed: int = 42) -> DataFrame:

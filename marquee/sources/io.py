@@ -112,7 +112,3 @@ def write_json(df: DataFrame, root: str, run_id: str, name: str, stamp: str | No
     out = posixpath.join(root, run_id, fname)
     df.write.mode("overwrite").json(out)
     return out
-
-
-def timestamp_stamp(spark: SparkSession) -> str:
-    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmm")).first()[0]

@@ -1,7 +1 @@
-"""Streaming.
-
-The reference has no streams: every source is a one-shot batch read, so no
-streaming operator is built.  All operators are DataFrame -> DataFrame functions
-and therefore also accept streaming DataFrames where Spark allows the same
-operation (projections, filters, stateless expressions).
-"""
+"""No streaming operators: every source is a one-shot batch read."""

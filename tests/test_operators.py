@@ -42,8 +42,8 @@ def test_pct_rank_global_matches_window(spark):
 
 def test_hist_quantiles_equal_exact(spark):
     df = spark.range(0, 3001).select(((F.col("id") * 7919) % 1009).cast("double").alias("x"))
-    exact = P.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], max_exact_distinct=10**9)["x"]
-    hist = P.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], max_exact_distinct=0)["x"]
+    exact = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in [0.1, 0.25, 0.5, 0.9]]))).first()[0]
+    hist = P.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9])["x"]
     assert all(abs(a - b) < 1e-9 for a, b in zip(exact, hist))
 
 
@@ -229,3 +229,59 @@ def test_one_hot_takes_any_number_of_levels(spark):
     from marquee.operators import encode as E
     df = spark.range(1500).selectExpr("cast(id as string) as c")
     assert len(E.one_hot(df, ["c"], normalise=False).columns) == 1500
+
+
+def test_corr_matrix_of_a_hundred_columns(spark):
+    cols = [(F.sin(F.col("id") * (i + 1)) + (F.lit(None) if i == 3 else F.lit(1e6))).alias(f"c{i}") for i in range(100)]
+    df = spark.range(0, 300, 1, 4).select(*cols)
+    got = {(r.col_a, r.col_b): r["corr"] for r in P.corr_matrix(df, places=None).collect()}
+    assert len(got) == 100 * 100
+    want = df.select(F.corr("c0", "c7")).first()[0]
+    assert abs(got[("c0", "c7")] - want) < 1e-6 and got[("c0", "c7")] == got[("c7", "c0")]
+    assert got[("c3", "c3")] is None and abs(got[("c5", "c5")] - 1.0) < 1e-12
+
+
+def test_corr_matrix_uses_rows_where_both_are_present(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 1.0), (float("nan"), 9.0), (4.0, 7.0)], "a double, b double")
+    want = df.where("b is not null and not isnan(a)").select(F.corr("a", "b")).first()[0]
+    got = {(r.col_a, r.col_b): r["corr"] for r in P.corr_matrix(df, places=None).collect()}
+    assert abs(got[("a", "b")] - want) < 1e-12
+    none = {(r.col_a, r.col_b): r["corr"] for r in P.corr_matrix(df.limit(0)).collect()}
+    assert len(none) == 4 and set(none.values()) == {None}
+
+
+def test_whisker_never_inside_the_box(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (100.0,)], "x double")
+    r = P.box_stats(df, ["x"]).first()
+    assert (r.q3, r.whisker_hi, r.fliers) == (27.25, 27.25, 1)
+
+
+def test_percentile_rank_of_nan_is_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (None,)], "x double")
+    got = {str(r.x): r.p for r in RK.pct_rank_global(df, "x", "p").collect()}
+    assert got == {"1.0": 0.5, "2.0": 1.0, "nan": None, "None": None}
+
+
+def test_one_hot_keeps_level_text_and_sparse_width(spark):
+    df = spark.createDataFrame([("A B",), ("A-B",), (None,)], "c string")
+    assert E.one_hot(df, ["c"], normalise=False).columns == ["c_A B", "c_A-B"]
+    rows = E.one_hot_sparse(df, ["c"], normalise=False).collect()
+    assert sorted(list(r.c_ohe.toArray()) for r in rows) == [[0.0, 0.0], [0.0, 1.0], [1.0, 0.0]]
+
+
+def test_range_days_ignore_clock_changes(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp_ntz'2024-03-10 00:00:00' as t union all select timestamp_ntz'2024-03-11 00:00:00'")
+        assert P.datetime_summary(df).first().range_days == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_report_items_hold_values(spark):
+    from marquee.plans import reports as R
+    df = spark.createDataFrame([(1.0, "a"), (3.0, None)], "x double, c string")
+    got = {(r.section, r["item"]) for r in R.section_values(R.report_eda(df)).collect()}
+    assert ("top_values", '{"value":"a","count":1}') in got
+    assert ("preview", '{"x":3.0,"c":null}') in got
