@@ -19,10 +19,10 @@ from marquee.llm.common import Workspace, identified, read_table
 
 def _rows(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     """(uid, _row, doc_id, text, source): every row with a number of its own and all its columns."""
-    rows, _ = identified(Workspace(spark, f"pipeline-{name}"), docs, "doc_id", {
-        "doc_id": F.col("doc_id"), "text": F.col("text"), "source": F.col("source"),
-        "_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
-    return rows
+    rows, _ = identified(Workspace(spark, f"pipeline-{name}"), docs, "doc_id",
+                         {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
+    # the texts are in the row already; a second copy would be shuffled and written with it
+    return rows.select("uid", "_row", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "source")])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
