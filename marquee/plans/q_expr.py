@@ -193,7 +193,7 @@ def q_score_metadata(spark, sf_dir):
     base = prepare_base(t["licensing"])
     rest = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     cfg = L.LinkageConfig()
-    winners, _ = L.score_blocks(L.block_keys(rest, cfg), cat.cand, cfg)
+    winners = L.score_blocks(L.block_keys(rest, cfg), cat.cand, cfg)
     return rnd(winners)
 
 
