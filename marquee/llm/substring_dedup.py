@@ -47,7 +47,7 @@ from .common import Workspace, identified, partitions, read_table, with_ids
 WINDOW = 50
 GRAM = 10
 
-_PIECES = "key long, full long, uid long, pos int, n int"
+_PIECES = "key long, full long, uid long, pos int, n int, times int"
 _WINDOWS = "h1 long, h2 long, uid long, pos int"
 
 
@@ -63,22 +63,32 @@ def _texts(batch: pa.RecordBatch, text: str = "text"):
             yield i + k, start[a:b], end[a:b], h[a:b], sub
 
 
+def _folded(key: np.ndarray, full: np.ndarray, pos: np.ndarray, n: np.ndarray):
+    """Equal pieces in a row as one, with their number."""
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (full[1:] != full[:-1]) | (n[1:] != n[:-1])))
+    i = np.flatnonzero(new)
+    return key[i], full[i], pos[i], n[i], np.diff(np.append(i, len(key)))
+
+
 def pieces(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Compacted edges of every document: (key, full, uid, pos, n windows from pos)."""
+    """Compacted edges of every document: (key, full, uid, pos, n windows from pos, times).
+
+    A piece that follows itself (periodic text) is one row; ``times`` says how often it stands there.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             parts, who = [], []
             for row, _, _, h, _ in _texts(batch):
                 if len(h) >= window:
-                    parts.append(ts.anchored_runs(h, window, gram))
+                    parts.append(_folded(*ts.anchored_runs(h, window, gram)))
                     who.append(np.full(len(parts[-1][0]), uids[row]))
             if parts:
-                key, full, pos, n = (np.concatenate(x) for x in zip(*parts))
+                key, full, pos, n, times = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ts.as_long(key)), pa.array(ts.as_long(full)), pa.array(np.concatenate(who)),
-                     pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "full", "uid", "pos", "n"])
+                     pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))],
+                    names=["key", "full", "uid", "pos", "n", "times"])
     return rows.select("uid", "text").mapInArrow(scan, _PIECES)
 
 
@@ -132,11 +142,11 @@ def repeated_spans(ws: Workspace, rows: DataFrame, dealt: DataFrame, window: int
     """(uid, pos, n): runs of n windows from word ``pos`` that also start in a smaller document."""
     found = ws.save(pieces(rows, window, gram), "pieces")
     groups = found.groupBy("key", "full").agg(
-        F.min(F.struct("uid", "pos", "n")).alias("src"), F.count(F.lit(1)).alias("copies"))
-    groups = ws.save(groups.select("key", "full", "src.uid", "src.pos", "src.n", "copies"), "groups")
-    again = groups.filter("copies > 1").select("key", "full", F.col("uid").alias("src"))
+        F.min(F.struct("uid", "pos", "n")).alias("src"), F.max("uid").alias("last"))
+    groups = ws.save(groups.select("key", "full", "src.uid", "src.pos", "src.n", "last"), "groups")
+    again = groups.filter("uid < last").select("key", "full", F.col("uid").alias("src"))
     repeats = ws.save(found.join(again, ["key", "full"]).filter("src < uid")
-                      .select(F.xxhash64("key", "full").alias("piece"), "uid", "pos", F.col("n").cast("long").alias("n"),
+                      .select(F.xxhash64("key", "full").alias("piece"), "uid", "pos", (F.col("n") * F.col("times").cast("long")).alias("n"),
                               "src"), "repeats")
     ws.drop(found)
     paths = ws.save(compact(repeats), "paths")
