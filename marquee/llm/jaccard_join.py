@@ -11,7 +11,8 @@ Two documents link when their shingle sets have |A n B| / |A u B| of at least nu
    posted too. The boundary is the x of least cost: emitted subsets against posted
    shingles and the list lengths that they meet, all counted over the documents.
 3. Lists are scanned in order of size. A scan compares with smaller sets down to t times
-   the size only, and only by a bound: shingles fall into 64 cells by hash, and the cell
+   the size only, and only by a bound: shingles fall into cells by hash (64 to 512, more for
+   larger sets, as chance differences of few cells stay below the bound there), and the cell
    counts of two sets differ by at most the size of their symmetric difference, so a pair
    whose counts differ by more cannot link. Pairs that pass are not written out: a list
    yields one edge per document at most (a spanning forest), so a list of thousands of
@@ -25,7 +26,7 @@ Two documents link when their shingle sets have |A n B| / |A u B| of at least nu
    written tables.
 
 Documents, lists and blocks are spread by shuffles; a hot list costs its task comparisons
-(64 bytes each) and one edge a document, a hot block is split in tiles.
+(64 to 512 bytes each) and one edge a document, a hot block is split in tiles.
 
 Defined cases: null or empty text has an empty set and links with nothing (also not with
 another empty text); a text of fewer words than a shingle is one shingle, its whole
@@ -50,10 +51,11 @@ from .common import Workspace, identified, partitions, read_table, with_ids
 from .suffix_dedup import key_chunks
 from .textscan import U
 
-CELLS = 64
+CELLS = 64                 # cells of a set's summary at least
+MOST_CELLS = 512           # and at most; between, one for 16 shingles
 SMALL_MOST = 20            # the largest boundary that is weighed
 TILE_SHINGLES = 2_000_000  # shingles of a tile, one document at least
-LIST_CHUNK = 100_000       # postings that a list scan holds besides those of one size band
+LIST_CHUNK = 50_000        # postings that a list scan holds besides those of one size band
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -76,6 +78,24 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def cell_number(n: int) -> int:
+    """Cells of a set of n shingles: a power of two."""
+    return min(MOST_CELLS, max(CELLS, 1 << (max(1, n) // 16).bit_length()))
+
+
+def cell_counts(s: np.ndarray, cells: int) -> np.ndarray:
+    """How many shingles fall into each cell by their leading bits, 255 standing for more."""
+    at = (s >> U(65 - cells.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=cells), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """The same set's counts in fewer cells."""
+    while len(counts) > cells:
+        counts = np.minimum(counts[0::2].astype(np.uint16) + counts[1::2], 255).astype(np.uint8)
+    return counts
+
+
 def least_overlap(n: np.ndarray | int, num: int, den: int):
     """ceil(t * n): what a set of n shares at least with any set it links with that is not smaller."""
     return -(-num * n // den)
@@ -128,8 +148,7 @@ def describe(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 s2.append(int(ts.seeded(s, 3).sum(dtype=U).astype(np.int64)))
                 first = k if k <= SMALL_MOST else k - least_overlap(k, num, den) + 1
                 head.append(ts.as_long(s[:first]))
-                cells.append(np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS), 255)
-                             .astype(np.uint8).tobytes())
+                cells.append(cell_counts(s, cell_number(k)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
                  pa.array(head, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
@@ -215,11 +234,39 @@ class Forest:
             self.label[self.label == y] = x
 
 
+class Summaries:
+    """Cell counts of many sets, as one matrix for each number of cells."""
+
+    def __init__(self, counts: pa.ChunkedArray):
+        raw = [np.frombuffer(c, dtype=np.uint8) for c in counts.to_pylist()]
+        self.cells = np.array([len(c) for c in raw], dtype=np.int64)
+        self.at = np.zeros(len(raw), dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.cells).tolist():
+            i = np.flatnonzero(self.cells == w)
+            self.at[i] = np.arange(len(i))
+            self.rows[w] = np.stack([raw[k] for k in i.tolist()])
+
+    def near(self, sizes: np.ndarray, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of the other sets, none larger, the cell counts let link with set i."""
+        apart = np.zeros(len(others), dtype=np.int64)
+        mine = self.rows[int(self.cells[i])][self.at[i]]
+        for w in np.unique(self.cells[others]).tolist():
+            of = np.flatnonzero(self.cells[others] == w)
+            theirs = self.rows[w][self.at[others[of]]].astype(np.int16)
+            apart[of] = np.abs(theirs - folded(mine, w)).sum(axis=1)
+        return others[may_link(apart, sizes[others] + sizes[i], num, den)]
+
+
+def may_link(apart: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """|A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|) for linked sets."""
+    return apart * (den + num) <= (den - num) * both
+
+
 def near(cells: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which of the other sets the cell counts let link with set i."""
     apart = np.abs(cells[others].astype(np.int16) - cells[i].astype(np.int16)).sum(axis=1)
-    # |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|) for linked sets
-    return others[apart * (den + num) <= (den - num) * (sizes[others] + sizes[i])]
+    return others[may_link(apart, sizes[others] + sizes[i], num, den)]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,12 +287,12 @@ def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
     def spanning(t: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
         key, uid = t.column("key").to_numpy(), t.column("uid").to_numpy()
         sizes = t.column("n").to_numpy().astype(np.int64)
-        cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+        cells = Summaries(t.column("cells"))
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         left, right = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a == 2 and not old:
-                if num * sizes[a + 1] <= den * sizes[a] and len(near(cells, sizes, a + 1, np.arange(a, a + 1), num, den)):
+                if num * sizes[a + 1] <= den * sizes[a] and len(cells.near(sizes, a + 1, np.arange(a, a + 1), num, den)):
                     left.append(uid[a])
                     right.append(uid[a + 1])
                 continue
@@ -256,7 +303,7 @@ def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
                 if lo >= i:
                     continue
                 label = forest.label
-                for j in near(cells, sizes, i, np.arange(lo, i), num, den).tolist():
+                for j in cells.near(sizes, i, np.arange(lo, i), num, den).tolist():
                     if label[j - a] != label[i - a]:
                         forest.join(i - a, j - a)
                         left.append(uid[j])
@@ -305,8 +352,7 @@ def verified(rows: DataFrame, placed: DataFrame, width: int, num: int, den: int)
             order = np.lexsort((uid, sizes))
             uid, tile, sizes = uid[order], tile[order], sizes[order]
             sets = [sets[i] for i in order.tolist()]
-            cells = np.array([np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS), 255) for s in sets],
-                             dtype=np.uint8)
+            cells = np.stack([cell_counts(s, CELLS) for s in sets])
             both = len(np.unique(tile)) > 1
             forest = Forest(len(uid))
             low = np.searchsorted(sizes * den, sizes * num, "left")

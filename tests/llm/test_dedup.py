@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,3 +167,17 @@ def test_repeated_rows_keep_one(odd, spark):
     for r in got:
         by.setdefault(bytes(r.digest), []).append(r.kept)
     assert all(sum(k) == 1 for k in by.values())
+
+
+def test_jaccard_summaries_reject_no_link():
+    r = np.random.default_rng(7)
+    for n in (3, 900, 1100, 2100, 4200, 9000, 40000):
+        whole = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        keep = np.sort(r.choice(whole, int(0.8 * len(whole)) + 1, replace=False))
+        sets = sorted([keep, whole, np.unique(r.integers(0, 2**64, len(whole), dtype=np.uint64))], key=len)
+        at = [i for i, s in enumerate(sets) if s is whole or s is keep]
+        counts = [jaccard_join.cell_counts(s, jaccard_join.cell_number(len(s))).tobytes() for s in sets]
+        sizes = np.array([len(s) for s in sets])
+        i, others = at[1], np.arange(at[1])
+        got = jaccard_join.Summaries(pa.chunked_array([pa.array(counts, pa.binary())])).near(sizes, i, others, 4, 5)
+        assert at[0] in got.tolist()
