@@ -11,7 +11,8 @@ places, so all occurrences of a window lie in pieces of one key.
    piece is its source. Where a piece occurs again, all its windows are repeats.
 2. A key with several different pieces is a branching place of the graph. Only there are
    windows written out, once per distinct piece, and brought together by two 64-bit window
-   hashes with the first document that holds them.
+   hashes with the first document that holds them. The verdict on a piece's windows then goes
+   to every place of that piece in its source, where it may stand again or in periods.
 3. Compaction: repeated pieces that follow one another in a document are joined through
    the graph's adjacency: where a piece has one successor among all its occurrences and
    that successor one predecessor, they belong to one nonbranching path, and rows of a
@@ -48,7 +49,7 @@ WINDOW = 50
 GRAM = 10
 
 _PIECES = "key long, full long, uid long, pos int, n int, times int"
-_WINDOWS = "h1 long, h2 long, uid long, pos int"
+_WINDOWS = "h1 long, h2 long, uid long, key long, full long, off int"
 
 
 def _texts(batch: pa.RecordBatch, text: str = "text"):
@@ -93,8 +94,8 @@ def pieces(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 
 def branch_windows(dealt: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Windows of the wanted pieces (uid, pos, n), with two hashes each."""
-    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "n")).alias("want"))
+    """Windows of the wanted pieces (key, full, uid, pos, n): two hashes each, and their place in the piece."""
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "n", "key", "full")).alias("want"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,18 +105,16 @@ def branch_windows(dealt: DataFrame, wanted: DataFrame, window: int = WINDOW) ->
                 continue
             uids, want = batch.column(0).to_numpy(), batch.column(2)
             offs, flat = want.offsets.to_numpy(), want.values
-            pos, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            out: list[list] = [[], [], [], []]
+            fields = [flat.field(k).to_numpy() for k in range(4)]
+            out: list[list] = [[], [], [], [], [], []]
             for row, _, _, h, _ in _texts(batch):
-                for p, m in zip(pos[offs[row]:offs[row + 1]].tolist(), n[offs[row]:offs[row + 1]].tolist()):
+                for p, m, key, full in zip(*(x[offs[row]:offs[row + 1]].tolist() for x in fields)):
                     a, b = ts.window_hashes(h[p:p + m + window - 1], window)
-                    out[0].append(a)
-                    out[1].append(b)
-                    out[2].append(np.full(m, uids[row]))
-                    out[3].append(np.arange(p, p + m, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ts.as_long(np.concatenate(out[0]))), pa.array(ts.as_long(np.concatenate(out[1]))),
-                 pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names=["h1", "h2", "uid", "pos"])
+                    for to, x in zip(out, (a, b, np.full(m, uids[row]), np.full(m, key), np.full(m, full), np.arange(m, dtype=np.int32))):
+                        to.append(x)
+            h1, h2, *rest = (np.concatenate(x) for x in out)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ts.as_long(h1), ts.as_long(h2), *rest)],
+                                             names=["h1", "h2", "uid", "key", "full", "off"])
 
     return dealt.join(lists, "uid", "left").select("uid", "text", "want").mapInArrow(scan, _WINDOWS)
 
@@ -148,18 +147,23 @@ def repeated_spans(ws: Workspace, rows: DataFrame, dealt: DataFrame, window: int
     repeats = ws.save(found.join(again, ["key", "full"]).filter("src < uid")
                       .select(F.xxhash64("key", "full").alias("piece"), "uid", "pos", (F.col("n") * F.col("times").cast("long")).alias("n"),
                               "src"), "repeats")
-    ws.drop(found)
     paths = ws.save(compact(repeats), "paths")
     ws.drop(repeats)
     # branching places: several pieces of one key, held by different documents first
     several = (groups.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("uid").alias("_a"), F.max("uid").alias("_b"))
                .filter("_n > 1 and _a < _b").select("key"))
-    wanted = ws.save(groups.join(several, "key", "left_semi").select("uid", "pos", "n"), "wanted")
+    wanted = ws.save(groups.join(several, "key", "left_semi").select("key", "full", "uid", "pos", "n"), "wanted")
     ws.drop(groups)
     same = Window.partitionBy("h1", "h2").orderBy("uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    branched = (branch_windows(dealt, wanted, window).withColumn("src", F.first("uid").over(same)).filter("src < uid")
-                .select("uid", "pos", F.lit(1).cast("long").alias("n")))
-    return paths.filter("src < uid").select("uid", "pos", "n").unionByName(branched)
+    gone = (branch_windows(dealt, wanted, window).withColumn("src", F.first("uid").over(same)).filter("src < uid")
+            .groupBy("key", "full", "uid").agg(F.collect_set("off").alias("offs")))
+    # a piece is one minimizer's windows, so its list is short; a source may hold the piece at many places
+    places = found.join(gone, ["key", "full", "uid"])
+    whole = places.filter("size(offs) = n").select("uid", "pos", (F.col("n") * F.col("times").cast("long")).alias("n"))
+    parts = (places.filter("size(offs) < n").withColumn("_period", F.explode(F.expr("sequence(0, times - 1)")))
+             .select("uid", (F.col("pos") + F.col("_period") * F.col("n")).alias("_at"), F.explode("offs").alias("_off"))
+             .select("uid", (F.col("_at") + F.col("_off")).alias("pos"), F.lit(1).cast("long").alias("n")))
+    return paths.filter("src < uid").select("uid", "pos", "n").unionByName(whole).unionByName(parts)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,

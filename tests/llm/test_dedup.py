@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -70,6 +71,21 @@ def test_substring_dedup_returns_texts_and_spans(docs):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_substring_dedup_of_documents_that_repeat_themselves(spark):
+    """Windows that start in a smaller document go at every place of their piece in the piece's first document."""
+    for seed in range(4):
+        r = random.Random(seed)
+        say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))  # noqa: E731, B023
+        shared, line = say(60), say(30)
+        section = say(40) + " " + shared + " " + say(40)
+        rows = [(1, f"{say(20)} {shared} {say(20)} {line} {line} {say(20)}"),
+                (2, " ".join([section, say(30), section, say(5), section])),
+                (3, f"{say(9)} " + f"{line} " * 12 + say(9)),
+                (4, " ".join([section, say(3), line, line, line]))]
+        out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {x._id: (x.n_words, x.n_removed, x.kept_sha256) for x in out.collect()} == windows_removed(rows, 50)
+
+
 def test_suffix_dedup_is_brute_force(docs, rows):
     got = {r._id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect()}
     assert got == bytes_removed(rows, 100)
