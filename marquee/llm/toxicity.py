@@ -2,8 +2,9 @@
 
 Learning (labelled rows only):
 1. Every term of every labelled text is counted by document and class, over all labelled
-   rows; copies of a text (those with the same least hash of five-word shingles) speak once,
-   so that the words of a much-copied text do not pass for toxic terms. Terms that stand out in toxic documents (log-likelihood ratio above 2 ln of the
+   rows; copies of a text (five-word shingle sets of similarity ``COPY`` or more with a kept text of
+   the same least shingle hash and label) speak once, so that the words of a much-copied text do not
+   pass for toxic terms; texts that only share a passage are counted each. Terms that stand out in toxic documents (log-likelihood ratio above 2 ln of the
    vocabulary's size) make the lexicon, weighted by their log odds; beginnings of words that
    stand out in the same way over three terms or more enter as stems.
 2. Misspellings: words within one edit of a lexicon word are hits, too, unless clean labelled
@@ -142,6 +143,7 @@ class Matcher(dict):
 
 
 FEATURES = ["abuse", "quoted", "kinds", "share"]
+COPY = (4, 5)             # similarity from which a labelled text is a copy
 PART = 0.25               # what a misspelt or a quoted hit counts beside a plain one
 
 
@@ -177,7 +179,7 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> tuple[list[fl
 
 
 def family(text: Column) -> Column:
-    """Least hash of a text's five-word shingles: the same for copies, and for most near copies."""
+    """Least hash of a text's five-word shingles: the same for copies, and for most near copies, but for others, too."""
     @F.pandas_udf("long")
     def least(texts: pd.Series) -> pd.Series:
         sets = shingle_sets(pa.array(texts, type=pa.large_string(), from_pandas=True), 5)
@@ -186,6 +188,31 @@ def family(text: Column) -> Column:
     return least(text)
 
 
+def is_copy(text: Column, kept: Column) -> Column:
+    """Whether the five-word shingle sets of two texts have a similarity of ``COPY`` or more."""
+    @F.pandas_udf("boolean")
+    def like(texts: pd.Series, others: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(*(shingle_sets(pa.array(x, type=pa.large_string(), from_pandas=True), 5) for x in (texts, others))):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(COPY[1] * both >= COPY[0] * (len(a) + len(b) - both))
+        return pd.Series(out, dtype="bool")
+
+    return like(text, kept)
+
+
+def without_copies(ws: Workspace, labelled: DataFrame) -> DataFrame:
+    """Rows (text, y, h) of which copies speak once; (f, y) of a row names the family that it is compared in."""
+    rows = ws.save(labelled.withColumn("n", F.monotonically_increasing_id()), "labelled")
+    first = rows.groupBy("f", "y").agg(F.min(F.struct("h", "n")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    first = first.filter("rows > 1").select("f", "y", F.col("one.n").alias("kept"))
+    # only the numbers of rows that share a family, and those families' kept texts, are joined
+    texts = rows.select(F.col("n").alias("kept"), F.col("text").alias("kept_text")).join(first, "kept")
+    pairs = rows.join(texts, ["f", "y"]).filter("n != kept")
+    copies = pairs.filter(is_copy(F.coalesce("text", F.lit("")), F.coalesce("kept_text", F.lit("")))).select("n")
+    return ws.save(rows.join(copies, "n", "left_anti").select("text", "y", "h"), "counted")
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, toxic, clean): documents of each class that hold a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
     labelled = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(small(known), F.col("_doc") == F.col("_id"))
                 .select("text", "y", F.xxhash64("_doc", "text").alias("h"), family(F.coalesce("text", F.lit(""))).alias("f")))
-    labelled = ws.save(labelled.groupBy("f", "y").agg(F.min(F.struct("h", "text")).alias("one")).select("one.text", "y", "one.h"), "labelled")
-    return learn(ws, labelled)
+    return learn(ws, without_copies(ws, labelled))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,20 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.train(docs, labels.limit(0))["beta"] is None
 
 
+def test_texts_that_share_a_shingle_are_all_counted(spark):
+    """Only copies speak once: a shared passage, even with the least hash, merges no other texts."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, long = say(60), say(60)
+    texts = [passage + " " + say(30) for _ in range(40)] + [long, long, long + " end", long.upper(), "", None, "two words", "two words"]
+    rows = [(t, i % 2 if i < 40 else 1, i) for i, t in enumerate(texts)]
+    labelled = spark.createDataFrame(rows, "text string, y int, h long").repartition(3)
+    labelled = labelled.withColumn("f", toxicity.family(F.coalesce("text", F.lit(""))))
+    assert labelled.filter("h < 40").select("f", "y").distinct().count() < 40
+    got = {x.h for x in toxicity.without_copies(Workspace(spark, "test"), labelled).collect()}
+    assert got == set(range(40)) | {40, 44, 46}
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://x/{i}", None if i == 3 else "" if i == 4 else f"<p>pagé {i % 3}</p>", "u") for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, uid string").repartition(3)
