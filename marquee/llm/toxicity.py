@@ -20,8 +20,8 @@ Context: each hit is scored in a window of words around it. Quotation marks arou
 verbs of reporting or words about words lower it (quotation); address to the reader raises it
 (abuse). A misspelt hit counts a quarter of a plain one, so that one chance likeness decides nothing.
 
-The lexicon has at most ``LEXICON`` terms (the strongest), a documented parameter, so the model
-that travels to the tasks is bounded; counts and scores cover all rows.
+The lexicon holds every term above the threshold, rare ones too, and travels whole to the tasks;
+only the rows of the logistic fit are a sample. Counts and scores cover all rows.
 
 Defined cases: null or empty texts score like a text without hits; ids, languages, sources and
 labels are never inputs of a score; labels that are null are not used, and a document with
@@ -46,7 +46,6 @@ from .common import Workspace, read_table, small
 from .jaccard_join import shingle_sets
 
 FIT_ROWS = 20_000
-LEXICON = 5_000
 STEM = (4, 6)
 FUZZY_FROM = 5            # shortest lexicon word that is matched with an edit
 NEAR = 6                  # words on either side of a hit that make its context
@@ -249,14 +248,14 @@ def learn(ws: Workspace, labelled: DataFrame) -> dict:
     stands_out = (ratio(F.col("toxic"), F.col("clean"), n1, n0) > 2 * math.log(vocabulary)) & (odds > math.log(8))
     strongest = [F.desc("llr"), F.asc("term")]
     llr = ratio(F.col("toxic"), F.col("clean"), n1, n0).alias("llr")
-    words = counts.filter(stands_out).select("term", odds.alias("w"), llr).orderBy(*strongest).limit(LEXICON).collect()
+    words = counts.filter(stands_out).select("term", odds.alias("w"), llr).orderBy(*strongest).collect()
     stems: list = []
     for size in range(STEM[0], STEM[1] + 1):
         begin = (counts.filter((F.char_length("term") >= size) & (F.col("term").rlike("^[^0-9]+$")))
                  .groupBy(F.substring("term", 1, size).alias("term"))
                  .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("n")))
         stems += (begin.filter(stands_out & (F.col("n") >= 3) & (F.col("toxic") >= 19 * F.col("clean")))
-                  .select("term", odds.alias("w"), llr).orderBy(*strongest).limit(LEXICON).collect())
+                  .select("term", odds.alias("w"), llr).orderBy(*strongest).collect())
     kept: dict[str, float] = {}
     for s in sorted(stems, key=lambda r: (len(r.term), r.term)):
         if not any(s.term[:k] in kept for k in range(STEM[0], len(s.term))):

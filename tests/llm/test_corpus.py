@@ -218,6 +218,16 @@ def test_texts_that_share_a_shingle_are_all_counted(spark):
     assert got == set(range(40)) | {40, 44, 46}
 
 
+def test_lexicon_is_whole(spark):
+    """None of 6000 terms that stand out is dropped."""
+    words = [f"{i:05d}x" for i in range(6000)]
+    rows = [(" ".join(words[k::4]) + f" {a}", 1, i) for i in range(160) for k, a in [(i % 4, i)]]
+    rows += [(f"plain text {i}", 0, i) for i in range(160, 960)]
+    labelled = spark.createDataFrame(rows, "text string, y int, h long")
+    model = toxicity.learn(Workspace(spark, "test"), labelled)
+    assert set(words) <= {t for t, _ in model["terms"]}
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://x/{i}", None if i == 3 else "" if i == 4 else f"<p>pagé {i % 3}</p>", "u") for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, uid string").repartition(3)
