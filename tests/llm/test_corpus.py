@@ -135,6 +135,30 @@ def test_unmarked_pages_lose_shared_lines(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_stubs_copies_and_short_articles_lose_the_template():
+    cut = html_extract.without_shared
+    menu, foot = "All the sections of the site " * 3, "Notices and rights of the site " * 3
+    story = ["A story of its own that is told at length. " * 9, "And its end."]
+    page = [menu, *story, foot]
+    assert cut("/a", page, [("/b", [menu, foot]), ("/c", [menu, "Another story", foot])]) == story
+    assert cut("/a", page, [("/b", page), ("/c", [menu, "Another story, which is longer", foot])]) == story
+    assert cut("/a", page, [("/b", page)]) == page
+    short = {k: [menu, f"Short story {k}.", foot] for k in "abc"}
+    assert cut("/a", short["a"], [("/b", short["b"]), ("/c", short["c"])]) == ["Short story a."]
+
+
+def test_pages_do_not_depend_on_the_cuts(spark, monkeypatch):
+    page = lambda i: f"<p>Top of the site</p><p>Story number {i} is told here, at some length</p><p>Part {i * 7}</p><p>All rights</p>"
+    rows = [(i, f"http://h.example/{i // 3}/{i}", page(i)) for i in range(60)] + [(70, None, "<p>x</p>"), (None, "http://h.example/9/1", page(9))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = {(r._id, r.url, r.text) for r in html_extract.extract(pages).collect()}
+    assert all("Top" not in t for i, _, t in whole if i != 70)
+    for n in (1, 2, 7):
+        monkeypatch.setattr(html_extract, "PAGES_PER_BUCKET", n)
+        got = html_extract.extract(pages).collect()
+        assert len(got) == len(rows) and {(r._id, r.url, r.text) for r in got} == whole
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
