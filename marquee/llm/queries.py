@@ -10,6 +10,7 @@ from .mixing import op1_mixing
 from .sharding import op10_sharding
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
+from .token_counts import op11_token_counts
 from .toxicity import op5_toxicity
 from .warc_zip import op6_warc_zip
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
+    "op11_token_counts": op11_token_counts,
 }
 
 _OP2 = r"""
