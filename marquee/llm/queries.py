@@ -12,6 +12,7 @@ from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op11_token_counts
 from .toxicity import op5_toxicity
+from .vector_codes import op12_vector_codes
 from .warc_zip import op6_warc_zip
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
     "op11_token_counts": op11_token_counts,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _OP2 = r"""
@@ -70,10 +72,37 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept, sha256(coalesce(text, '')) as text_sha256
 from documents"""
 
+_NEAREST12 = """
+d{r} as (select c.vec_id, c.part, min(64 * dd + entry) as best from
+           (select c.vec_id, c.part, b.entry, sum((c.v - b.v) * (c.v - b.v)) as dd from comp c join cb{r} b using (part, pos)
+            group by c.vec_id, c.part, b.entry) c group by c.vec_id, c.part),
+"""
+
+_ROUND12 = """
+cb{n} as (select b.part, b.entry, b.pos, coalesce(m.v, b.v) as v from cb{r} b left join
+           (select c.part, d.best % 64 as entry, c.pos, cast(floor(sum(c.v)::double / count(*)) as bigint) as v
+            from comp c join d{r} d using (vec_id, part) group by all) m using (part, entry, pos)),
+"""
+
+_OP12 = """
+with kept as (select vec_id, label, embedding as e from embeddings
+              where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+spots as (select vec_id, unnest(range(1, len(e) + 1)) as i, len(e) // 16 as w, e from kept),
+comp as (select vec_id, (i - 1) // w as part, (i - 1) % w as pos, cast(floor(256 * e[i]::double) as bigint) as v from spots),
+seeds as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept qualify entry < 64),
+cb0 as (select part, entry, pos, v from comp join seeds using (vec_id)),
+""" + _NEAREST12.format(r=0) + _ROUND12.format(r=0, n=1) + _NEAREST12.format(r=1) + _ROUND12.format(r=1, n=2) + _NEAREST12.format(r=2) + """
+book as (select sha256(string_agg(v::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from cb2),
+codes as (select vec_id, string_agg(printf('%02x', (best % 64)::int), '' order by part) as code, cast(sum(best // 64) as bigint) as error
+          from d2 group by vec_id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256, label
+from codes join kept using (vec_id), book"""
+
 #: the others are compared with brute force in tests/llm: SQL has no learnt model, no HTML parser, no CRC-32 or base32,
 #: no seeded shuffle of ours, or takes too long on whole tables
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": _OP2,
     "op3_decontamination": _OP3,
     "op7_exact_dedup": _OP7,
+    "op12_vector_codes": _OP12,
 }
