@@ -7,6 +7,7 @@ from .exact_dedup import op7_exact_dedup
 from .html_extract import op4_html_extract
 from .jaccard_join import op8_jaccard_join
 from .mixing import op1_mixing
+from .prefix_trie import op13_prefix_trie
 from .sharding import op10_sharding
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_token_counts": op11_token_counts,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP2 = r"""
@@ -98,6 +100,32 @@ codes as (select vec_id, string_agg(printf('%02x', (best % 64)::int), '' order b
 select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256, label
 from codes join kept using (vec_id), book"""
 
+_OP13 = """
+with turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                      row_number() over (partition by conv_id order by turn nulls first) as i
+               from conversations where conv_id is not null),
+bits as (select conv_id, list_transform(range(8 * length(conv_id::varchar)),
+                lambda j: ((ascii(substr(conv_id::varchar, (j // 8 + 1)::int, 1)) >> (j % 8)::int) & 1)::bigint) as b
+         from (select distinct conv_id from turns) t),
+convs as (select conv_id, xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384::bigint)),
+                              4294967295::bigint) % 6 as h from bits),
+again as (select c.conv_id, 0 as own, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id - c.conv_id % 100 and t.i <= h
+          union all select c.conv_id, 1, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.i > h),
+paths as (select c.conv_id, coalesce(list({'role': role, 'text': text} order by own, i) filter (i is not null), []) as t
+          from convs c left join again a using (conv_id) group by c.conv_id),
+steps as (select conv_id, len(t) as n, t, unnest(range(0, len(t) + 1)) as depth from paths),
+nodes as (select t[1:depth] as p, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+          from steps group by 1, 2),
+kids as (select p[1:depth - 1] as p, count(*) as n_children from nodes where depth > 0 group by 1),
+own as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * length(n.p[depth].text) end as saved
+        from nodes n left join kids k using (p)),
+over as (select p, depth, n_children, saved, unnest(range(0, depth + 1)) as top from own),
+sums as (select p[1:top] as p, sum((n_children = 0)::int) as n_leaves, sum(saved) as saved_tokens from over group by 1)
+select o.conv_id, cast(o.depth as bigint) as depth, u.conv_id as parent_conv_id, o.n_convs, o.n_children,
+       cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, o.ends_sha256
+from own o join sums s using (p) left join nodes u on o.depth > 0 and u.p = o.p[1:o.depth - 1]"""
+
 #: the others are compared with brute force in tests/llm: SQL has no learnt model, no HTML parser, no CRC-32 or base32,
 #: no seeded shuffle of ours, or takes too long on whole tables
 ORACLE: dict[str, str] = {
@@ -105,4 +133,5 @@ ORACLE: dict[str, str] = {
     "op3_decontamination": _OP3,
     "op7_exact_dedup": _OP7,
     "op12_vector_codes": _OP12,
+    "op13_prefix_trie": _OP13,
 }
