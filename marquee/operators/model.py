@@ -38,7 +38,8 @@ def feature_target(df: DataFrame, target: str = "price", features: list[str] | N
         whole = F.lit(True)
         for c in feats + [target]:
             whole = whole & F.col(c).isNotNull()
-        clean = clean.withColumn(target, F.when(whole, F.col(target)).otherwise(absent.cast(df.schema[target].dataType)))
+        # on every column, so that whichever is read first in a row tells the same
+        clean = clean.withColumns({c: F.when(whole, F.col(c)).otherwise(absent.cast(df.schema[c].dataType)) for c in feats + [target]})
     else:
         raise ValueError(f"on_missing: {on_missing}")
     va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")

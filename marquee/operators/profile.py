@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marquee.functions.columns import select_dtypes
-from marquee.operators.rank import running_total
-from marquee.session import cut_lineage
+from marquee.operators.rank import in_ranges
 
 
 def _q(name: str) -> Column:
@@ -66,20 +65,32 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool =
 def group_quantiles(rows: DataFrame, group: str, value: str, probs: list[float]) -> dict:
     """{group: [q(p) for p in probs]}, exact, for a bounded number of groups of non-null values.
 
-    The order statistics come from a distributed histogram and its running totals.
+    A histogram is written in ranges of (group, value). The ranges' totals, at most groups +
+    ranges numbers, tell which range holds a wanted order statistic; only those are read again.
     """
-    hist = cut_lineage(rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt")))
-    sizes = {r[group]: r["n"] for r in hist.groupBy(group).agg(F.sum("cnt").alias("n")).collect()}
+    hist = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
+    h = in_ranges(hist, [group, value])
+    sizes, parts = {}, {}
+    for r in h.groupBy(group, "_b").agg(F.sum("cnt").alias("n")).orderBy("_b").collect():
+        parts.setdefault(r[group], []).append((r["_b"], sizes.get(r[group], 0), r["n"]))
+        sizes[r[group]] = sizes.get(r[group], 0) + r["n"]
     wanted = {g: [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs] for g, n in sizes.items()}
-    asked = sorted({(g, k) for g, at in wanted.items() for _, lo, hi in at for k in (lo, hi)})
+    asked = []
+    for g, at in wanted.items():
+        ks = sorted({k for _, lo, hi in at for k in (lo, hi)})
+        for b, before, n in parts[g]:
+            inside = [k - before for k in ks if before <= k < before + n]
+            if inside:
+                asked.append((g, b, before, inside))
     if not asked:
         return {}
     kind = rows.schema[group].dataType.simpleString()
-    asked = rows.sparkSession.createDataFrame(asked, f"`{group}` {kind}, k long")
+    asked = rows.sparkSession.createDataFrame(asked, f"`{group}` {kind}, _b int, _before long, _ks array<long>")
+    le = F.sum("cnt").over(Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # order statistic k (0-based) is the value whose count range [le-cnt, le-1] holds k
-    totals = running_total(hist, value, "cnt", "le", by=[group])
-    hit = totals.join(F.broadcast(asked), group).where((F.col("le") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("le")))
-    at_rank = {(r[group], r["k"]): r[value] for r in hit.select(group, "k", value).collect()}
+    hit = h.join(F.broadcast(asked), [group, "_b"]).withColumn("_le", le).select(
+        group, value, "_before", F.explode(F.filter("_ks", lambda k: (F.col("_le") - F.col("cnt") <= k) & (k < F.col("_le")))).alias("_k"))
+    at_rank = {(r[group], r["_before"] + r["_k"]): r[value] for r in hit.collect()}
     return {g: [at_rank[(g, lo)] + (h - lo) * (at_rank[(g, hi)] - at_rank[(g, lo)]) for h, lo, hi in at]
             for g, at in wanted.items()}
 
@@ -284,30 +295,80 @@ def _pair_moments(p: int):
     return scan
 
 
+#: sums that one JVM aggregate adds at most; wider tables add numpy matrices instead
+JVM_SUMS = 400
+
+
+def _correlation(n, sx, sy, sxx, syy, sxy, varies):
+    """Pearson from (shifted) moment sums; null unless both sides vary."""
+    spread = F.sqrt(sxx - sx * sx / n) * F.sqrt(syy - sy * sy / n)
+    return F.when((n > 0) & varies, F.when(spread > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (sxy - sx * sy / n) / spread))))
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, places: int | None = 3) -> DataFrame:
     """Pairwise-complete Pearson correlation as (col_a, col_b, corr); constant -> null.
 
-    Each partition turns its rows into one matrix of moment sums (numpy on Arrow batches),
-    and the matrices are added by pair, so the plan does not grow with the number of
-    columns.  Values are centred by the column means first, which keeps the digits.
+    One aggregate gives means and counts, a second the sums of products of centred values.
+    A pair of columns without missing values needs one sum of its own; other pairs sum over
+    the rows where both are present. Where that makes more than ``JVM_SUMS`` sums, each
+    partition turns its rows into one matrix of moment sums (numpy on Arrow batches), and the
+    matrices are added by pair, so the plan does not grow with the number of columns.
     """
     num = list(cols or select_dtypes(df, "numeric"))
+    p = len(num)
     if not num:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    means = df.agg(*[F.avg(_num(df, c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
-    centre = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    xs = [_num(df, c) for c in num]
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, x in enumerate(xs)
+                                                   for k, f in (("m", F.avg), ("c", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    centre = [first[f"m{i}"] if first[f"m{i}"] is not None and math.isfinite(first[f"m{i}"]) else 0.0 for i in range(p)]
+    whole = [first[f"c{i}"] == first["n"] for i in range(p)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    n_sums = p + sum(1 if whole[i] and whole[j] else 10 for i, j in pairs)
+    if n_sums > JVM_SUMS:
+        return _wide_corr(df, num, centre, places)
+    z = [(x - F.lit(m)).alias(f"z{i}") for i, (x, m) in enumerate(zip(xs, centre))]
+    zs = [F.col(f"z{i}") for i in range(p)]
+    sums = [F.sum(zs[i]).alias(f"s{i}") for i in range(p)]
+    for i, j in pairs:
+        if whole[i] and whole[j]:
+            sums.append(F.sum(zs[i] * zs[j]).alias(f"p{i}_{j}"))
+            continue
+        both = zs[i].isNotNull() & zs[j].isNotNull()
+        a, b = F.when(both, zs[i]), F.when(both, zs[j])
+        sums += [f(v).alias(f"{k}{i}_{j}") for k, f, v in (
+            ("n", F.count, a), ("x", F.sum, a), ("y", F.sum, b), ("xx", F.sum, a * a), ("yy", F.sum, b * b), ("p", F.sum, a * b),
+            ("xl", F.min, a), ("xh", F.max, a), ("yl", F.min, b), ("yh", F.max, b))]
+    got = df.select(*z).agg(*sums).first()
+    moments = []
+    for i, j in pairs:
+        if whole[i] and whole[j]:
+            varies = all(first[f"lo{k}"] is not None and first[f"lo{k}"] < first[f"hi{k}"] for k in (i, j))
+            row = (float(first["n"]), got[f"s{i}"], got[f"s{j}"], got[f"p{i}_{i}"], got[f"p{j}_{j}"], got[f"p{i}_{j}"], varies)
+        else:
+            v = {k: got[f"{k}{i}_{j}"] for k in ("n", "x", "y", "xx", "yy", "p", "xl", "xh", "yl", "yh")}
+            varies = v["xl"] is not None and v["xl"] < v["xh"] and v["yl"] < v["yh"]
+            row = (float(v["n"]), v["x"], v["y"], v["xx"], v["yy"], v["p"], varies)
+        moments += [(num[a], num[b], *row) for a, b in {(i, j), (j, i)}]
+    known = df.sparkSession.createDataFrame(moments, "col_a string, col_b string, n double, sx double, sy double, sxx double, "
+                                                     "syy double, sxy double, varies boolean")
+    r = _correlation(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "varies")])
+    return known.select("col_a", "col_b", _rounded(r, places).alias("corr"))
+
+
+def _rounded(r: Column, places: int | None) -> Column:
+    return r if places is None else F.round(r, places) + F.lit(0.0)     # + 0.0 turns -0.0 into 0.0
+
+
+def _wide_corr(df: DataFrame, num: list[str], centre: list[float], places: int | None) -> DataFrame:
+    """Correlations from one matrix of moment sums a partition."""
+    p = len(num)
     wide = df.select(*[(_num(df, c) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(num, centre))])
-    parts = wide.mapInArrow(_pair_moments(len(num)), _MOMENTS).groupBy("i", "j").agg(
+    parts = wide.mapInArrow(_pair_moments(p), _MOMENTS).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
         *[F.min(c).alias(c) for c in ("xlo", "ylo")], *[F.max(c).alias(c) for c in ("xhi", "yhi")])
-    spread = F.sqrt(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * F.sqrt(
-        F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
     varies = (F.col("xlo") < F.col("xhi")) & (F.col("ylo") < F.col("yhi"))
-    r = F.when((F.col("n") > 0) & varies, F.when(spread > 0, F.least(F.lit(1.0), F.greatest(
-        F.lit(-1.0), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread))))
-    if places is not None:
-        r = F.round(r, places) + F.lit(0.0)     # + 0.0 turns -0.0 into 0.0
-    p = len(num)
+    r = _rounded(_correlation(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")], varies), places)
     grid = df.sparkSession.range(p * p).select((F.col("id") / p).cast("int").alias("a"), (F.col("id") % p).cast("int").alias("b"))
     pairs = grid.join(parts, (F.least("a", "b") == F.col("i")) & (F.greatest("a", "b") == F.col("j")), "left")
     name = F.array(*[F.lit(c) for c in num])

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.session import cut_lineage
+from marquee.session import save_table
 
 
 def pct_rank_avg(value: Column, partition_by: list | None = None) -> Column:
     """pandas ``rank(pct=True)``: average rank of ties divided by the non-null count.
 
-    Nulls get null.  Use with ``partition_by`` (a window without it gathers the
-    whole table into one task); see ``pct_rank_global`` for an unpartitioned rank.
+    Nulls get null.  A window expression: each group is sorted by one task, so use it for
+    groups of bounded size; ``pct_rank_by`` and ``pct_rank_global`` take groups of any size.
     """
     parts = partition_by or []
     w = Window.partitionBy(*parts)
@@ -23,50 +23,62 @@ def pct_rank_avg(value: Column, partition_by: list | None = None) -> Column:
     return F.when(value.isNotNull(), (rank + (peers - 1) / 2.0) / n)
 
 
+def in_ranges(hist: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+    """``hist`` written in ranges of ``columns``, each row with its range's number ``_b``.
+
+    As many ranges as shuffle partitions unless given; Spark samples the cut points and
+    places rows by binary search. Ranges only decide how the work is split.
+    """
+    buckets = buckets or max(2, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return save_table(hist.repartitionByRange(buckets, *columns).withColumn("_b", F.spark_partition_id()), "ranges")
+
+
 def running_total(hist: DataFrame, value: str, weight: str, out: str, buckets: int | None = None,
-                  by: list[str] | None = None) -> DataFrame:
+                  by: list[str] | None = None, total: str | None = None) -> DataFrame:
     """Cumulative ``weight`` over ascending ``value`` (ties included) for a table of
-    distinct values (optionally per group ``by``), without a one-partition window.
+    distinct values (optionally per group ``by``), without a window over a whole group.
 
-    Values are cut into ``buckets`` ranges (as many as shuffle partitions unless given)
-    by approximate quantiles, totals per range are offset with a window over at
-    most groups x ``buckets`` rows, and the running sum inside a range is a window
-    partitioned by (group, range).  Exact: the cut points only decide how the work
-    is split.  ``hist`` is read more than once: pass a written or checkpointed table.
+    The table is written in ranges of (group, value); totals per group and range, at most
+    groups + ranges rows, give each range its offset, and the running sum inside a range is
+    a window partitioned by (group, range). ``total`` names a column for the group's sum.
     """
     by = list(by or [])
-    buckets = buckets or max(2, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = hist.groupBy(*by).agg(F.percentile_approx(value, qs, 10000).alias("_cuts"))
-    if by:
-        h = hist.join(cuts, by)
-        b = F.size(F.filter(F.array_distinct(F.col("_cuts")), lambda c: c < F.col(value)))
-        h = h.withColumn("_b", b).drop("_cuts")
-    else:
-        cl = cuts.first()["_cuts"] or []
-        cl = sorted(set(c for c in cl if c is not None))
-        arr = F.array(*[F.lit(c) for c in cl]) if cl else None
-        h = hist.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col(value))) if cl else F.lit(0))
-    tot = h.groupBy(*by, "_b").agg(F.sum(weight).alias("_bt"))
-    off = tot.select(*by, "_b", (F.sum("_bt").over(Window.partitionBy(*by).orderBy("_b"))
-                                 - F.col("_bt")).alias("_off"))
-    h = h.join(off, [*by, "_b"])
-    run = F.sum(weight).over(Window.partitionBy(*by, "_b").orderBy(value)
-                             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return h.withColumn(out, run + F.col("_off")).drop("_b", "_off")
+    h = in_ranges(hist, [*by, value], buckets)
+    every = Window.partitionBy(*by)
+    before = F.sum("_bt").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    offsets = (h.groupBy(*by, "_b").agg(F.sum(weight).alias("_bt"))
+               .select(*keys, F.col("_b").alias("_gb"), F.coalesce(before, F.lit(0)).alias("_off"), F.sum("_bt").over(every).alias("_all")))
+    same = F.col("_b") == F.col("_gb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    run = F.sum(weight).over(Window.partitionBy(*by, "_b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    done = h.join(offsets, same).withColumn(out, run + F.col("_off"))
+    if total:
+        done = done.withColumn(total, F.col("_all"))
+    return done.select(*hist.columns, out, *([total] if total else []))
+
+
+def pct_rank_by(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Average-tie percentile rank of ``value`` within each group ``by`` (no group: the whole table).
+
+    Histogram of distinct values -> running totals (``running_total``) -> join back, so no task
+    holds a group's rows. Null and NaN get null."""
+    kind = df.schema[value].dataType.typeName()
+    known = F.col(value).isNotNull() & (~F.isnan(value) if kind in ("double", "float") else F.lit(True))
+    hist = df.where(known).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_peers"))
+    ranks = running_total(hist, value, "_peers", "_le", by=by, total="_n")
+    ranks = ranks.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])],
+                         ((F.col("_le") - (F.col("_peers") - 1) / 2.0) / F.col("_n")).alias(out))
+    same = F.col(value) == F.col(f"_k{len(by)}")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, out)
 
 
 def pct_rank_global(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average-tie percentile rank of ``value`` over the whole table: histogram of
-    distinct values -> exact running totals (``running_total``) -> join back.
-    Null and NaN get null."""
-    kind = df.schema[value].dataType.typeName()
-    known = F.col(value).isNotNull() & (~F.isnan(value) if kind in ("double", "float") else F.lit(True))
-    hist = cut_lineage(df.where(known).groupBy(value).agg(F.count(F.lit(1)).alias("_peers")))
-    n = hist.agg(F.sum("_peers")).first()[0] or 0
-    ranks = running_total(hist, value, "_peers", "_le")
-    ranks = ranks.select(value, ((F.col("_le") - (F.col("_peers") - 1) / 2.0) / F.lit(n)).alias(out))
-    return df.join(ranks, value, "left")
+    """``pct_rank_by`` over the whole table."""
+    return pct_rank_by(df, value, [], out)
 
 
 def popularity_blend(df: DataFrame, pv_col: str = "pv_30d", votes_col: str = "numVotes") -> DataFrame:

@@ -167,7 +167,8 @@ def q_reference_price(spark, sf_dir):
        "as pct from licensing")
 def q_pct_rank_avg(spark, sf_dir):
     lic = tables(spark, sf_dir)["licensing"]
-    return rnd(lic.select("license_id", RK.pct_rank_avg(F.col("price"), ["territory"]).alias("pct")))
+    return rnd(lic.select("license_id", "territory", "price").transform(
+        lambda d: RK.pct_rank_by(d, "price", ["territory"], "pct")).select("license_id", "pct"))
 
 
 _PB_SQL = ("with j as (select l.license_id, coalesce(l.units, 0.0) as pv, coalesce(cast(r.numVotes as double), 0.0) as v "

@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing a local one only if unset."""
     d = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not d:
-        # local runs / tests only: a cluster always names a shared folder
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{_CKPT_KEY} is not set: executors of {master} need a shared folder")
+        # local runs / tests only: one machine, so its own folder is shared
         d = tempfile.mkdtemp(prefix="marquee-ckpt-")
         spark.conf.set(_CKPT_KEY, d)
     jsc = spark.sparkContext._jsc
@@ -63,6 +66,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/marquee-scratch/{uuid.uuid4().hex}/{name}"
 
 
+def save_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and the reader knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); eager so later jobs reuse it."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -20,6 +20,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -2,8 +2,8 @@
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
 from marquee.plans.fixtures import DRIVER_TABLES
+from paths import SF_SMALL
 from tools.oracle_check import rows_of
 
 import __spark_entry__ as E
