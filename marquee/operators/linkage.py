@@ -14,6 +14,11 @@ Scale notes
 * Null release years (no year test) and unmapped territories (no region test)
   collapse the matching dimension in the candidate roll-up instead of joining
   on a constant, so no nested-loop or cartesian join appears in the plan.
+* Candidates are read once: the roll-up by (year, region, votes) is written, and
+  the coarser ones that null years and unmapped territories need are rolled up
+  from it. Windows run over a block's distinct (year, region, votes), not its titles.
+* ``title_similarity_join`` finds pairs by shared segments, not by comparing all
+  titles of a year.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql.window import Window
 
 from marquee.functions.columns import CORE_OPTIONAL, release_year_cast, rename_alias, require_columns
 from marquee.functions.text import normalize_title, title_similarity
-from marquee.session import cut_lineage
+from marquee.session import save_table
 
 
 @dataclass(frozen=True)
@@ -137,11 +142,11 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
                     F.col("region").alias("c_region"),
                     votes.cast("bigint").alias("c_votes"), "title_id")
     # candidate roll-ups: every block reads one of them through an equi-join
-    by_year_region = c.groupBy("c_year", "c_region", "c_votes").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id"))
-    by_year_region = by_year_region.where(F.col("c_year").isNotNull())
+    lattice = save_table(c.groupBy("c_year", "c_region", "c_votes").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id")), "candidates")
+    by_year_region = lattice.where(F.col("c_year").isNotNull())
 
-    kb = cut_lineage(keys)     # read by every branch below; AQE chooses the joins by its size
+    kb = save_table(keys, "keys")     # read by every branch below; its size is known to the planner
 
     ky = F.col("k_year")
     kr = F.col("k_iso2")
@@ -162,8 +167,8 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
         "k_year", "k_iso2", "c_year", "c_region", "c_votes", "cnt", "best_id")
 
     # 3./4. no year test: release year irrelevant, so roll it up
-    by_region = c.groupBy("c_region", "c_votes").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id"))
+    by_region = lattice.groupBy("c_region", "c_votes").agg(
+        F.sum("cnt").alias("cnt"), F.min("best_id").alias("best_id"))
     k3 = kb.where(ky.isNull() & kr.isNotNull()).withColumn("j_region", F.explode(region_slots))
     b3 = k3.join(by_region.withColumn("j_region", rmark), "j_region").select(
         "k_year", "k_iso2", F.lit(None).cast("bigint").alias("c_year"), "c_region", "c_votes",
@@ -171,8 +176,8 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
     blocks = b1.unionByName(b2).unionByName(b3)
     # 4. neither test (at most one key): every candidate; only "has a region" matters
     if kb.where(ky.isNull() & kr.isNull()).limit(1).count() > 0:
-        by_flag = c.groupBy(F.col("c_region").isNotNull().alias("has_region"), "c_votes").agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id"))
+        by_flag = lattice.groupBy(F.col("c_region").isNotNull().alias("has_region"), "c_votes").agg(
+            F.sum("cnt").alias("cnt"), F.min("best_id").alias("best_id"))
         b4 = by_flag.select(
             F.lit(None).cast("bigint").alias("k_year"), F.lit(None).cast("string").alias("k_iso2"),
             F.lit(None).cast("bigint").alias("c_year"),
@@ -212,11 +217,10 @@ def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = Link
     """One mapping row per input row: best metadata match at or above the threshold, else no_match."""
     require_columns(rows, ["license_id", "release_year", "territory"], "base")
     require_columns(cand, ["title_id", "releaseYear", "numVotes", "region"], "cand")
-    keys = block_keys(rows, cfg)
-    winners = score_blocks(keys, cand, cfg)
-    keyed = rows.select("license_id",
-                        F.col("release_year").cast("bigint").alias("k_year"),
-                        _iso2(F.col("territory"), cfg).alias("k_iso2"))
+    # the rows are read for their keys and again for the winners: three narrow columns are written once
+    keyed = save_table(rows.select("license_id", F.col("release_year").cast("bigint").alias("k_year"),
+                                   _iso2(F.col("territory"), cfg).alias("k_iso2")), "keyed")
+    winners = score_blocks(keyed.select("k_year", "k_iso2").distinct(), cand, cfg)
     joined = keyed.join(winners,
                         keyed.k_year.eqNullSafe(winners.k_year) & keyed.k_iso2.eqNullSafe(winners.k_iso2),
                         "left")
@@ -276,27 +280,64 @@ def rank_entity_map(mapping: DataFrame, cfg: LinkageConfig = LinkageConfig(),
 
 # ---------------------------------------------------------------- title similarity
 
+def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i of k nearly equal segments; the later ones are longer by one."""
+    base, extra = F.floor(length / k), length % k
+    start = 1 + (i - 1) * base + F.greatest(F.lit(0), i - 1 - (k - extra))
+    return start.cast("int"), (base + (i > k - extra).cast("int")).cast("int")
+
+
+def _segments(length: Column, threshold: float) -> Column:
+    """Segments of a title of that length: one more than the edits to any title that may be similar to it."""
+    longest = F.floor(length / threshold + 1e-9)
+    return (F.floor(longest * (1.0 - threshold) + 1e-9) + 1).cast("int")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Pairs of distinct (j_year, l_title) and (j_year, r_title) that are at least ``threshold`` similar.
+
+    Partition filter: within tau edits, one of tau + 1 segments of the right title stands
+    unchanged in the left one, near its own place. Segments of right titles are equi-joined to
+    the substrings of left titles at the places where the segment can lie (by its number and
+    the titles' lengths), for each length a similar title can have. Only the candidates that
+    share a segment are compared, so no plan pairs the titles of a year.
+    """
+    if not 0.5 < threshold <= 1.0:
+        raise ValueError("threshold: more than 0.5, at most 1")
+    i, n = F.col("i"), F.col("n")
+    r = right.select("j_year", "r_title").distinct().withColumn("n", F.length("r_title")).withColumn("k", _segments(n, threshold))
+    r = r.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    at, size = _segment(n, F.col("k"), i)
+    r = r.select(F.xxhash64("j_year", "n", "i", F.substring("r_title", at, size)).alias("key"), F.col("j_year").alias("r_year"), "r_title")
+    here = F.length("l_title")
+    s = left.select("j_year", "l_title").distinct().withColumn("n", F.explode(F.sequence(
+        F.ceil(here * threshold - 1e-9).cast("int"), F.floor(here / threshold + 1e-9).cast("int"))))
+    s = s.withColumn("k", _segments(n, threshold)).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    at, size = _segment(n, F.col("k"), i)
+    s = s.withColumn("at", at).withColumn("size", size)
+    shift, left_of, right_of = F.length("l_title") - n, i - 1, F.col("k") - i
+    first = F.greatest(F.lit(1), F.col("at") - left_of, F.col("at") + shift - right_of)
+    last = F.least(F.length("l_title") - F.col("size") + 1, F.col("at") + left_of, F.col("at") + shift + right_of)
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    s = s.withColumn("x", F.explode(places))
+    s = s.select(F.xxhash64("j_year", "n", "i", F.substring("l_title", F.col("x"), F.col("size"))).alias("key"), "j_year", "l_title").distinct()
+    pairs = (s.join(r, "key").where(F.col("j_year") == F.col("r_year")).select("j_year", "l_title", "r_title").distinct())
+    return pairs.withColumn("similarity", title_similarity("l_title", "r_title")).where(F.col("similarity") >= threshold)
+
+
 def title_similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.9,
                           year_slack: int = 0) -> DataFrame:
     """Pairs (license_id, title_id, similarity) within the same release year (+-slack)
-    whose normalised titles are at least ``threshold`` similar.
+    whose normalised titles are at least ``threshold`` (over 0.5) similar.
 
-    Blocking is an equi-join on an exploded year key plus the length filter
-    implied by the threshold (|la-lb| <= (1-t)*max), so no cartesian product is formed.
+    Similarity is 1 - edit distance / longer length. Distinct titles are paired first
+    (``similar_titles``); ids join on their titles. Rows without year or title have no pair.
     """
-    l = left.select("license_id", F.col("title_norm").alias("l_title"),
-                    F.col("release_year").cast("bigint").alias("l_year")).where(F.col("l_year").isNotNull())
-    if year_slack:
-        l = l.withColumn("j_year", F.explode(F.sequence(F.col("l_year") - year_slack,
-                                                        F.col("l_year") + year_slack)))
-    else:
-        l = l.withColumn("j_year", F.col("l_year"))
-    r = right.select("title_id", F.col("title_norm").alias("r_title"),
-                     F.col("releaseYear").cast("bigint").alias("j_year")).distinct()
-    la, lb = F.length("l_title"), F.length("r_title")
-    pairs = l.join(r, "j_year").where(
-        F.abs(la - lb) <= F.greatest(la, lb) * (1.0 - threshold))
-    sim = title_similarity("l_title", "r_title")
-    return (pairs.withColumn("similarity", sim).where(F.col("similarity") >= threshold)
-            .select("license_id", "title_id", F.round("similarity", 6).alias("similarity"))
-            .distinct())
+    lrows = left.select("license_id", F.col("title_norm").alias("l_title"),
+                        F.col("release_year").cast("bigint").alias("l_year")).dropna()
+    lrows = lrows.withColumn("j_year", F.explode(F.sequence(F.col("l_year") - year_slack, F.col("l_year") + year_slack)))
+    rrows = right.select("title_id", F.col("title_norm").alias("r_title"),
+                         F.col("releaseYear").cast("bigint").alias("j_year")).dropna().distinct()
+    pairs = similar_titles(lrows, rrows, threshold)
+    return (lrows.join(pairs, ["j_year", "l_title"]).join(rrows, ["j_year", "r_title"])
+            .select("license_id", "title_id", F.round("similarity", 6).alias("similarity")).distinct())

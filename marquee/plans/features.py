@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee.functions.columns import preferred_column_order, require_columns
 from marquee.functions.text import normalize_title
 from marquee.operators import linkage as L
+from marquee.session import save_table
 
 
 @dataclass
@@ -20,8 +21,10 @@ class Catalogue:
 
 
 def build_catalogue(basics: DataFrame, ratings: DataFrame, akas_raw: DataFrame,
-                    year_mode: str = "parity") -> Catalogue:
+                    year_mode: str = "parity", store: bool = False) -> Catalogue:
+    """``store`` writes the core once; linkage reads it four times."""
     core = L.catalog_core(basics, ratings, year_mode)
+    core = save_table(core, "catalogue") if store else core
     require_columns(core, ["title_id", "primaryTitle", "releaseYear", "primary_title_norm"], "catalogue core")
     akas = L.catalog_akas(akas_raw)
     cand = L.candidate_universe(core, akas)

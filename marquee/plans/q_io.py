@@ -42,6 +42,11 @@ def q_scan_head(spark, sf_dir):
                         ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).drop("l_suppkey")
 
 
+@query("scan_head_source_order", "select l_orderkey, l_linenumber, l_partkey from lineitem limit 50000")
+def q_scan_head_source_order(spark, sf_dir):
+    return IO.scan_head(IO.read_parquet(spark, f"{sf_dir}/lineitem.parquet"), 50_000, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @query("scan_csv", _CUST_ORACLE)
 def q_scan_csv(spark, sf_dir):
     p = scratch_path(spark, "customer.csv")

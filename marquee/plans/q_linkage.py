@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marquee.functions.text import normalize_title
 from marquee.operators import linkage as L
 from marquee.plans import sqltext as S
 from marquee.plans.features import build_catalogue, feature_master, prepare_base, reference_price
 from marquee.plans.queries import query, rnd, tables
 
 
-def _cat(t):
-    return build_catalogue(t["title_basics"], t["title_ratings"], t["title_akas"])
+def _cat(t, store=False):
+    return build_catalogue(t["title_basics"], t["title_ratings"], t["title_akas"], store=store)
 
 
 @query("catalog_core", f"with {S.CORE.strip()} select title_id, titleType, primaryTitle, runtimeMinutes, "
@@ -48,7 +49,7 @@ def q_id_entity_map_parity(spark, sf_dir):
 def q_unmatched(spark, sf_dir):
     t = tables(spark, sf_dir)
     base = prepare_base(t["licensing"])
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     u = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     return rnd(u.select("license_id", "title_id", "release_year", "territory", "price"))
 
@@ -58,7 +59,7 @@ def q_unmatched(spark, sf_dir):
 def q_resolve_entities(spark, sf_dir):
     t = tables(spark, sf_dir)
     base = prepare_base(t["licensing"])
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     rest = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     return rnd(L.resolve_entities(rest, cat.cand, snapshot=False))
 
@@ -68,7 +69,7 @@ def q_resolve_entities(spark, sf_dir):
 def q_resolve_entities_parity(spark, sf_dir):
     t = tables(spark, sf_dir)
     base = prepare_base(t["licensing"])
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     rest = L.unmatched(base, L.id_entity_map(base, None, "parity"))
     return rnd(L.resolve_entities(rest, cat.cand, snapshot=False))
 
@@ -77,7 +78,7 @@ def q_resolve_entities_parity(spark, sf_dir):
        "select license_id, title_id, method, round(match_score, 6) as match_score from emap")
 def q_entity_mapping(spark, sf_dir):
     t = tables(spark, sf_dir)
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     m = L.entity_mapping(prepare_base(t["licensing"]), cat.core, cat.cand)
     return rnd(m.select(*L.MAPPING_COLUMNS))
 
@@ -88,7 +89,7 @@ def q_entity_mapping(spark, sf_dir):
        "round(100.0 * avg(case when title_id is not null then 1.0 else 0.0 end), 6) as hit_pct from emap")
 def q_mapping_stats(spark, sf_dir):
     t = tables(spark, sf_dir)
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     return L.mapping_stats(L.entity_mapping(prepare_base(t["licensing"]), cat.core, cat.cand))
 
 
@@ -96,7 +97,7 @@ def q_mapping_stats(spark, sf_dir):
        "select license_id, title_id, method, round(match_score, 6) as match_score from ranked")
 def q_rank_entity_map(spark, sf_dir):
     t = tables(spark, sf_dir)
-    cat = _cat(t)
+    cat = _cat(t, store=True)
     m = L.entity_mapping(prepare_base(t["licensing"]), cat.core, cat.cand)
     return rnd(L.rank_entity_map(m.select(*L.MAPPING_COLUMNS)))
 
@@ -114,13 +115,13 @@ def _fm_sql(mode):
 @query("feature_master", _fm_sql("intended"))
 def q_feature_master(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return rnd(feature_master(t["licensing"], _cat(t), mode="intended").select(*_FM_COLS))
+    return rnd(feature_master(t["licensing"], _cat(t, store=True), mode="intended").select(*_FM_COLS))
 
 
 @query("feature_master_parity", _fm_sql("parity"))
 def q_feature_master_parity(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return rnd(feature_master(t["licensing"], _cat(t), mode="parity").select(*_FM_COLS))
+    return rnd(feature_master(t["licensing"], _cat(t, store=True), mode="parity").select(*_FM_COLS))
 
 
 _TERR_SQL = (f"with {S.linkage_ctes('intended')},{S.feature_master_sql('intended')} "
@@ -140,4 +141,23 @@ def territory_summary(fm):
 @query("territory_summary", _TERR_SQL)
 def q_territory_summary(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return territory_summary(feature_master(t["licensing"], _cat(t), mode="intended"))
+    return territory_summary(feature_master(t["licensing"], _cat(t, store=True), mode="intended"))
+
+
+# titles of licences as they were sold (brand after "__"), one row for each title and year
+_SOLD = "trim(split_part({}, '__', 1))".format
+
+
+@query("title_similarity_join",
+       f"with {S.CORE.strip()}, sold as (select {S.norm_title(_SOLD('title'))} as title_norm, cast(release_year as bigint) as release_year, "
+       "min(license_id) as license_id from licensing group by 1, 2), "
+       "pairs as (select s.license_id, c.title_id, 1.0 - cast(levenshtein(s.title_norm, c.primary_title_norm) as double) "
+       "/ greatest(length(s.title_norm), length(c.primary_title_norm)) as similarity "
+       "from sold s join core c on abs(c.releaseYear - s.release_year) <= 1) "
+       "select distinct license_id, title_id, round(similarity, 6) as similarity from pairs where similarity >= 0.7")
+def q_title_similarity_join(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    sold = t["licensing"].select("license_id", "release_year", normalize_title(F.trim(F.split_part("title", F.lit("__"), F.lit(1)))).alias("title_norm"))
+    sold = sold.groupBy("title_norm", "release_year").agg(F.min("license_id").alias("license_id"))
+    core = _cat(t).core.select("title_id", F.col("primary_title_norm").alias("title_norm"), "releaseYear")
+    return L.title_similarity_join(sold, core, 0.7, year_slack=1)

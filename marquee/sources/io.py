@@ -5,7 +5,8 @@ from __future__ import annotations
 import posixpath
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,14 +62,43 @@ def read_any(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 def scan_head(df: DataFrame, n: int = 50_000, columns: list[str] | None = None,
               order: list[str] | None = None) -> DataFrame:
-    """First ``n`` rows (in ``order`` when given) of an optional column projection.
-
-    The projection reaches the Parquet scan (ReadSchema); the limit is a
-    per-partition limit followed by a global one (or a top-n with an order)."""
+    """First ``n`` rows of an optional column projection, in ``order`` or else in source order.
+
+    Source order is by file path and place in the file, so ``df`` must be a scan of files
+    (filters and projections of stored columns allowed). For Parquet the files' row counts
+    come from a scan without columns; only the files that hold the first n rows are read, by
+    row index, and nothing is sorted. For other formats places are block starts and row
+    numbers, and each task hands on its own first n rows.
+    """
     out = df.select(*columns) if columns else df
     if order:
-        out = out.orderBy(*order)
-    return out.limit(n)
+        return out.orderBy(*order).limit(n)
+    names = out.columns
+    try:
+        placed = df.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return _head_by_blocks(df, names, n)
+    # as files, not as rows, are numbered, the window runs over one row a file
+    counts = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n)
+    take = {r["_file"]: min(r["_rows"], n - r["_before"]) for r in first.collect()}     # at most n files, none empty
+    if not take:
+        return out.limit(0)
+    kept = placed.where(F.col("_metadata.file_path").isin(list(take)))
+    part = {f: k for f, k in take.items()}
+    last = max(part)
+    # all files but the last are wanted whole
+    return kept.where((F.col("_file") != last) | (F.col("_row") < part[last])).select(*names)
+
+
+def _head_by_blocks(df: DataFrame, names: list[str], n: int) -> DataFrame:
+    try:
+        placed = df.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                           F.monotonically_increasing_id().alias("_at"))
+    except AnalysisException:
+        raise ValueError("rows that come from no file have no source order: give an order") from None
+    return placed.orderBy("_file", "_block", "_at").limit(n).select(*names)
 
 
 def base_name(src: str) -> str:
@@ -81,11 +111,11 @@ def ingest_raw(spark: SparkSession, src: str, root: str, run_id: str, cap_n_rows
                name: str | None = None, **reader) -> str:
     """Any source -> ``<root>/<run_id>/<name>.parquet``; returns the path.
 
-    ``cap_n_rows`` is an optional row cap (None = whole source); ``reader`` goes to the
+    ``cap_n_rows`` keeps the source's first rows (None = whole source); ``reader`` goes to the
     source's reader (``schema``, ``multiline``)."""
     df = read_any(spark, src, **reader)
     if cap_n_rows is not None:
-        df = df.limit(cap_n_rows)
+        df = scan_head(df, cap_n_rows)
     out = posixpath.join(root, run_id, f"{name or base_name(src)}.parquet")
     df.write.mode("overwrite").parquet(out)
     return out
