@@ -1,24 +1,28 @@
 """Model training on Spark ML, with deterministic hash splits and long predictions.
 
-* Splits and folds are ``pmod(xxhash64(key, seed), 100)`` - stable across plans
-  and re-executions (``randomSplit`` is not, once partitions are recomputed).
-* One-feature OLS / ridge fits are plain aggregations (``regr_*`` / moments), so
-  they run as one distributed pass; multi-feature fits use ``pyspark.ml``.
+* Splits and folds are taken from an MD5 of key and seed - stable across plans,
+  engines and re-executions (``randomSplit`` is not, once partitions are recomputed).
+* Linear models are solved from one aggregated Gram matrix (``operators.gram``),
+  several models and folds at once; other models use ``pyspark.ml``.
 * Training inputs are cut from lineage with a reliable checkpoint before the
   iterative estimators run, so a lost executor recomputes from the checkpoint.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import select_dtypes
-from marquee.session import cut_lineage
+from marquee.operators.gram import LINEAR_KINDS, grams, solve, total
+from marquee.session import cut_lineage, save_table
 
 
 # ---------------------------------------------------------------- data prep
@@ -30,22 +34,25 @@ def feature_target(df: DataFrame, target: str = "price", features: list[str] | N
     ``on_missing="drop"``, which leaves such rows out (``missing_rows`` counts them)."""
     feats = features or [c for c in select_dtypes(df, "numeric") if c != target]
     cols = ([key] if key else []) + feats + [target]
-    clean = df.select(*cols)
-    if on_missing == "drop":
-        clean = clean.dropna(subset=feats + [target])
-    elif on_missing == "error":
-        absent = F.raise_error(F.lit(f"null in {', '.join(feats + [target])}: pass on_missing='drop' to leave such rows out"))
-        whole = F.lit(True)
-        for c in feats + [target]:
-            whole = whole & F.col(c).isNotNull()
-        # on every column, so that whichever is read first in a row tells the same
-        clean = clean.withColumns({c: F.when(whole, F.col(c)).otherwise(absent.cast(df.schema[c].dataType)) for c in feats + [target]})
-    else:
-        raise ValueError(f"on_missing: {on_missing}")
+    clean = whole_rows(df.select(*cols), feats + [target], on_missing)
     va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")
     return va.transform(clean).withColumn("label", F.col(target).cast("double")), feats
 
 
+def whole_rows(df: DataFrame, columns: list[str], on_missing: str = "error") -> DataFrame:
+    """Rows without a null in ``columns``: others are dropped, or an error for whoever reads one."""
+    if on_missing == "drop":
+        return df.dropna(subset=columns)
+    if on_missing != "error":
+        raise ValueError(f"on_missing: {on_missing}")
+    absent = F.raise_error(F.lit(f"null in {', '.join(columns)}: pass on_missing='drop' to leave such rows out"))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    # on every column, so that whichever is read first in a row tells the same
+    return df.withColumns({c: F.when(whole, F.col(c)).otherwise(absent.cast(df.schema[c].dataType)) for c in columns})
+
+
 def missing_rows(df: DataFrame, target: str, features: list[str]) -> int:
     """Rows that ``on_missing="drop"`` leaves out."""
     return df.count() - df.dropna(subset=[*features, target]).count()
@@ -53,11 +60,17 @@ def missing_rows(df: DataFrame, target: str, features: list[str]) -> int:
 
 def split_flag(key_cols: list[str], seed: int = 42, valid_pct: int = 20):
     """Deterministic 80/20 split column: true = validation row."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(100)) < valid_pct
+    return keyed_number(key_cols, seed) % 100 < valid_pct
 
 
 def fold_id(key_cols: list[str], k: int = 5, seed: int = 42):
-    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed + 1)), F.lit(k)).cast("int")
+    return (keyed_number(key_cols, seed + 1) % k).cast("int")
+
+
+def keyed_number(key_cols: list[str], seed: int) -> Column:
+    """32 bits of the MD5 of "key|...|seed" (null keys left out), the same in any engine that has MD5."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 # ---------------------------------------------------------------- closed-form one-feature fits
@@ -140,8 +153,9 @@ def train_models(df: DataFrame, target: str, features: list[str], key: str,
                  seed: int = 42) -> TrainResult:
     """Fit every spec on the same split; predictions on the validation rows.
 
-    The assembled frame is checkpointed once (shared by all fits); models are
-    trained one after another, each a distributed job.
+    The assembled frame is checkpointed once (shared by all fits). All linear models are
+    solved from one Gram matrix; the others are trained one after another, each a
+    distributed job.
     """
     from marquee.operators.evaluate import breusch_pagan, regression_metrics
     data, _ = feature_target(df, target, features, key)
@@ -153,13 +167,14 @@ def train_models(df: DataFrame, target: str, features: list[str], key: str,
         train, val = cut_lineage(data), feature_target(valid, target, features, key)[0]
     specs = specs or DEFAULT_MODELS
     models, preds, bp = {}, [], {}
+    sums = total(grams(train, features, target)) if any(s.kind in LINEAR_KINDS for s in specs) else None
     for s in specs:
-        m = fit(s, train)
+        m = solve(sums, s.kind, s.params.get("alpha", 1.0)) if s.kind in LINEAR_KINDS else fit(s, train)
         models[s.name] = m
         p = m.transform(val).select(F.col(key).cast("string").alias("row_id"), F.lit(s.name).alias("model"),
                                     F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
         preds.append(p)
-        if s.kind in ("linear", "ridge", "lasso"):
+        if s.kind in LINEAR_KINDS:
             res = m.transform(val).withColumn("_e", F.col("label") - F.col("prediction"))
             bp[s.name] = breusch_pagan(res, "_e", features)
     allp = preds[0]
@@ -179,12 +194,61 @@ def linear_coefficients(model, features: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- stacking / chains
 
 def stacking_oof(df: DataFrame, target: str, features: list[str], key: str,
-                 specs: list[ModelSpec], k: int = 5, alpha: float = 1.0, seed: int = 42):
-    """Out-of-fold predictions of each base model (hash folds), a ridge meta model on
-    them, and a predictor that averages the k fold models per base model.
+                 specs: list[ModelSpec], k: int = 5, alpha: float = 1.0, seed: int = 42, fold_col: str | None = None):
+    """Out-of-fold predictions of each base model (hash folds, or ``fold_col``), a ridge meta model
+    on them, and a predictor that averages the fold models of each base model.
+
+    A spec's ``features`` parameter names a base model's own features. Linear base models are
+    fitted from one pass of Gram matrices by fold, and so is the meta model. Returns
+    (oof_df, meta_model, predict) where ``predict(new_df)`` yields (row_id, y_true, y_pred)."""
+    if all(s.kind in LINEAR_KINDS for s in specs):
+        return _linear_stack(df, target, features, key, specs, k, alpha, seed, fold_col)
+    if any("features" in s.params for s in specs):
+        raise ValueError("own features are for stacks of linear models")
+    return _general_stack(df, target, features, key, specs, k, alpha, seed, fold_col)
+
+
+def _linear_stack(df, target, features, key, specs, k, alpha, seed, fold_col):
+    fold = F.col(fold_col) if fold_col else fold_id([key], k, seed)
+    rows = whole_rows(df.select(key, fold.alias("_fold"), *features, target), [*features, target], "error")
+    parts = grams(rows, features, target, "_fold")
+    everything = total(parts)
+    names = [f"oof_{s.name}" for s in specs]
+    fits, z = {}, None
+    for f, g in parts.items():
+        rest = everything - g
+        fits[f] = [solve(rest.of(s.params.get("features", features)), s.kind, s.params.get("alpha", 1.0)) for s in specs]
+        weights = np.zeros((len(specs), len(features)))
+        for i, m in enumerate(fits[f]):
+            for name, w in zip(m.features, m.weights):
+                weights[i, features.index(name)] = w
+        mine = g.mapped(weights, np.array([m.intercept for m in fits[f]]), names)
+        z = mine if z is None else z + mine
+    meta = solve(z, "ridge", alpha)
+
+    def out_of_fold(i):
+        value = F.lit(None).cast("double")
+        for f, models in fits.items():
+            m = models[i]
+            value = F.when(F.col("_fold").eqNullSafe(F.lit(f)), m.value([F.col(f"`{c}`") for c in m.features])).otherwise(value)
+        return value
+    oof = rows.select(key, F.col(target).cast("double").alias("label"), *[out_of_fold(i).alias(n) for i, n in enumerate(names)])
+
+    def predict(new_df: DataFrame) -> DataFrame:
+        out = new_df.select(key, F.col(target).cast("double").alias("label"), *features)
+        for i, n in enumerate(names):
+            models = [m[i] for m in fits.values()]
+            average = sum((m.value([F.col(f"`{c}`") for c in m.features]) for m in models[1:]),
+                          models[0].value([F.col(f"`{c}`") for c in models[0].features])) / len(models)
+            out = out.withColumn(n, average)
+        return meta.transform(out).select(F.col(key).cast("string").alias("row_id"), F.col("label").alias("y_true"),
+                                          F.col("prediction").alias("y_pred"))
+    return oof, meta, predict
 
-    Returns (oof_df, meta_model, predict) where ``predict(new_df)`` yields
-    (row_id, y_pred)."""
+
+def _general_stack(df, target, features, key, specs, k, alpha, seed, fold_col):
+    if fold_col is not None:
+        raise ValueError("fold_col is for stacks of linear models")
     data, _ = feature_target(df, target, features, key)
     data = cut_lineage(data.withColumn("_fold", fold_id([key], k, seed)))
     fold_models = {s.name: [] for s in specs}
@@ -243,42 +307,105 @@ def residual_chain(train: DataFrame, valid: DataFrame, target: str, features: li
 
 # ---------------------------------------------------------------- explanations
 
+#: prime modulus of the round functions
+_PRIME = 2**31 - 1
+#: steps back into the range; beyond 16 the chance is below n ** -7, and a small range has no longer cycle
+_STEPS, _ROUNDS = 16, 4
+
+
+def round_keys(seed: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}:{j}".encode()).hexdigest()[:8], 16) % _PRIME for j in range(_ROUNDS)]
+
+
+def with_image(df: DataFrame, i: str, n: int, keys: list[Column], out: str) -> DataFrame:
+    """``out``: image of ``i`` (0 to n-1, n below 2**53) under a bijection of that range, keyed by ``round_keys``.
+
+    A Feistel network over digits (low, high) of a grid just larger than n: each round adds
+    a keyed function of one digit to the other, so it can be undone. An image outside the range is mapped
+    again until it falls inside, which keeps the map one-to-one.
+    """
+    low, high = _grid(n)
+
+    def digits(x: Column) -> tuple[Column, Column]:
+        return x % low, ((x - x % low) / low).cast("long")
+
+    def rounds(a: Column, b: Column):
+        """The digits after each round."""
+        for j, key in enumerate(keys):
+            y = ((b if j % 2 == 0 else a) + key) % _PRIME
+            if j % 2 == 0:
+                a = (a + y * y % _PRIME) % low
+            else:
+                b = (b + y * y % _PRIME) % high
+            yield a, b
+
+    def again(x: Column) -> Column:
+        a, b = list(rounds(*digits(x)))[-1]
+        return b * low + a
+    a, b = digits(F.col(i))
+    step = df.withColumns({"_a": a, "_b": b})
+    for j, key in enumerate(keys):         # a column a round: nothing is computed twice
+        y = (F.col("_b" if j % 2 == 0 else "_a") + key) % _PRIME
+        mine, size = ("_a", low) if j % 2 == 0 else ("_b", high)
+        step = step.withColumn("_y", y).withColumn(mine, (F.col(mine) + F.col("_y") * F.col("_y") % _PRIME) % size)
+    step = step.withColumn("_w", F.col("_b") * low + F.col("_a"))
+    walk = F.aggregate(F.array_repeat(F.lit(0), _STEPS), F.col("_w"), lambda x, _: F.when(x < n, x).otherwise(again(x)))
+    step = step.withColumn(out, F.when(F.col("_w") < n, F.col("_w")).otherwise(walk))
+    lost = F.raise_error(F.lit("the walk left the range")).cast("long")
+    return step.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(lost)).drop("_a", "_b", "_y", "_w")
+
+
+def _grid(n: int) -> tuple[int, int]:
+    low = math.isqrt(max(n - 1, 0)) + 1
+    return low, max(1, -(-n // low))
+
+
+def dense_index(df: DataFrame, order: list[str], out: str = "_i") -> DataFrame:
+    """Rows numbered 0 to n-1 in ``order``, without a one-task sort: written in ranges, numbered inside each.
+
+    The offsets table has one row a range.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    written = save_table(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "indexed")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before")))
+    return (written.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
+            .select(*df.columns, out))
+
+
 def permutation_importance(model, data: DataFrame, features: list[str], key: str,
                            repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop in R2 when one feature is shuffled, over ``repeats`` shuffles.
 
-    A shuffle pairs each row with the feature value of another row: both sides get
-    a dense index with ``zipWithIndex`` (per-partition counts, no single-task sort
-    of the data) - one side in key order, the other in hash-random order - and are
-    joined on that index.
+    Rows are numbered in order of key and features. A shuffle is a keyed bijection of these
+    numbers: the row gets the feature of the row that its number maps to. All shuffles of all
+    features are one equi-join on row numbers and one aggregate.
     """
-    from marquee.operators.evaluate import regression_metrics
+    base = data.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col("label").cast("double").alias("label"))
+    rows = save_table(dense_index(base, [key, *features, "label"]).drop(key), "numbered")
+    n, sst = rows.agg(F.count(F.lit(1)), F.var_pop("label") * F.count(F.lit(1))).first()
     spark = data.sparkSession
-    base = data.select(key, *features, "label")
-    base = cut_lineage(base)
-
-    def indexed(df, order_col):
-        rdd = df.orderBy(order_col).rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-        return spark.createDataFrame(rdd, df.schema.add("_i", "long"))
+    if not n or not sst:
+        return spark.createDataFrame([], "feature string, importance double")
 
-    def r2(df):
+    def sse(df: DataFrame, by: list[str]) -> DataFrame:
         va = VectorAssembler(inputCols=features, outputCol="features").transform(df)
-        p = model.transform(va).select(F.col(key).cast("string").alias("row_id"), F.lit("m").alias("model"),
-                                       F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-        return regression_metrics(p).first()["R2"]
-
-    r0 = r2(base)
-    left = cut_lineage(indexed(base, key))
-    rows = []
-    for j, f in enumerate(features):
-        drops = []
-        for r in range(repeats):
-            rk = F.xxhash64(F.col(key), F.lit(seed + 1000 * j + r))
-            donor = indexed(base.select(key, F.col(f).alias("_v")), rk).select("_i", "_v")
-            shuffled = left.join(donor, "_i").drop(f, "_i").withColumnRenamed("_v", f)
-            drops.append(r0 - r2(shuffled))
-        rows.append((f, float(sum(drops) / len(drops))))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
+        e = F.col("label") - F.col("prediction")
+        return model.transform(va).groupBy(*by).agg(F.sum(e * e).alias("sse"))
+    whole = sse(rows, []).first()["sse"]
+    trials = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(r).alias("_r"), F.array(*[F.lit(k).cast("long") for k in round_keys(seed + 1000 * j + r)]).alias("_k"))
+                       for j in range(len(features)) for r in range(repeats)])
+    asked = rows.withColumn("_x", F.explode(trials)).select(*features, "label", "_i", "_x.*")
+    asked = with_image(asked, "_i", n, [F.col("_k")[i] for i in range(_ROUNDS)], "_t").drop("_i", "_k")
+    donors = rows.select(F.col("_i").alias("_t"), *[F.col(f"`{f}`").alias(f"_d{j}") for j, f in enumerate(features)])
+    mixed = asked.join(donors, "_t")
+    mixed = mixed.withColumns({f: F.when(F.col("_j") == j, F.col(f"_d{j}")).otherwise(F.col(f"`{f}`")) for j, f in enumerate(features)})
+    name = F.array(*[F.lit(f) for f in features])
+    # R2 falls by (sse of the shuffle - sse) / sst
+    return (sse(mixed, ["_j", "_r"]).groupBy("_j").agg(F.avg((F.col("sse") - F.lit(whole)) / F.lit(sst)).alias("importance"))
+            .select(name[F.col("_j")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature"))
 
 
 def linear_shap(model, data: DataFrame, features: list[str]) -> DataFrame:

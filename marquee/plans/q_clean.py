@@ -306,7 +306,9 @@ def q_one_hot_drop_first(spark, sf_dir):
     return out.select("license_id", *[c for c in out.columns if c.startswith("media_")])
 
 
-@query("one_hot_sparse")
+@query("one_hot_sparse", "select license_id, [" + ", ".join(
+    f"case when {_norm_cat('media')} = '{v}' then 1.0::double else 0.0::double end" for v in MEDIA_LEVELS) + "] as media_ohe, [" + ", ".join(
+    f"case when {_norm_cat('territory')} = '{v}' then 1.0::double else 0.0::double end" for v in TERR_LEVELS) + "] as territory_ohe from licensing")
 def q_one_hot_sparse(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     out = E.one_hot_sparse(_lic(spark, sf_dir), ["media", "territory"])

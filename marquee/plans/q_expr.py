@@ -235,10 +235,11 @@ def q_scatter_sample(spark, sf_dir):
     return rnd(R.scatter_sample(tables(spark, sf_dir)["licensing"], "units", "price"))
 
 
-@query("scatter_sample_capped")
+@query("scatter_sample_capped", "select round(cast(units as double), 6) as x, round(price, 6) as y from licensing "
+       "where units is not null and price is not null order by md5(license_id || '|42'), 1, 2 limit 2000")
 def q_scatter_sample_capped(spark, sf_dir):
     """Sampling operator: a deterministic hash sample of at most 2000 points."""
-    return R.scatter_sample(tables(spark, sf_dir)["licensing"], "units", "price", max_points=2000)
+    return rnd(R.scatter_sample(tables(spark, sf_dir)["licensing"], "units", "price", max_points=2000, key=["license_id"]))
 
 
 # ---------------------------------------------------------------- report bundles (rows-only)

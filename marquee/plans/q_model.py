@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from marquee.operators import evaluate as EV
 from marquee.operators import model as M
 from marquee.operators import profile as P
+from marquee.operators.gram import grams, solve, total
+from marquee.plans import sqlmodel as Q
 from marquee.plans.queries import query, rnd, tables
 
 FEATS = ["l_quantity", "l_discount", "l_tax"]
@@ -154,7 +156,20 @@ def q_breusch_pagan(spark, sf_dir):
     return rnd(spark.createDataFrame([(bp["LM"], bp["F"])], "LM double, F double"))
 
 
-@query("breusch_pagan_pvalues")
+def _bp_sql(source: str) -> str:
+    """LM and F of e^2 on the three features with their tail probabilities, by model, from rows with e2."""
+    g = "(" + Q.gram3(source, "e2", by="model") + ") g"
+    fit = Q.solve3(g, keep="model, n, m1, m2, m3, my, syy, c1, c2, c3")
+    return (f"select model, LM, {Q.chi2_sf('LM', 3)} as LM_pvalue, F, {Q.f_sf('F', 3, 'n - 4')} as F_pvalue from ("
+            f"select model, n, n * r2 as LM, (r2 / 3) / ((1 - r2) / (n - 4)) as F from ("
+            f"select model, n, (w1 * c1 + w2 * c2 + w3 * c3) / syy as r2 from ({fit}) f) r) t")
+
+
+_TEST_COLS = "round(LM, 6) as LM, round(LM_pvalue, 6) as LM_pvalue, round(F, 6) as F, round(F_pvalue, 6) as F_pvalue"
+
+
+@query("breusch_pagan_pvalues", _PRED_CTE + ", e as (select 'm' as model, va.*, (y_true - y_pred) * (y_true - y_pred) as e2 from preds "
+       "join va on preds.row_id = va.row_id where preds.model = 'ols_quantity'), bp as (" + _bp_sql("e") + f") select {_TEST_COLS} from bp")
 def q_breusch_pagan_pvalues(spark, sf_dir):
     li = _li(spark, sf_dir)
     p = predictions_long(spark, sf_dir).where(F.col("model") == "ols_quantity")
@@ -203,12 +218,35 @@ def q_train_ridge_closed_form(spark, sf_dir):
     return rnd(spark.createDataFrame([(b, a)], "slope double, intercept double"))
 
 
-@query("train_lasso")
-def q_train_lasso(spark, sf_dir):
+_FIT_CTE = _PRED_CTE.split("coef as (")[0] + "g as (" + Q.gram3("tr") + "), "
+_FITS = {"LinearRegression": Q.solve3("g"), "Ridge": Q.solve3("g", 1.0), "Lasso": f"select * from {Q.lasso3('g', 1.0)} l"}
+_SPECS = [M.ModelSpec("LinearRegression", "linear", {}), M.ModelSpec("Ridge", "ridge", {"alpha": 1.0}), M.ModelSpec("Lasso", "lasso", {"alpha": 1.0})]
+
+
+def _coefficients(name):
+    w = f"w as ({_FITS[name]}) "
+    return _FIT_CTE + w + " union all ".join(f"select '{f}' as feature, round({c}, 4) as coefficient from w" for f, c in zip(
+        [*FEATS, "(intercept)"], ["w1", "w2", "w3", "w0"]))
+
+
+def _fit_all(spark, sf_dir, spec):
     tr, _ = _split(spark, sf_dir)
-    data, feats = M.feature_target(tr, "y", FEATS)
-    m = M.fit(M.ModelSpec("Lasso", "lasso", {"alpha": 1.0}), data)
-    return rnd(M.linear_coefficients(m, feats), 4)
+    return rnd(M.linear_coefficients(solve(total(grams(tr, FEATS, "y")), spec.kind, spec.params.get("alpha", 1.0)), FEATS), 4)
+
+
+@query("train_linear_features", _coefficients("LinearRegression"))
+def q_train_linear_features(spark, sf_dir):
+    return _fit_all(spark, sf_dir, _SPECS[0])
+
+
+@query("train_ridge_features", _coefficients("Ridge"))
+def q_train_ridge_features(spark, sf_dir):
+    return _fit_all(spark, sf_dir, _SPECS[1])
+
+
+@query("train_lasso", _coefficients("Lasso"))
+def q_train_lasso(spark, sf_dir):
+    return _fit_all(spark, sf_dir, _SPECS[2])
 
 
 @query("train_gbt")
@@ -221,26 +259,33 @@ def q_train_gbt(spark, sf_dir):
     return rnd(res.metrics)
 
 
-@query("train_models")
+_MODELS_CTE = (_FIT_CTE + ", ".join(f"w_{n} as ({q})" for n, q in _FITS.items()) + ", preds as ("
+               + " union all ".join(f"select va.*, '{n}' as model, y as y_true, w0 + w1 * l_quantity + w2 * l_discount + w3 * l_tax as y_pred "
+                                    f"from va, w_{n}" for n in _FITS) + ") ")
+
+
+@query("train_models", _MODELS_CTE + ", e as (select *, (y_true - y_pred) * (y_true - y_pred) as e2 from preds), bp as (" + _bp_sql("e") +
+       f"), m as (select model, {_METRICS} from preds group by model) select model, {_r(['RMSE', 'MAE', 'R2'])}, {_TEST_COLS} "
+       "from m join bp using (model)")
 def q_train_models(spark, sf_dir):
     tr, va = _split(spark, sf_dir)
-    specs = [M.ModelSpec("LinearRegression", "linear", {}), M.ModelSpec("Ridge", "ridge", {"alpha": 1.0}),
-             M.ModelSpec("Lasso", "lasso", {"alpha": 1.0})]
-    res = M.train_models(tr, "y", FEATS, "row_id", specs, valid=va)
+    res = M.train_models(tr, "y", FEATS, "row_id", _SPECS, valid=va)
     bp = spark.createDataFrame([(k, v.get("LM"), v.get("LM_pvalue"), v.get("F"), v.get("F_pvalue"))
                                 for k, v in res.bp.items()],
                                "model string, LM double, LM_pvalue double, F double, F_pvalue double")
     return rnd(res.metrics.join(bp, "model", "left"))
 
 
-@query("split")
+@query("split", "select ('0x' || substr(md5(license_id || '|42'), 1, 8))::bigint % 100 < 20 as is_valid, count(*) as rows "
+       "from licensing group by 1")
 def q_split(spark, sf_dir):
     """Deterministic hash split of the licences: row counts per side."""
     lic = tables(spark, sf_dir)["licensing"]
     return lic.groupBy(M.split_flag(["license_id"]).alias("is_valid")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("feature_target")
+@query("feature_target", "select license_id, [cast(release_year as double), cast(units as double)] as features, "
+       "cast(price as double) as label from licensing where release_year is not null and units is not null and price is not null")
 def q_feature_target(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     lic = tables(spark, sf_dir)["licensing"]
@@ -248,11 +293,28 @@ def q_feature_target(spark, sf_dir):
     return data.select("license_id", vector_to_array("features").alias("features"), "label")
 
 
-@query("stacking_oof")
+_STACK_CTE = (
+    _PRED_CTE.split("coef as (")[0].replace("l_orderkey, l_quantity", "l_orderkey, l_partkey, l_quantity", 1) + "f as (select range as fold from range(5)), "
+    # each fold's models are fitted on the other folds
+    "b as (select fold, regr_slope(y, l_quantity) as w1, regr_intercept(y, l_quantity) as b1, "
+    "covar_pop(l_discount, y) * count(*) / (var_pop(l_discount) * count(*) + 1.0) as w2, avg(y) as my, avg(l_discount) as md "
+    "from f join tr on tr.l_partkey % 5 <> f.fold group by fold), "
+    "o as (select y, b1 + w1 * l_quantity as z1, my + w2 * (l_discount - md) as z2 from tr join b on tr.l_partkey % 5 = b.fold), "
+    "s as (select count(*) as n, avg(z1) as m1, avg(z2) as m2, avg(y) as my, var_pop(z1) * count(*) + 1.0 as s11, var_pop(z2) * count(*) + 1.0 as s22, "
+    "covar_pop(z1, z2) * count(*) as s12, covar_pop(z1, y) * count(*) as c1, covar_pop(z2, y) * count(*) as c2 from o), "
+    "meta as (select *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) as v1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) as v2 from s), "
+    "mean as (select avg(w1) as w1, avg(b1) as b1, avg(w2) as w2, avg(my - w2 * md) as b2 from b) ")
+
+
+@query("stacking_oof", _STACK_CTE + f", preds as (select 'stacked' as model, va.y as y_true, meta.my - v1 * m1 - v2 * m2 + v1 * (mean.b1 + mean.w1 * l_quantity) "
+       f"+ v2 * (mean.b2 + mean.w2 * l_discount) as y_pred from va, meta, mean) select model, {_r(['RMSE', 'MAE', 'R2'])} "
+       f"from (select model, {_METRICS} from preds group by model) t")
 def q_stacking_oof(spark, sf_dir):
-    tr, va = _split(spark, sf_dir)
-    specs = [M.ModelSpec("LinearRegression", "linear", {}), M.ModelSpec("Ridge", "ridge", {"alpha": 1.0})]
-    _, _, predict = M.stacking_oof(tr, "y", FEATS, "row_id", specs, k=5)
+    li = _li(spark, sf_dir).withColumn("fold", F.split("row_id", "-")[1].cast("long") % 5)
+    tr, va = li.where(F.col("l_orderkey") % 5 != 0), li.where(F.col("l_orderkey") % 5 == 0)
+    specs = [M.ModelSpec("quantity", "linear", {"features": ["l_quantity"]}),
+             M.ModelSpec("discount", "ridge", {"alpha": 1.0, "features": ["l_discount"]})]
+    _, _, predict = M.stacking_oof(tr, "y", FEATS, "row_id", specs, k=5, fold_col="fold")
     return rnd(EV.regression_metrics(predict(va).withColumn("model", F.lit("stacked"))))
 
 
@@ -265,13 +327,23 @@ def q_residual_chain(spark, sf_dir):
     return rnd(EV.regression_metrics(p.withColumn("model", F.lit("chain"))))
 
 
-@query("permutation_importance")
+_TRIALS = ", ".join(f"({j}, {r}, '{f}', {', '.join(map(str, M.round_keys(42 + 1000 * j + r)))})" for j, f in enumerate(FEATS) for r in range(5))
+
+
+@query("permutation_importance", _FIT_CTE + f"w as ({_FITS['LinearRegression']}), "
+       "v as (select *, row_number() over (order by row_id, l_quantity, l_discount, l_tax, y) - 1 as i from va), "
+       "size as (select n, low, (n + low - 1) // low as high from (select count(*) as n, cast(floor(sqrt(count(*) - 1)) as bigint) + 1 as low from v) c), "
+       f"trials as (select * from (values {_TRIALS}) k(j, r, feature, k0, k1, k2, k3)), "
+       f"asked as (select v.*, j, r, feature, {Q.permuted('v.i', 'size.n', 'size.low', 'size.high', ['k0', 'k1', 'k2', 'k3'])} as t from v, size, trials), "
+       "mixed as (select a.j, a.r, a.feature, a.y - (w0 + w1 * case when a.j = 0 then d.l_quantity else a.l_quantity end + w2 * case when a.j = 1 then "
+       "d.l_discount else a.l_discount end + w3 * case when a.j = 2 then d.l_tax else a.l_tax end) as e from asked a join v d on d.i = a.t, w), "
+       "base as (select sum((y - (w0 + w1 * l_quantity + w2 * l_discount + w3 * l_tax)) ** 2) as sse, var_pop(y) * count(*) as sst from v, w) "
+       "select feature, round(avg((m.sse - base.sse) / sst), 6) as importance from (select feature, r, sum(e * e) as sse from mixed group by feature, r) m, "
+       "base group by feature")
 def q_permutation_importance(spark, sf_dir):
     tr, va = _split(spark, sf_dir)
-    data, feats = M.feature_target(tr, "y", FEATS)
-    m = M.fit(M.ModelSpec("LinearRegression", "linear", {}), data)
-    vdata = va.select("row_id", *FEATS, F.col("y").alias("label"))
-    return rnd(M.permutation_importance(m, vdata, FEATS, "row_id", repeats=2))
+    m = solve(total(grams(tr, FEATS, "y")), "linear")
+    return rnd(M.permutation_importance(m, va.select("row_id", *FEATS, F.col("y").alias("label")), FEATS, "row_id"))
 
 
 @query("linear_shap", "with tr as (select * from lineitem where l_orderkey % 5 <> 0), "

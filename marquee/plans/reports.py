@@ -185,11 +185,15 @@ def section_values(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, max_points: int | None = None, seed: int = 42) -> DataFrame:
+def scatter_sample(df: DataFrame, x: str, y: str, max_points: int | None = None, seed: int = 42,
+                   key: list[str] | None = None) -> DataFrame:
     """Rows where both are present; with ``max_points`` a deterministic hash sample of
-    at most that many points (top-n by hash: per-partition top-n, then merge)."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    at most that many points (top-n by hash: per-partition top-n, then merge).
+
+    The hash is an MD5 of ``key`` (default: the two values) and the seed."""
+    there = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = [F.col(x).alias("x"), F.col(y).alias("y")]
     if max_points is None:
-        return pairs
-    h = F.xxhash64(F.col("x"), F.col("y"), F.lit(seed))
-    return pairs.withColumn("_h", h).orderBy("_h").limit(max_points).drop("_h")
+        return there.select(*pairs)
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key or [x, y]], F.lit(str(seed)))
+    return there.select(*pairs, F.md5(text.cast("binary")).alias("_h")).orderBy("_h", "x", "y").limit(max_points).drop("_h")
