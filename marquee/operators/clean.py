@@ -212,9 +212,10 @@ def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame
 
 # ---------------------------------------------------------------- deduplication
 #
-# "Keep one row per key" is a hash aggregate with ``min_by(row, sort key)``: map-side
-# partial aggregation keeps one row per key per partition, so a key holding a third
-# of the table never lands in one task whole (a window would sort it in one task).
+# "Keep one row per key" is an aggregate with ``min_by(row, sort key)``: map-side partial
+# aggregation keeps one row per key per partition, so a key holding a third of the table
+# never lands in one task whole (a window would sort it in one task). As rows hold strings,
+# Spark plans it as sort aggregates: each task sorts its rows by key, on disk if need be.
 
 def _keep_best(df: DataFrame, keys: list[str], sort_key: Column, keep_null_keys: bool) -> DataFrame:
     cols = df.columns

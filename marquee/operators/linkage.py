@@ -268,8 +268,8 @@ def rank_entity_map(mapping: DataFrame, cfg: LinkageConfig = LinkageConfig(),
                     mode: str = "intended") -> DataFrame:
     """Best mapping row per licence: method rank desc, score desc, title id asc.
 
-    ``min_by`` over a sort struct is a hash aggregate with map-side partial
-    aggregation, so a licence with very many rows is never gathered in one task.
+    ``min_by`` over a sort struct is aggregated partially in each task (a sort aggregate, as
+    rows hold strings), so a licence with very many rows is never gathered in one task.
     """
     cols = [c for c in mapping.columns if c != "license_id"]
     order = F.struct((-method_rank_expr(cfg, mode)).alias("a"), (-F.col("match_score")).alias("b"),

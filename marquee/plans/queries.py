@@ -44,4 +44,4 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 # import the query modules so their decorators run
-from marquee.plans import q_clean, q_expr, q_io, q_linkage, q_model, q_profile  # noqa: E402,F401
+from marquee.plans import q_clean, q_expr, q_io, q_linkage, q_model, q_profile, q_reports  # noqa: E402,F401

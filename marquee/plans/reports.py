@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import profile as P
 from marquee.session import cut_lineage
+from marquee.sources.runstore import RunWriter
 
 EPS = 1e-12
 
@@ -64,6 +66,7 @@ def encoding_report(before: DataFrame, after: DataFrame, cols: list[str], normal
 
 
 # ---------------------------------------------------------------- manifest
+# fixed values: step names and status texts below are the result's own
 
 def step_rows(steps: list[tuple[str, dict | DataFrame]]) -> list[tuple[int, str, str]]:
     """(seq, step, payload_json) for small payloads (dicts or report tables)."""
@@ -103,77 +106,113 @@ def manifest_status(manifest: DataFrame) -> DataFrame:
     return manifest.select("seq", step.alias("step"), status.alias("status"))
 
 
-# ---------------------------------------------------------------- profile bundle
+# ---------------------------------------------------------------- report datasets
+#
+# A report is a set of named sections, each a table with a schema of its own. Sections are
+# given as functions, so that one can be made without the others.
 
-def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
-    """Shape, dtypes, missing, describe, correlations, sample, datetime summary and
-    monthly trends, sharing one checkpointed input."""
+Sections = dict[str, Callable[[], DataFrame]]
+
+
+def made(sections: Sections, only: list[str] | None = None) -> dict[str, DataFrame]:
+    return {k: make() for k, make in sections.items() if only is None or k in only}
+
+
+def store_sections(run: RunWriter, sections: Sections, only: list[str] | None = None) -> None:
+    """Write each section as a table of the run, under ``reports``."""
+    for name, make in sections.items():
+        if only is None or name in only:
+            run.put("reports", name, make())
+
+
+def profile_sections(df: DataFrame) -> Sections:
+    """Shape, dtypes, missing, describe, correlations, sample, datetime summary and monthly trends."""
     from marquee.functions.columns import dtypes_table, select_dtypes
-    src = cut_lineage(df)
-    tim = select_dtypes(src, "datetime")
-    out = {
-        "shape": P.shape(src),
-        "dtypes": dtypes_table(src),
-        "missing": P.missing_counts(src),
-        "describe": P.describe_all(src),
-        "corr_numeric": P.corr_matrix(src),
-        "sample_head": src.orderBy(*src.columns).limit(10),
-        "datetime_summary": P.datetime_summary(src, tim) if tim else None,
+    tim = select_dtypes(df, "datetime")
+    out: Sections = {
+        "shape": lambda: P.shape(df),
+        "dtypes": lambda: dtypes_table(df),
+        "missing": lambda: P.missing_counts(df),
+        "describe": lambda: P.describe_all(df),
+        "corr_numeric": lambda: P.corr_matrix(df),
+        "sample_head": lambda: df.orderBy(*df.columns).limit(10),
     }
+    if tim:
+        out["datetime_summary"] = lambda: P.datetime_summary(df, tim)
     for c in tim:
-        out[f"trend_{c}"] = P.datetime_trend(src, c, "M")
-    return {k: v for k, v in out.items() if v is not None}
+        out[f"trend_{c}"] = lambda c=c: P.datetime_trend(df, c, "M")
+    return out
 
 
-# ---------------------------------------------------------------- report datasets
+def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
+    """All sections of the profile, sharing one checkpointed input."""
+    return made(profile_sections(cut_lineage(df)))
 
-def report_eda(df: DataFrame) -> dict[str, DataFrame]:
+
+def eda_sections(df: DataFrame) -> Sections:
     """describe table, 30-bin histogram of the first numeric column, top-20 of the
     first non-numeric column, 25-row preview."""
     from marquee.functions.columns import select_dtypes
     num = select_dtypes(df, "numeric")
     cat = [c for c in df.columns if c not in num]
-    out = {"describe": P.describe_all(df), "preview": df.orderBy(*df.columns).limit(25)}
+    out: Sections = {"describe": lambda: P.describe_all(df), "preview": lambda: df.orderBy(*df.columns).limit(25)}
     if num:
-        out["histogram"] = P.histogram(df, num[0], 30)
+        out["histogram"] = lambda: P.histogram(df, num[0], 30)
     if cat:
-        out["top_values"] = P.value_counts_top(df, cat[0], 20)
+        out["top_values"] = lambda: P.value_counts_top(df, cat[0], 20)
     return out
 
 
-def report_visual(df: DataFrame) -> dict[str, DataFrame]:
+def visual_sections(df: DataFrame) -> Sections:
     """Scatter of the first two numeric columns and correlations of the first eight."""
     from marquee.functions.columns import select_dtypes
     num = select_dtypes(df, "numeric")
-    out = {}
+    out: Sections = {}
     if len(num) >= 2:
-        out["scatter"] = scatter_sample(df, num[0], num[1])
+        out["scatter"] = lambda: scatter_sample(df, num[0], num[1])
     if num:
-        out["corr"] = P.corr_matrix(df, num[:8], places=None)
+        out["corr"] = lambda: P.corr_matrix(df, num[:8], places=None)
     return out
 
 
-def report_model(pred: DataFrame, importances: DataFrame | None = None) -> dict[str, DataFrame]:
+def model_sections(pred: DataFrame, importances: DataFrame | None = None) -> Sections:
     from marquee.operators import evaluate as EV
-    out = {"metrics": EV.regression_metrics(pred),
-           "ensembles": EV.regression_metrics(EV.ensemble_average(pred)).unionByName(
-               EV.regression_metrics(EV.ensemble_weighted(pred))),
-           "residuals": EV.residuals(pred),
-           "residual_histogram": P.histogram(EV.residuals(pred), "resid", 30),
-           "actual_vs_pred": EV.actual_vs_pred(pred)}
+    out: Sections = {
+        "metrics": lambda: EV.regression_metrics(pred),
+        "ensembles": lambda: EV.regression_metrics(EV.ensemble_average(pred)).unionByName(
+            EV.regression_metrics(EV.ensemble_weighted(pred))),
+        "residuals": lambda: EV.residuals(pred),
+        "residual_histogram": lambda: P.histogram(EV.residuals(pred), "resid", 30),
+        "actual_vs_pred": lambda: EV.actual_vs_pred(pred)}
     if importances is not None:
-        out["importances"] = importances.orderBy(F.desc(importances.columns[1])).limit(20)
+        out["importances"] = lambda: importances.orderBy(F.desc(importances.columns[1])).limit(20)
     return out
 
 
-def report_full(df: DataFrame, pred: DataFrame, run_id: str) -> dict[str, DataFrame]:
-    out = {f"eda_{k}": v for k, v in report_eda(df).items()}
-    out.update({f"visual_{k}": v for k, v in report_visual(df).items()})
-    out.update({f"model_{k}": v for k, v in report_model(pred).items()})
-    out["meta"] = P.shape(df).select(F.lit(run_id).alias("run_id"), F.col("rows"))
+def full_sections(df: DataFrame, pred: DataFrame, run_id: str) -> Sections:
+    out: Sections = {f"eda_{k}": v for k, v in eda_sections(df).items()}
+    out.update({f"visual_{k}": v for k, v in visual_sections(df).items()})
+    out.update({f"model_{k}": v for k, v in model_sections(pred).items()})
+    out["meta"] = lambda: P.shape(df).select(F.lit(run_id).alias("run_id"), F.col("rows"))
     return out
 
 
+def report_eda(df: DataFrame) -> dict[str, DataFrame]:
+    return made(eda_sections(df))
+
+
+def report_visual(df: DataFrame) -> dict[str, DataFrame]:
+    return made(visual_sections(df))
+
+
+def report_model(pred: DataFrame, importances: DataFrame | None = None) -> dict[str, DataFrame]:
+    return made(model_sections(pred, importances))
+
+
+def report_full(df: DataFrame, pred: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    return made(full_sections(df, pred, run_id))
+
+
 def section_values(sections: dict[str, DataFrame]) -> DataFrame:
     """(section, item): every row of every report dataset, as JSON with its column names (nulls kept)."""
     parts = [v.select(F.lit(k).alias("section"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in v.columns]),
