@@ -50,16 +50,19 @@ class RunWriter:
         self.folder = posixpath.join(store.root, "data", run_id, self.attempt)
         self._entries: list[tuple] = []
 
-    def _enter(self, root: str, name: str, kind: str, path: str, rows: int | None, columns: str | None) -> None:
+    def _place(self, root: str, name: str) -> str:
         if root not in ROOTS:
             raise ValueError(f"no such root: {root}")
         if any(e[1:3] == (root, name) for e in self._entries):
             raise ValueError(f"{root}/{name} is in this run already")
+        return posixpath.join(self.folder, root, name)
+
+    def _enter(self, root: str, name: str, kind: str, path: str, rows: int | None, columns: str | None) -> None:
         self._entries.append((len(self._entries), root, name, kind, path, rows, columns))
 
     def put(self, root: str, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write a table; returns it as read back."""
-        path = posixpath.join(self.folder, root, name)
+        path = self._place(root, name)
         w = df.write.option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -76,7 +79,7 @@ class RunWriter:
             rows = [(f, i, w) for i, (f, w) in enumerate(zip(model.features, model.weights))] + [(None, -1, model.intercept)]
             self.put("models", f"{name}.linear", self.store.spark.createDataFrame(rows, _LINEAR).coalesce(1))
             return
-        path = posixpath.join(self.folder, "models", f"{name}.model")
+        path = self._place("models", f"{name}.model")
         model.write().save(path)
         self._enter("models", f"{name}.model", f"{type(model).__module__}.{type(model).__name__}", path, None, None)
 
