@@ -25,7 +25,6 @@ class Workspace:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marquee-llm/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -35,12 +34,13 @@ class Workspace:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out._written_at = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self._paths.pop(id(df), None)
+        path = getattr(df, "_written_at", None)
         if path:
+            df._written_at = None
             hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
 

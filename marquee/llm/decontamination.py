@@ -17,8 +17,9 @@ document, start). Only a document's own matches are gathered in one row.
 
 Defined cases: null or empty text has no words, no hits, and is clean; items without words
 have no windows; rows that repeat an item_id are one item; a null item_id reads as an empty
-string; rows that repeat a document id are documents of their own; empty tables on either
-side work; extra columns are not read.
+string; rows that repeat a document id are documents of their own; a very long text is indexed
+and compared whole, its word list in the row of its document; empty tables on either side
+work; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@ digests spread evenly; no bucket grows with a group of copies.
 Defined cases: null counts as empty text; rows of equal text, the empty one included,
 form one group; of them the largest id wins (a null id counts as smaller than any other);
 rows that repeat the winning id and text are ``kept`` only once (one of the repeated rows,
-which are equal in all that is returned); an empty table gives an empty result; extra
-columns are not read.
+which are equal in all that is returned); ids that are no whole numbers (strings, say) win
+in their own order; a very long text counts whole, by its digest; an empty table gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Workspace, partitions, read_table
+from .common import Workspace, identified, partitions, read_table
 from .textscan import U, seeded
 
 BUCKET = 50_000
@@ -195,6 +197,16 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        # numbers in the order of the ids stand for them
+        numbered, _ = identified(ws, docs, id_col, {"text": F.col(text_col), "old": F.coalesce(history, F.lit(False))})
+        got = exact_dedup(numbered.select("uid", "text", "old"), F.col("old"), "uid", "text")
+        ids = numbered.select(F.col("uid").alias("_uid"), F.col("_id").alias("_name"))
+        named = got.join(ids, F.col("_id") == F.col("_uid")).drop("_id", "_uid").withColumnRenamed("_name", "_id")
+        keep = ids.select(F.col("_uid").alias("_k"), F.col("_name").alias("_keep"))
+        # rows that repeat the winning id and text are one row of it
+        out = named.join(keep, F.col("keep_id") == F.col("_k")).select("_id", "digest", F.col("_keep").alias("keep_id"), "group_size", "kept")
+        return out
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = ws.save(docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(text, 256)).alias("digest"),
                                F.coalesce(history, F.lit(False)).alias("old")), "digests")
@@ -231,8 +243,11 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``; the older half of the id range is the history, the newer half looks it up."""
     docs = read_table(spark, sf_dir, "documents")
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = ((lo or 0) + (hi or 0)) // 2
-    out = exact_dedup(docs, F.col("doc_id") <= F.lit(middle))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        older = F.col("doc_id") <= F.lit(((lo or 0) + (hi or 0)) // 2)
+    else:      # ids without a middle: half of them by hash
+        older = F.xxhash64("doc_id") < 0
+    out = exact_dedup(docs, older)
     return out.select(F.col("_id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept",
                       F.lower(F.hex("digest")).alias("text_sha256"))

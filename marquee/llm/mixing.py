@@ -21,7 +21,8 @@ one row per block, generated by ``spark.range``.
 Defined cases: a null or empty text has no words and takes 0; a null source is a source;
 rows that repeat an id are rows of their own, shuffled by the hash of their text; rows
 that repeat wholly are interchangeable; an empty table, or one without words, gives
-targets of 0. Extra columns do not matter: only the named columns are read.
+targets of 0; a very long text is a document of many words, whose blocks are played in part or
+whole like others. Extra columns do not matter: only the named columns are read.
 """
 
 from __future__ import annotations

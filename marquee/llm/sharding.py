@@ -11,8 +11,8 @@ or a stretch of any size is spread over many tasks, and nothing is collected.
 
 Defined cases: a null source is a stratum of its own; an empty or null text has size 1
 and CRC 0; rows that repeat with all the same values are interchangeable (they get
-different slots, and which of them gets which cannot be told); an empty table gives an
-empty result. Extra columns are kept as they are by ``shard``, unless they bear the name
+different slots, and which of them gets which cannot be told); a very long text is one row
+like any other; an empty table gives an empty result. Extra columns are kept as they are by ``shard``, unless they bear the name
 of an output column: the output column replaces such a column.
 """
 

@@ -18,7 +18,8 @@ is by SHA-256 of the whole payload; the records carry its SHA-1 in base32.
 
 Defined cases: null html is an empty payload; a null url is an empty target; rows that
 repeat an id are pages of their own, ordered by their hash, as are null ids, which count as
-smallest; an empty table gives no packages and no records; extra columns are not read.
+smallest; a very long html is a payload like any other, written and read whole; an empty table
+gives no packages and no records; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -47,6 +49,8 @@ _URN = "urn:page:"
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a local, HDFS, S3 (also by Hadoop's names s3a and s3n), GCS or ABFS address."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
