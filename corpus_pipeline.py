@@ -4,8 +4,10 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over everything that
 predecessor kept. ``run`` writes each stage's rows to the shared folder and reads them again
 as the next one's input, which also cuts the lineage.
 
-Rows that repeat an id are rows of their own throughout. Extra columns are carried, whatever
-their names; only ``shard`` and ``slot``, which the last stage adds, replace such columns.
+Rows that repeat an id are rows of their own throughout; a null text is an empty one; very long
+texts are judged and carried whole; an empty table passes every stage empty. Extra columns are
+carried, whatever their names; only ``shard`` and ``slot``, which the last stage adds, replace such
+columns. What a stage does with rows without text or source is said at the stage.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def _rows(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below one half."""
+    """Documents that the toxicity model scores below one half; a null or empty text is scored as one without terms."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     scored = docs.select(row, toxicity.score_column(model, F.col("text")).alias("_s"))
@@ -34,7 +36,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near duplicates: five words, similarity of 0.8 or more."""
+    """One document (the smallest id) of each group of near duplicates: five words, similarity of 0.8 or more.
+
+    Null and empty texts are like no other and all stay.
+    """
     rows = _rows(spark, docs, "near")
     groups = jaccard_join.jaccard_groups(rows.select("uid", "text"), id_col="uid", width=5, num=4, den=5)
     first = groups.filter("_id = component_id").select(F.col("_id").alias("uid"))
@@ -42,7 +47,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
+    """Documents of which benchmark windows cover less than a twentieth; null and empty texts stay."""
     rows = _rows(spark, docs, "decontaminate")
     verdict, _, _ = decontamination.decontaminate(rows.select("uid", "text"), read_table(spark, sf_dir, "benchmark"), id_col="uid")
     bad = verdict.filter("contaminated").select("uid")
@@ -50,7 +55,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix plays them; one that it plays in part comes whole, one without words once."""
+    """Documents as often as the mix plays them; one that it plays in part comes whole, one without words once.
+
+    A null source is a source, the last in order.
+    """
     rows = _rows(spark, docs, "mix")
     taken, _ = mixing.mix(rows.select("uid", "source", "text"), id_col="uid", keep=["uid"])
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("(taken + size - 1) div size"))
@@ -60,9 +68,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in eight shards that each match the mixture."""
+    """All rows in eight shards that each match the mixture; a null source is a stratum.
+
+    Rows are shuffled by their own numbers, so that rows which repeat (the mix plays some
+    more than once) have one order, also when a task runs again.
+    """
     rows = _rows(spark, docs, "shard")
-    placed = sharding.shard(rows.select("uid", "doc_id", "source", "text"), 8, keep=["uid"])
+    placed = sharding.shard(rows.select("uid", "source", "text"), 8, id_col="uid", keep=["uid"])
     placed = placed.select("uid", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     keep = [f"_row.`{c}`" for c in docs.columns if c not in ("shard", "slot")]
     return (rows.select("uid", "_row").join(placed, "uid")
@@ -77,7 +89,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: the toxicity model is learnt, which SQL does not express; tests compare the stages with brute force
+#: the toxicity model is learnt, which SQL does not express; tests compare the other stages with brute force
 ORACLE_SQL = None
 
 
