@@ -10,13 +10,17 @@ Two documents link when their shingle sets have |A n B| / |A u B| of at least nu
    n - ceil(t*n) + 1; only those are posted. Small sets that a large one may link with are
    posted too. The boundary is the x of least cost: emitted subsets against posted
    shingles and the list lengths that they meet, all counted over the documents.
-3. Lists are scanned in order of size. A scan compares with smaller sets down to t times
-   the size only, and only by a bound: shingles fall into cells by hash (64 to 512, more for
+3. A posting stays only if its list holds a partner that its size and place let link: at
+   the first shingle that two sets share, no more is shared than what follows in either.
+   Lists are scanned in order of size. A scan compares with smaller sets down to t times
+   the size only, and only by places and by a bound: shingles fall into cells by hash (64 to 512, more for
    larger sets, as chance differences of few cells stay below the bound there), and the cell
    counts of two sets differ by at most the size of their symmetric difference, so a pair
    whose counts differ by more cannot link. Pairs that pass are not written out: a list
    yields one edge per document at most (a spanning forest), so a list of thousands of
-   near copies gives thousands of edges and not millions.
+   near copies gives thousands of edges and not millions; sets that a document is connected
+   to already are not compared with it. A list longer than ``BAND`` is cut into bands of
+   sizes, and every two bands whose sizes admit a link are scanned by some task.
 4. Blocks are the components of those edges. No link crosses blocks. In a block the
    whole sets are compared exactly, within tiles of bounded size: tiles are cut from
    the block in order of size, and every two tiles whose sizes admit a link meet in some
@@ -25,14 +29,15 @@ Two documents link when their shingle sets have |A n B| / |A u B| of at least nu
 5. Verified edges give the groups, by rounds of large-star and small-star steps over
    written tables.
 
-Documents, lists and blocks are spread by shuffles; a hot list costs its task comparisons
-(64 to 512 bytes each) and one edge a document, a hot block is split in tiles.
+Documents, lists and blocks are spread by shuffles; hot lists are split in bands, hot
+blocks in tiles, both by counted buckets (``common.ranked``), so no group is sorted whole.
 
 Defined cases: null or empty text has an empty set and links with nothing (also not with
 another empty text); a text of fewer words than a shingle is one shingle, its whole
 sequence; equal sets of texts link; rows that repeat an id are documents of their own and
-get the component of their own text; rows with null ids come before others; an empty table
-gives an empty result; extra columns are not read.
+get the component of their own text; rows with null ids come before others; a very long text
+is one set of all its shingles, and alone in its tile if it exceeds one; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,11 +48,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import Workspace, identified, partitions, read_table, with_ids
+from .common import Workspace, identified, partitions, ranked, read_table, small, with_ids
 from .suffix_dedup import key_chunks
 from .textscan import U
 
@@ -56,6 +61,10 @@ MOST_CELLS = 512           # and at most; between, one for 16 shingles
 SMALL_MOST = 20            # the largest boundary that is weighed
 TILE_SHINGLES = 2_000_000  # shingles of a tile, one document at least
 LIST_CHUNK = 50_000        # postings that a list scan holds besides those of one size band
+BAND = 8_192               # postings of a list that are scanned by one task; more for lists beyond 16 bands
+MOST_BAND = 100_000        # but no more than this
+PARTNERS = 16              # postings of a list that are compared by place before they are kept
+PLACE = 1 << 32            # a posting holds size * PLACE + place
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -156,42 +165,110 @@ def describe(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(scan, _DOCS)
 
 
+_POSTED = "key long, at long, uid long"
+
+
 def postings(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
-    """(key, n, uid): subsets of small sets, first shingles of large sets and of small ones that large ones may link with."""
+    """(key, at, uid): subsets of small sets, first shingles of large sets and of small ones that large ones may link with.
+
+    ``at`` is the size and, for a first shingle, its place in the set's order (0 for a subset).
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offs, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().view(np.uint64)
-            keys, who = [], []
+            keys, who, places = [], [], []
             for i, n in enumerate(sizes.tolist()):
                 head = flat[offs[i]:offs[i + 1]]
                 parts = []
                 if n <= x:
-                    parts += [_subsets(head, c) for c in subset_sizes(n, x, num, den)]
+                    parts += [(q, np.zeros(len(q), np.int64)) for q in (_subsets(head, c) for c in subset_sizes(n, x, num, den))]
                 if den * n >= num * (x + 1):
-                    parts.append(head[:n - least_overlap(n, num, den) + 1])
-                for p in parts:
-                    keys.append(p)
-                    who.append(np.full(len(p), i))
+                    first = head[:n - least_overlap(n, num, den) + 1]
+                    parts.append((first, np.arange(len(first))))
+                for q, place in parts:
+                    keys.append(q)
+                    places.append(place)
+                    who.append(np.full(len(q), i))
             if keys:
                 w = np.concatenate(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ts.as_long(np.concatenate(keys))), pa.array(sizes[w].astype(np.int32)), pa.array(uids[w])],
-                    names=["key", "n", "uid"])
-    return classes.select("uid", "n", "head").mapInArrow(scan, "key long, n int, uid long")
+                    [pa.array(ts.as_long(np.concatenate(keys))), pa.array(sizes[w] * PLACE + np.concatenate(places)), pa.array(uids[w])],
+                    names=["key", "at", "uid"])
+    return classes.select("uid", "n", "head").mapInArrow(scan, _POSTED)
+
+
+def places_admit(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes n and m may link whose first common shingle has places p and q.
+
+    They share that one and at most all that follows it in either; linked sets share at
+    least num / (num + den) of both sizes together.
+    """
+    return np.minimum(n - p, m - q) * (num + den) >= num * (n + m)
+
+
+def has_partner(key: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which postings, sorted by (key, at), meet a set in their list that size and place let link.
+
+    Lists of up to ``PARTNERS`` postings are compared by places, longer ones by sizes: if any size
+    in the list admits a link, the nearest one does.
+    """
+    n, p = at // PLACE, at % PLACE
+    keep = np.zeros(len(key), dtype=bool)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    length = np.repeat(np.diff(edge), np.diff(edge))
+    for d in range(1, PARTNERS):
+        i = np.flatnonzero((key[d:] == key[:-d]) & (length[d:] <= PARTNERS))
+        if not len(i):
+            break
+        i = i[(n[i + d] * num <= n[i] * den) & places_admit(n[i], p[i], n[i + d], p[i + d], num, den)]
+        keep[i] = keep[i + d] = True
+    i = np.flatnonzero((key[1:] == key[:-1]) & (length[1:] > PARTNERS) & (n[1:] * num <= n[:-1] * den))
+    keep[i] = keep[i + 1] = True
+    return keep
 
 
-def shared(posted: DataFrame) -> DataFrame:
-    """Postings of lists with more than one document, from postings sorted by key."""
+def shared(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that have a possible partner in their list, from postings sorted by key and size."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, parted in key_chunks(batches, 200_000):
             key = t.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            many = has_partner(key, t.column("at").to_numpy(), num, den)
             for k in parted:      # a list that is longer than a chunk
                 many |= key == k
             yield from t.filter(pa.array(many)).combine_chunks().to_batches()
-    return posted.mapInArrow(scan, "key long, n int, uid long")
+    return posted.mapInArrow(scan, _POSTED)
+
+
+def _pairs_of_parts(rows: DataFrame, group: str, part: str, num: int, den: int) -> DataFrame:
+    """(group, i, j, part): every two parts of a group, a part with itself too, whose sizes ``n`` admit a link."""
+    spans = rows.groupBy(group, part).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = spans.alias("a"), spans.alias("b")
+    meet = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{part}") <= F.col(f"b.{part}"))
+                  & (F.col("b.lo") * num <= F.col("a.hi") * den))
+    pairs = meet.select(F.col(f"a.{group}").alias(group), F.col(f"a.{part}").alias("i"), F.col(f"b.{part}").alias("j"))
+    return pairs.select(group, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias(part))
+
+
+def _by_size(rows: DataFrame, group: str, out: str, size: Column | None = None) -> DataFrame:
+    """Rank, or running sum of ``size``, by set size within each group; equal sizes are spread by a hash of the id."""
+    h = F.pmod(F.xxhash64("uid"), F.lit(256))
+    return ranked(rows.withColumn("_h", h), [group], F.col("n") * 256 + F.col("_h"), [F.col("n"), F.col("_h"), F.col("uid")], out, size).drop("_h")
+
+
+def banded(ws: Workspace, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, at, uid, band): lists as they are (band -1), and every two bands of a long list under a key of their own."""
+    size = F.least(F.lit(MOST_BAND), F.greatest(F.lit(BAND), F.ceil(F.col("c") / 16)))
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BAND).select("key", size.alias("_size"))
+    if long.isEmpty():
+        return lists.withColumn("band", F.lit(-1))
+    long = small(long)
+    rest = lists.join(long, "key", "left_anti").withColumn("band", F.lit(-1))
+    hot = ws.save(lists.join(long, "key").withColumn("n", F.expr(f"at div {PLACE}L")), "hot")
+    hot = ws.save(_by_size(hot, "key", "_rank").withColumn("band", F.expr("int(_rank div _size)")), "bands")
+    sides = _pairs_of_parts(hot, "key", "band", num, den)
+    met = hot.join(sides, ["key", "band"]).select(F.xxhash64("key", "i", "j").alias("key"), "at", "uid", "band")
+    return rest.select("key", "at", "uid", "band").unionByName(met)
 
 
 def list_chunks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[tuple[pa.Table, int]]:
@@ -215,7 +292,7 @@ def list_chunks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
                 held, rows, old = [t.slice(cut)], t.num_rows - cut, 0
             else:
                 yield t, old
-                n = t.column("n").to_numpy().astype(np.int64)
+                n = t.column("at").to_numpy() // PLACE
                 keep = int(np.searchsorted(n * den, n[-1] * num, "left"))
                 held, rows, old = [t.slice(keep)], len(n) - keep, len(n) - keep
     if rows > old:
@@ -285,29 +362,33 @@ def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
             yield from spanning(t, old)
 
     def spanning(t: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
-        key, uid = t.column("key").to_numpy(), t.column("uid").to_numpy()
-        sizes = t.column("n").to_numpy().astype(np.int64)
+        key, uid, at = (t.column(c).to_numpy() for c in ("key", "uid", "at"))
+        band = t.column("band").to_numpy()
+        sizes, place = at // PLACE, at % PLACE
         cells = Summaries(t.column("cells"))
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         left, right = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a == 2 and not old:
-                if num * sizes[a + 1] <= den * sizes[a] and len(cells.near(sizes, a + 1, np.arange(a, a + 1), num, den)):
-                    left.append(uid[a])
-                    right.append(uid[a + 1])
-                continue
             forest = Forest(b - a)
+            two = b - a > 1 and bool((band[a:b] != band[a]).any())       # bands of one list: pairs inside either are another task's
             low = a + np.searchsorted(sizes[a:b] * den, sizes[a:b] * num, "left")
             for i in range(max(a + 1, old), b):
-                lo = int(low[i - a])
-                if lo >= i:
-                    continue
-                label = forest.label
-                for j in cells.near(sizes, i, np.arange(lo, i), num, den).tolist():
-                    if label[j - a] != label[i - a]:
-                        forest.join(i - a, j - a)
-                        left.append(uid[j])
-                        right.append(uid[i])
+                others = np.arange(int(low[i - a]), i)
+                others = others[places_admit(sizes[i], place[i], sizes[others], place[others], num, den)]
+                if two:
+                    others = others[band[others] != band[i]]
+                # the nearest sizes first: whoever is connected through them need not be compared
+                step = 32
+                while len(others):
+                    label = forest.label
+                    some, others = others[-step:], others[:-step]
+                    for j in cells.near(sizes, i, some, num, den).tolist():
+                        if label[j - a] != label[i - a]:
+                            forest.join(i - a, j - a)
+                            left.append(uid[j])
+                            right.append(uid[i])
+                    others = others[label[others - a] != label[i - a]]
+                    step = 1024
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -408,15 +489,9 @@ def _tables(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
 
 def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     """(uid, tile, pair): every pair of tiles of a block whose sizes admit a link."""
-    by_size = Window.partitionBy("block").orderBy("n", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (members.withColumn("_before", F.coalesce(F.sum("n").over(by_size), F.lit(0)))
-           .withColumn("tile", F.expr(f"int(_before div {TILE_SHINGLES}L)")).drop("_before"))
-    spans = cut.groupBy("block", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = spans.alias("a"), spans.alias("b")
-    meet = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.tile") <= F.col("b.tile"))
-                  & (F.col("b.lo") * num <= F.col("a.hi") * den))
-    pairs = meet.select(F.col("a.block").alias("block"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
-    sides = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    cut = (_by_size(members, "block", "_run", F.col("n"))
+           .withColumn("tile", F.expr(f"int(_run div {TILE_SHINGLES}L)")).drop("_run"))
+    sides = _pairs_of_parts(cut, "block", "tile", num, den)
     return (cut.join(sides, ["block", "tile"])
             .select("uid", "tile", F.xxhash64("block", "i", "j").alias("pair")))
 
@@ -442,10 +517,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x = boundary(sizes, (met[0] or 0) / max(1, met[1] or 0), num, den)
 
     n_parts = partitions(spark)
-    posted = postings(classes, x, num, den).repartition(n_parts, "key").sortWithinPartitions("key")
-    lists = ws.save(shared(posted), "lists")
-    lists = (lists.join(classes.select("uid", "cells"), "uid").select("key", "n", "uid", "cells")
-             .repartition(n_parts, "key").sortWithinPartitions("key", "n", "uid"))
+    posted = postings(classes, x, num, den).repartition(n_parts, "key").sortWithinPartitions("key", "at")
+    lists = ws.save(shared(posted, num, den), "lists")
+    lists = banded(ws, lists, num, den).join(classes.select("uid", "cells"), "uid").select("key", "at", "uid", "band", "cells")
+    lists = lists.repartition(n_parts, "key").sortWithinPartitions("key", "at", "uid")
     blocks = ws.save(components(ws, list_edges(lists, num, den)), "blocks")
     members = blocks.join(classes.select("uid", "n"), "uid").select("uid", "n", F.col("root").alias("block"))
     links = verified(rows, ws.save(tiles(members, num, den), "tiles"), width, num, den)

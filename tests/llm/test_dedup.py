@@ -113,6 +113,42 @@ def test_jaccard_tiles_and_chunks(docs, rows, monkeypatch):
     assert {r._id: (r.n_shingles, r.component_id) for r in out.collect()} == groups(rows, 3, 1, 2)
 
 
+@pytest.mark.parametrize("num,den,partners", [(1, 2, 16), (4, 5, 2)])
+def test_jaccard_bands_of_hot_lists(spark, monkeypatch, num, den, partners):
+    """Many near copies of one text, and many texts with one passage: long lists meet band by band."""
+    monkeypatch.setattr(jaccard_join, "BAND", 3)
+    monkeypatch.setattr(jaccard_join, "MOST_BAND", 7)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
+    r = random.Random(num)
+    word = lambda: f"w{r.randrange(400)}"
+    base, passage = [word() for _ in range(60)], [word() for _ in range(25)]
+    rows = []
+    for i in range(60):
+        w = list(base[:r.randrange(40, 61)])
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(passage + [word() for _ in range(r.randrange(5, 40))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_join.jaccard_groups(docs, width=2, num=num, den=den)
+    assert {x._id: (x.n_shingles, x.component_id) for x in out.collect()} == groups(rows, 2, num, den)
+
+
+def test_kept_postings_have_a_partner():
+    r = np.random.default_rng(4)
+    key = np.sort(r.integers(0, 300, 900))
+    at = r.integers(20, 80, 900) * jaccard_join.PLACE + r.integers(0, 12, 900)
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    n, p = at // jaccard_join.PLACE, at % jaccard_join.PLACE
+
+    def links(i, j):      # at most 1 + what follows is shared; num / (num + den) of both sizes is needed
+        small, big = sorted((n[i], n[j]))
+        return key[i] == key[j] and 85 * big <= 100 * small and 185 * min(n[i] - p[i], n[j] - p[j]) >= 85 * (n[i] + n[j])
+    want = [any(links(i, j) for j in range(900) if j != i) for i in range(900)]
+    assert jaccard_join.has_partner(key, at, 85, 100).tolist() == want and 50 < sum(want) < 850
+
+
 def test_small_sets_by_subsets(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(12) if j != i)) for i in range(10)] + [(50, " ".join(f"w{j}" for j in range(12)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -197,3 +233,13 @@ def test_jaccard_summaries_reject_no_link():
         i, others = at[1], np.arange(at[1])
         got = jaccard_join.Summaries(pa.chunked_array([pa.array(counts, pa.binary())])).near(sizes, i, others, 4, 5)
         assert at[0] in got.tolist()
+
+
+def test_exact_dedup_takes_text_ids(spark):
+    rows = [("b", "x"), ("a", "x"), ("c", "x"), ("c", "x"), (None, "x"), ("d", None), ("e", ""), ("f", "alone")]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    for history in (F.col("name") <= "b", F.lit(False), F.lit(True)):
+        got = exact_dedup.exact_dedup(docs, history, "name", "body").collect()
+        assert sorted((r._id or "", r.keep_id, r.group_size) for r in got) == [
+            ("", "c", 5), ("a", "c", 5), ("b", "c", 5), ("c", "c", 5), ("c", "c", 5), ("d", "e", 2), ("e", "e", 2), ("f", "f", 1)]
+        assert sorted(r._id for r in got if r.kept) == ["c", "e", "f"]
