@@ -88,6 +88,20 @@ def dtypes_table(df: DataFrame) -> DataFrame:
         rows, "column string, dtype string, family string, position int")
 
 
+def epoch_micros(df: DataFrame, c: str) -> Column:
+    """Microseconds since 1970: of a zone-less time by its own calendar and clock, whatever the session's zone."""
+    x, kind = F.col(f"`{c}`"), df.schema[c].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x)
+    day = F.unix_date(F.to_date(x)).cast("long") * 86_400_000_000
+    if isinstance(kind, T.DateType):
+        return day
+    if isinstance(kind, T.TimestampNTZType):
+        second = (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("long")
+        return day + F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000 + second
+    return F.unix_micros(x.cast("timestamp"))       # text: read in the session's zone
+
+
 def release_year_cast(c, mode: str = "parity") -> Column:
     """Catalogue start year -> bigint.
 

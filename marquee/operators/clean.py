@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.functions.columns import select_dtypes
+from marquee.functions.columns import epoch_micros, select_dtypes
 from marquee.operators.profile import _num, _q, quantiles
 
 
@@ -163,6 +163,8 @@ def _typed_modes(df: DataFrame, cols: list[str]) -> dict:
         vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         best = vc.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("a"),
                                                                     F.col("value").alias("b"))).alias("mode"))
+        if df.schema[sub[0]].dataType.typeName().startswith("timestamp"):
+            best = best.withColumn("mode", F.col("mode").cast("string"))     # as text no zone of the driver's changes it
         out.update({r["column"]: r["mode"] for r in best.collect()})
     return out
 
@@ -262,7 +264,7 @@ def dedup_latest(df: DataFrame, key: str, order_by: list[str], ts: str = "window
     """Per key keep the latest ``ts`` (first in ``order_by`` on ties or all-null);
     without a ``ts`` column the first row in ``order_by`` order; null keys untouched."""
     if ts in df.columns:
-        t = F.unix_micros(_q(ts).cast("timestamp"))
+        t = epoch_micros(df, ts)
         sk = F.struct(t.isNull().alias("_n"), (-F.coalesce(t, F.lit(0))).alias("_t"), *[_q(c) for c in order_by])
     else:
         sk = F.struct(*[_q(c) for c in order_by])

@@ -12,21 +12,26 @@ from marquee.operators.profile import _q
 from marquee.session import cut_lineage
 
 
-def levels(df: DataFrame, col: str, max_levels: int | None = None) -> list:
-    """Sorted distinct non-null values; ``max_levels`` is an optional guard that raises beyond it."""
-    rows = df.where(_q(col).isNotNull()).select(_q(col).alias("v")).distinct().collect()
-    if max_levels is not None and len(rows) > max_levels:
+#: dummy columns that one categorical column makes at most
+MAX_LEVELS = 10_000
+
+
+def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+    """Sorted distinct non-null values, each of which becomes a column; more than ``max_levels`` are an error."""
+    rows = df.where(_q(col).isNotNull()).select(_q(col).alias("v")).distinct().limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
         raise ValueError(f"{col}: more than {max_levels} levels; use one_hot_sparse")
     return sorted(r["v"] for r in rows)
 
 
 def one_hot(df: DataFrame, cols: list[str], normalise: bool = True, drop_first: bool = False,
-            as_bool: bool = False, max_levels: int | None = None) -> DataFrame:
+            as_bool: bool = False, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Dummy columns ``{col}_{level}`` for each level (sorted); originals dropped.
 
     ``normalise`` (UI path): strip/upper, "NAN"/null -> "UNKNOWN" first, int dummies.
     Service path: ``drop_first=True, as_bool=True`` on raw values; null -> all zero.
     Other columns keep their order and come first.  A level's text is kept as it is.
+    A column of more than ``max_levels`` levels is an error; ``one_hot_sparse`` takes any number.
     """
     work = df.withColumns({c: normalize_category(c) for c in cols}) if normalise else df
     dummies = []

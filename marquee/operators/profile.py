@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marquee.functions.columns import select_dtypes
+from marquee.functions.columns import epoch_micros, select_dtypes
 from marquee.operators.rank import in_ranges
 
 
@@ -169,7 +169,7 @@ def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
     cat = [c for c in df.columns if c not in num and c not in tim]
 
     def ep(c):
-        return F.unix_micros(_q(c).cast("timestamp")).cast("double") / 1e6
+        return epoch_micros(df, c).cast("double") / 1e6
 
     vals = {c: _num(df, c) for c in num}
     vals.update({c: ep(c) for c in tim})

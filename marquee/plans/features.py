@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import preferred_column_order, require_columns
+from marquee.functions.columns import normalize_columns, preferred_column_order, require_columns
 from marquee.functions.text import normalize_title
 from marquee.operators import linkage as L
+from marquee.operators.profile import group_quantiles
 from marquee.session import save_table
+from marquee.sources.artifacts import auto_roles
 
 
 @dataclass
@@ -67,6 +69,28 @@ def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.Lin
     return preferred_column_order(out)
 
 
+def roles_of(staged: dict[str, DataFrame], mode: str = "intended") -> dict[str, str | None]:
+    """The staged table for each role, by names and column signatures."""
+    return auto_roles({label: df.columns for label, df in staged.items()}, mode)
+
+
+def feature_build(staged: dict[str, DataFrame], roles: dict[str, str] | None = None, cfg: L.LinkageConfig = L.LinkageConfig(),
+                  mode: str = "intended") -> DataFrame:
+    """Staged tables -> feature master in one call: guess roles, normalise columns, assemble the catalogue, link.
+
+    ``roles`` overrides the guess for the roles it names. A table may not fill two roles.
+    """
+    chosen = {**roles_of(staged), **(roles or {})}
+    missing = [r for r, label in chosen.items() if label not in staged]
+    if missing:
+        raise ValueError(f"no staged table for {', '.join(missing)}")
+    if len(set(chosen.values())) < len(chosen):
+        raise ValueError(f"a table fills two roles: {chosen}")
+    base = normalize_columns(staged[chosen["base"]])
+    cat = build_catalogue(staged[chosen["basics"]], staged[chosen["ratings"]], staged[chosen["akas"]], store=True)
+    return feature_master(base, cat, cfg, mode)
+
+
 # fixed values: seasonality multiplier by start month (1..12)
 SEASONALITY = [0.8, 0.85, 1.0, 1.0, 1.05, 1.1, 1.15, 1.15, 1.1, 1.05, 1.0, 0.85]
 HALF_LIFE_DAYS = 180
@@ -80,10 +104,13 @@ def reference_price(df: DataFrame, territory_base: DataFrame | None = None, plac
             * (1 - 0.12 * min(1, log1p(units)/10)), rounded to 2 places,
     with days = max(0, window_start - Jan 1 of release_year) (the deal date stands
     in for "today") and base = the per-territory median price (or a given table
-    ``territory, base_price``, broadcast: one row per territory).
+    ``territory, base_price``, broadcast: one row per territory). Medians are exact and come
+    from a histogram in ranges, so no task holds a territory's prices.
     """
     if territory_base is None:
-        territory_base = df.groupBy("territory").agg(F.median("price").alias("base_price"))
+        prices = df.select("territory", F.col("price").cast("double").alias("price")).dropna()
+        medians = group_quantiles(prices, "territory", "price", [0.5])
+        territory_base = df.sparkSession.createDataFrame([(t, q[0]) for t, q in sorted(medians.items())], "territory string, base_price double")
     ry = F.coalesce(F.col("release_year").cast("int"), F.year("window_start"))
     # age since release, floored at 0: a deal dated before the release gets the full uplift
     days = F.greatest(F.lit(0.0), F.datediff(F.to_date("window_start"),

@@ -8,7 +8,7 @@ from marquee.operators import clean as C
 from marquee.operators import encode as E
 from marquee.operators import validate as V
 from marquee.plans import reports as R
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.registry import query, rnd, tables
 
 LIC_ALL = ["license_id", "title_id", "title", "release_year", "territory", "media", "platform",
            "window_start", "window_end", "units", "price", "currency"]

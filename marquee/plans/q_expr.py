@@ -11,7 +11,7 @@ from marquee.operators import rank as RK
 from marquee.plans import reports as R
 from marquee.plans import sqltext as S
 from marquee.plans.features import build_catalogue, prepare_base, reference_price
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.registry import query, rnd, tables
 
 # Java's Unicode \s set, written out for DuckDB's RE2 (whose \s is ASCII-only)
 _UWS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marquee.session import scratch_path
 from marquee.sources import artifacts as A
 from marquee.sources import io as IO
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.registry import query, rnd, tables
 
 _CUST_SQL = ("select c_custkey, c_name, case when c_custkey % 10 = 0 then null else c_acctbal end as c_acctbal, "
              "c_mktsegment from customer")

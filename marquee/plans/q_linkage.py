@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from marquee.functions.text import normalize_title
 from marquee.operators import linkage as L
 from marquee.plans import sqltext as S
-from marquee.plans.features import build_catalogue, feature_master, prepare_base, reference_price
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.features import build_catalogue, feature_build, feature_master, prepare_base, reference_price
+from marquee.plans.registry import query, rnd, tables
 
 
 def _cat(t, store=False):
@@ -118,6 +118,14 @@ def q_feature_master(spark, sf_dir):
     return rnd(feature_master(t["licensing"], _cat(t, store=True), mode="intended").select(*_FM_COLS))
 
 
+@query("feature_build", _fm_sql("intended"))
+def q_feature_build(spark, sf_dir):
+    """The staged tables under names of their own; roles come from the names and the columns."""
+    t = tables(spark, sf_dir)
+    staged = {"titles.tsv": t["title_basics"], "deals": t["licensing"], "akas_2024": t["title_akas"], "scores": t["title_ratings"]}
+    return rnd(feature_build(staged).select(*_FM_COLS))
+
+
 @query("feature_master_parity", _fm_sql("parity"))
 def q_feature_master_parity(spark, sf_dir):
     t = tables(spark, sf_dir)

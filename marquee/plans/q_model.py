@@ -13,7 +13,7 @@ from marquee.operators import model as M
 from marquee.operators import profile as P
 from marquee.operators.gram import grams, solve, total
 from marquee.plans import sqlmodel as Q
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.registry import query, rnd, tables
 
 FEATS = ["l_quantity", "l_discount", "l_tax"]
 ONE = {"ols_quantity": "l_quantity", "ols_discount": "l_discount", "ols_tax": "l_tax"}

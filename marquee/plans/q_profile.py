@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marquee.operators import profile as P
-from marquee.plans.queries import query, rnd, tables
+from marquee.plans.registry import query, rnd, tables
 
 LIC_NUM = ["release_year", "units", "price"]
 LIC_TIME = ["window_start", "window_end"]

@@ -8,7 +8,7 @@ from marquee.operators import evaluate as EV
 from marquee.operators.gram import grams, solve, total
 from marquee.plans import q_model as QM
 from marquee.plans import reports as R
-from marquee.plans.queries import ORACLE, query, rnd, tables
+from marquee.plans.registry import ORACLE, query, rnd, tables
 from marquee.session import scratch_path
 from marquee.sources import artifacts as A
 from marquee.sources.runstore import RunStore

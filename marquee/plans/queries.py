@@ -1,47 +1,6 @@
-"""Registered queries: ``(spark, sf_dir) -> DataFrame`` plus DuckDB oracle SQL.
-
-Every query reads the driver tables (or the domain views Spark derives from
-them) in full.  Computed doubles are rounded to 6 places on both sides so the
-value hash does not depend on summation order.
-"""
+"""All registered queries: importing this module imports the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from marquee.plans.fixtures import Tables, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = with_views(sql)
-        return fn
-    return deco
-
-
-def rnd(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double/float column (for engine-independent comparison)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f"`{f.name}`").cast("double"), places) + F.lit(0.0)).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
-
-
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
-
-
-# import the query modules so their decorators run
-from marquee.plans import q_clean, q_expr, q_io, q_linkage, q_model, q_profile, q_reports  # noqa: E402,F401
+from marquee.plans import q_clean, q_expr, q_io, q_linkage, q_model, q_profile, q_reports  # noqa: F401
+from marquee.plans.registry import ORACLE, QUERIES, query, rnd, tables  # noqa: F401

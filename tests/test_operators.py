@@ -285,3 +285,45 @@ def test_report_items_hold_values(spark):
     got = {(r.section, r["item"]) for r in R.section_values(R.report_eda(df)).collect()}
     assert ("top_values", '{"value":"a","count":1}') in got
     assert ("preview", '{"x":3.0,"c":null}') in got
+
+
+def test_times_without_a_zone_ignore_the_session_zone(spark):
+    from marquee.functions.columns import epoch_micros
+    df = spark.sql("select 'k' as key, 'a' as id, timestamp_ntz'2024-03-10 02:30:00.5' as window_end union all "
+                   "select 'k', 'b', timestamp_ntz'2024-03-10 03:10:00' union all select null, 'c', null")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    seen = set()
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):       # 02:30 did not exist in New York that day
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            kept = sorted(r.id for r in C.dedup_latest(df, "key", ["id"]).collect())
+            micros = [r[0] for r in df.where("id = 'a'").select(epoch_micros(df, "window_end")).collect()]
+            top = [(r.column, r.min, r.max) for r in P.describe_all(df).collect() if r.column == "window_end"]
+            filled = C.impute(df.where("id <> 'b'"), columns=["window_end"]).where("id = 'c'").select(F.col("window_end").cast("string")).first()[0]
+            seen.add((*kept, *micros, *top, filled))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert seen == {("b", "c", 1710037800500000, ("window_end", 1710037800.5, 1710040200.0), "2024-03-10 02:30:00.5")}
+
+
+def test_too_many_levels_point_to_the_sparse_encoder(spark):
+    df = spark.range(30).selectExpr("cast(id as string) as c")
+    with pytest.raises(ValueError, match="one_hot_sparse"):
+        E.one_hot(df, ["c"], max_levels=29)
+    assert len(E.one_hot(df, ["c"], max_levels=30).columns) == 30
+
+
+def test_feature_build_finds_roles(spark):
+    from marquee.plans.features import feature_build
+    deals = spark.createDataFrame([("L1", "tt1", "One", 2000, "USA", 5.0), ("L2", None, "Two", 2000, "USA", 6.0)],
+                                  "license_id string, tconst string, title string, release_year long, territory string, price double")
+    basics = spark.createDataFrame([("tt1", "movie", "One", 2000, 90, "g")], "tconst string, titleType string, primaryTitle string, startYear long, runtimeMinutes int, genres string")
+    ratings = spark.createDataFrame([("tt1", 7.0, 99)], "tconst string, averageRating double, numVotes long")
+    akas = spark.createDataFrame([("tt1", "Uno", "US", None)], "titleId string, title string, region string, language string")
+    staged = {"x": akas, "deals": deals, "y": ratings, "z": basics}
+    got = {r.license_id: (r.title_id, r.method) for r in feature_build(staged).collect()}
+    assert got == {"L1": ("tt1", "id_exact"), "L2": (None, "no_match")}
+    with pytest.raises(ValueError, match="two roles"):
+        feature_build({"deals": deals})
+    with pytest.raises(ValueError, match="no staged table"):
+        feature_build(staged, {"akas": "elsewhere"})
