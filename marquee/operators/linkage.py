@@ -235,9 +235,15 @@ def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = Link
     return out
 
 
+def linkage_columns(base: DataFrame) -> DataFrame:
+    """The four columns that linkage reads, written once: the id map, its remainder and the block keys all read them."""
+    return save_table(base.select("license_id", "title_id", "release_year", "territory"), "licences")
+
+
 def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame,
                    cfg: LinkageConfig = LinkageConfig(), mode: str = "intended") -> DataFrame:
     """Id map UNION metadata map of the rows the id map left."""
+    base = linkage_columns(base)
     idm = id_entity_map(base, core, mode)
     rest = unmatched(base, idm)
     er = resolve_entities(rest, cand, cfg)

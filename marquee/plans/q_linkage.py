@@ -58,7 +58,7 @@ def q_unmatched(spark, sf_dir):
        "select license_id, title_id, method, round(match_score, 6) as match_score from er")
 def q_resolve_entities(spark, sf_dir):
     t = tables(spark, sf_dir)
-    base = prepare_base(t["licensing"])
+    base = L.linkage_columns(prepare_base(t["licensing"]))
     cat = _cat(t, store=True)
     rest = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     return rnd(L.resolve_entities(rest, cat.cand, snapshot=False))
@@ -68,7 +68,7 @@ def q_resolve_entities(spark, sf_dir):
        "select license_id, title_id, method, round(match_score, 6) as match_score from er")
 def q_resolve_entities_parity(spark, sf_dir):
     t = tables(spark, sf_dir)
-    base = prepare_base(t["licensing"])
+    base = L.linkage_columns(prepare_base(t["licensing"]))
     cat = _cat(t, store=True)
     rest = L.unmatched(base, L.id_entity_map(base, None, "parity"))
     return rnd(L.resolve_entities(rest, cat.cand, snapshot=False))
