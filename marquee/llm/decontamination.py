@@ -8,8 +8,8 @@
    item; a shorter item is one window) asks for its rarest terms: their lists, with positions
    less the term's offset in the window, are intersected on (window, document, start).
 3. What remains is compared word by word with the document, so matches are exact phrases.
-   ``proximity_matches`` instead returns documents where a window's rarest terms stand
-   near their places.
+4. Proximity matches (``slop``) read the same lists: items whose rarest terms stand within that
+   many words of their places. They are listed beside the exact matches and decide nothing.
 
 Test terms and windows are broadcast only if they were counted to be few; otherwise they
 join by shuffle. Lists are never collected: an intersection is an aggregation by (window,
@@ -31,6 +31,7 @@ from .common import Workspace, identified, read_table, small, with_ids
 
 WINDOW = 13
 RAREST = 2
+SLOP = 5                  # words that a window's rarest terms may be off their places in a proximity match
 #: fixed values: the word rule (ASCII letters and digits, and all characters beyond ASCII)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,22 +79,29 @@ def rarest_terms(ws: Workspace, index: DataFrame, terms: DataFrame, windows: Dat
                    .select("pid", "tid", "off", "rank", "asks"), "rarest")
 
 
-def candidates(index: DataFrame, rarest: DataFrame) -> DataFrame:
+def rarest_lists(index: DataFrame, rarest: DataFrame) -> DataFrame:
+    """(pid, uid, at, rank, asks): the lists of the windows' rarest terms, positions less the term's offset."""
+    return (index.join(small(rarest), "tid")
+            .select("pid", "uid", (F.col("pos") - F.col("off")).alias("at"), "rank", "asks"))
+
+
+def candidates(lists: DataFrame) -> DataFrame:
     """(pid, uid, start): places where all of a window's rarest terms stand at their offsets."""
-    lists = (index.join(small(rarest), "tid")
-             .select("pid", "uid", (F.col("pos") - F.col("off")).alias("start"), "asks").filter("start >= 0"))
-    return (lists.groupBy("pid", "uid", "start").agg(F.count(F.lit(1)).alias("n"), F.first("asks").alias("asks"))
+    return (lists.filter("at >= 0").groupBy("pid", "uid", F.col("at").alias("start"))
+            .agg(F.count(F.lit(1)).alias("n"), F.first("asks").alias("asks"))
             .filter("n = asks").select("pid", "uid", "start"))
 
 
-def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int = 5) -> DataFrame:
-    """(pid, uid, near): documents where all of a window's rarest terms stand within ``slop`` words of one place."""
-    step = slop + 1
-    lists = index.join(small(rarest), "tid").select("pid", "uid", (F.col("pos") - F.col("off")).alias("at"), "rank", "asks")
-    cell = F.explode(F.array(F.floor(F.col("at") / step), F.floor(F.col("at") / step) + 1)).alias("cell")
-    return (lists.select("pid", "uid", "rank", "asks", cell).groupBy("pid", "uid", "cell")
-            .agg(F.count_distinct("rank").alias("n"), F.first("asks").alias("asks")).filter("n = asks")
-            .groupBy("pid", "uid").agg((F.min("cell") * step - slop).alias("near")))
+def proximity_matches(lists: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(pid, uid, near): documents where all of a window's rarest terms stand near their places.
+
+    Near means that the places where they would have the window start lie within ``slop`` words of each
+    other; ``near`` is the last place of the first such stretch. A frame holds at most ``slop`` + 1
+    places of each term, and each document's lists are a group of their own.
+    """
+    frame = Window.partitionBy("pid", "uid").orderBy(F.col("at").cast("long")).rangeBetween(-slop, Window.currentRow)
+    return (lists.withColumn("_n", F.size(F.collect_set("rank").over(frame))).filter("_n = asks")
+            .groupBy("pid", "uid").agg(F.min("at").alias("near")))
 
 
 def phrase_matches(rows: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
@@ -108,35 +116,49 @@ def phrase_matches(rows: DataFrame, found: DataFrame, windows: DataFrame) -> Dat
     return texts.select("uid", F.transform(exact, lambda a: F.struct(a["pid"], a["start"], a["len"])).alias("matches"))
 
 
+def items_of(found: DataFrame, asked: DataFrame, out: str) -> DataFrame:
+    """(uid, out): the sorted items of the windows (uid, pid) that were found in a document."""
+    return (found.select("uid", "pid").join(small(asked), "pid").groupBy("uid")
+            .agg(F.array_sort(F.collect_set("item")).alias(out)))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  window: int = WINDOW, percent: int = 5) -> tuple[DataFrame, DataFrame, bool]:
+                  window: int = WINDOW, percent: int = 5, slop: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(result, rows, rekeyed): every document's uid, n_words, n_hit, items and verdict.
 
-    A document is contaminated when it has hits and they are ``percent`` of its words or more.
+    A document is contaminated when it has hits and they are ``percent`` of its words or more. With
+    ``slop`` the result also has ``near``: the items with proximity matches, exact ones among them.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     rows, rekeyed = identified(ws, docs, id_col, {"text": F.col(text_col)})
     windows, asked = windows_of(ws, items, window=window)
     index, terms = build_index(ws, rows, windows)
     rarest = rarest_terms(ws, index, terms, windows, RAREST)
+    lists = rarest_lists(index, rarest)
+    if slop is not None:
+        lists = ws.save(lists, "lists")
     # the filter reads the written rows; before the write it would compare every match twice
-    matches = ws.save(phrase_matches(rows, candidates(index, rarest), windows), "matches").filter(F.size("matches") > 0)
+    matches = ws.save(phrase_matches(rows, candidates(lists), windows), "matches").filter(F.size("matches") > 0)
     covered = F.array_distinct(F.flatten(F.transform(
         "matches", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1))))
     hits = matches.select("uid", F.size(covered).cast("long").alias("n_hit"))
-    which = (matches.select("uid", F.explode("matches.pid").alias("pid")).distinct().join(small(asked), "pid")
-             .groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    which = items_of(matches.select("uid", F.explode("matches.pid").alias("pid")).distinct(), asked, "items")
     counts = index.filter("tid = -1").select("uid", F.col("pos").cast("long").alias("n_words"))
     out = counts.join(hits.join(which, "uid"), "uid", "left")
+    lacking = ["items"]
+    if slop is not None:
+        out = out.join(items_of(proximity_matches(lists, slop), asked, "near"), "uid", "left")
+        lacking.append("near")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     out = out.select("uid", "n_words", n_hit.alias("n_hit"),
-                     F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+                     *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lacking])
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)), rows, rekeyed
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against all ``benchmark`` items."""
-    out, rows, rekeyed = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    out, rows, rekeyed = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=SLOP)
     out = with_ids(out, rows, rekeyed)
     return out.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                      F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+                      F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
+                      F.size("near").cast("long").alias("n_near"))

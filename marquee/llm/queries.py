@@ -62,11 +62,22 @@ places as (select doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') as k
 found as (select doc_id, s, places.n, item from places join asked on places.n = asked.n and places.k = asked.k),
 hit as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from found) t group by doc_id),
 which as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-          from (select distinct doc_id, item from found) t group by doc_id)
+          from (select distinct doc_id, item from found) t group by doc_id),
+post as (select doc_id, unnest(ws) as term, unnest(range(0, len(ws))) as pos from d),
+freq as (select term, count(*) as df from post group by term),
+places_of as (select k, unnest(string_split(k, ' ')) as term, unnest(range(0, n)) as off from (select distinct n, k from asked) t),
+ranks as (select k, term, off, row_number() over (partition by k order by coalesce(df, 0), off) as r,
+                 min(coalesce(df, 0)) over (partition by k) as least_df from places_of left join freq using (term)),
+rare as (select k, term, off, r, count(*) over (partition by k) as asks from ranks where r <= 2 and least_df > 0),
+lists as (select k, doc_id, pos - off as at, r, asks from post join rare using (term)),
+close as (select distinct a.k, a.doc_id from lists a left join lists b on a.k = b.k and a.doc_id = b.doc_id and b.r = 2
+          where a.r = 1 and (a.asks = 1 or abs(a.at - b.at) <= 5)),
+near as (select doc_id, count(distinct item) as n_near from close join asked using (k) group by doc_id)
 select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
        cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
-       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
-from d left join hit on d.doc_id = hit.doc_id left join which on d.doc_id = which.doc_id"""
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated,
+       cast(coalesce(n_near, 0) as bigint) as n_near
+from d left join hit on d.doc_id = hit.doc_id left join which on d.doc_id = which.doc_id left join near on d.doc_id = near.doc_id"""
 
 _OP7 = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,

@@ -3,6 +3,8 @@ import io
 import random
 import re
 import zipfile
+from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,13 +55,47 @@ def test_decontamination_plan_has_no_python(spark, docs):
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
 
 
-def test_proximity(spark):
-    ws = Workspace(spark, "test")
-    docs = spark.createDataFrame([(1, "a rare x pearl b"), (2, "rare " + "x " * 30 + "pearl")], "uid long, text string")
-    windows, _ = decontamination.windows_of(ws, spark.createDataFrame([(1, "rare pearl")], "item_id long, text string"))
-    index, terms = decontamination.build_index(ws, docs, windows)
-    rarest = decontamination.rarest_terms(ws, index, terms, windows, 2)
-    assert [r.uid for r in decontamination.proximity_matches(index, rarest, 3).collect()] == [1]
+def near_items(texts, items, window=13, slop=5):
+    """Items by document whose windows' two rarest terms stand within slop words of their places."""
+    words = {i: WORD.findall((t or "").translate(LOW)) for i, t in texts}
+    df = Counter(w for ws in words.values() for w in ws)
+    out = {i: set() for i in words}
+    for item, t in items:
+        x = WORD.findall((t or "").translate(LOW))
+        n = min(window, len(x))
+        for s in range(len(x) - n + 1 if n else 0):
+            rare = sorted(range(n), key=lambda o: (df[x[s + o]], o))[:2]
+            if not df[x[s + rare[0]]]:
+                continue
+            for i, ws in words.items():
+                at = [[p - o for p, w in enumerate(ws) if w == x[s + o]] for o in rare]
+                if all(at) and min(max(p) - min(p) for p in product(*at)) <= slop:
+                    out[i].add("" if item is None else str(item))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_proximity_is_brute_force(spark, docs, rows):
+    w = WORD.findall(rows[5][1])
+    gap = " ".join(w[10:14] + ["other"] * 3 + w[14:20])
+    items = [(1, gap), (2, "solo"), (3, None), (4, ""), (5, " ".join(w[3:6] + ["word"] * 9 + w[30:32])), (6, "absent words"), (None, rows[12][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 3, 5):
+        out, _, _ = decontamination.decontaminate(docs, bench, slop=slop)
+        got = {r.uid: list(r.near) for r in out.collect()}
+        assert got == near_items([(r[0], r[1]) for r in rows], items, slop=slop)
+    r = {x.uid: x for x in out.collect()}
+    assert any(set(x.near) - set(x["items"]) for x in r.values())      # near, not exact
+    assert all(set(x["items"]) <= set(x.near) for x in r.values())     # exact ones are near, too
+
+
+def test_proximity_asks_all_terms(spark):
+    docs = spark.createDataFrame([(1, "a rare x pearl b"), (2, "rare " + "x " * 30 + "pearl"), (3, "rare rare rare"), (4, None)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "rare pearl")], "item_id long, text string")
+    out, _, _ = decontamination.decontaminate(docs, items, slop=3)
+    assert [r.uid for r in out.filter("size(near) > 0").collect()] == [1]
+    none = decontamination.decontaminate(docs.limit(0), items, slop=3)[0]
+    assert none.collect() == []
 
 
 def test_mix_meets_targets(docs, rows):
