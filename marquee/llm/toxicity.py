@@ -7,8 +7,10 @@ Learning (labelled rows only):
    pass for toxic terms; texts that only share a passage are counted each. Terms that stand out in toxic documents (log-likelihood ratio above 2 ln of the
    vocabulary's size) make the lexicon, weighted by their log odds; beginnings of words that
    stand out in the same way over three terms or more enter as stems.
-2. Misspellings: words within one edit of a lexicon word are hits, too, unless clean labelled
-   documents use them (they are words of their own).
+2. Misspellings: words within one edit of a lexicon word (a letter more, less or changed, or two
+   neighbours swapped) are hits, too, unless clean labelled documents use them (they are words of
+   their own). Words of ``SWAP_FROM`` letters up to ``FUZZY_FROM`` may only have letters swapped, as
+   other edits of so short a word are mostly other words.
 3. A logistic model over a document's hit features is fitted on a bounded sample of labelled
    rows (about ``FIT_ROWS``, chosen by hash).
 
@@ -47,7 +49,9 @@ from .jaccard_join import shingle_sets
 
 FIT_ROWS = 20_000
 STEM = (4, 6)
-FUZZY_FROM = 5            # shortest lexicon word that is matched with an edit
+FUZZY_FROM = 5            # shortest lexicon word that is matched with any one edit
+SWAPPED = 2
+SWAP_FROM = 4             # shortest lexicon word that is matched with two neighbouring letters swapped
 NEAR = 6                  # words on either side of a hit that make its context
 
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!'][^\W_]+)*")
@@ -65,33 +69,39 @@ def fold(text: str) -> list[str]:
 class Matcher(dict):
     """word -> (term number, edits) or None; the product automaton, made deterministic on demand.
 
-    Terms are (text, is a stem). A stem matches any word that begins with it. ``known`` are
+    A state is a set of (trie node, what was done so far): 0 nothing, 1 an edit, ``SWAPPED`` a swap. The first
+    of two swapped letters leads to (node after both, "the letter that must follow"). Terms are (text, is a stem). A stem matches any word that begins with it. ``known`` are
     words that are not taken as misspellings.
     """
 
     def __init__(self, terms: list[tuple[str, bool]], known: frozenset[str] = frozenset(), fuzzy_from: int = FUZZY_FROM):
         super().__init__()
-        self.known, self.fuzzy_from = known, fuzzy_from
+        swap_from = min(fuzzy_from, SWAP_FROM)
+        self.known, self.shortest = known, {0: 0, 1: fuzzy_from, SWAPPED: swap_from}
         self.next: list[dict[str, int]] = [{}]      # the trie
         self.exact: dict[int, int] = {}             # node -> term
         self.stem: dict[int, int] = {}
         self.deep: list[bool] = [False]             # whether a term that may have an edit lies below
+        self.swap: list[bool] = [False]             # the same of swapped letters
         for i, (t, is_stem) in enumerate(terms):
-            node, fuzzy = 0, not is_stem and len(t) >= fuzzy_from
+            node, fuzzy, swap = 0, not is_stem and len(t) >= fuzzy_from, not is_stem and len(t) >= swap_from
             self.deep[0] |= fuzzy
+            self.swap[0] |= swap
             for c in t:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
                     self.deep.append(False)
+                    self.swap.append(False)
                 node = self.next[node][c]
                 self.deep[node] |= fuzzy
+                self.swap[node] |= swap
             (self.stem if is_stem else self.exact).setdefault(node, i)
         self.length = [len(t) for t, _ in terms]
         start = self._closed({(0, 0)})
         self.sets, self.ids, self.moves = [start], {start: 0}, [{}]
 
-    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, pairs: set[tuple]) -> frozenset:
         """With a letter of the term left out: one edit, down the trie."""
         out = set(pairs)
         for node, e in pairs:
@@ -102,12 +112,21 @@ class Matcher(dict):
     def _step(self, state: int, c: str) -> int:
         got = set()
         for node, e in self.sets[state]:
+            if isinstance(e, str):                                   # the second of two swapped letters
+                if e == c:
+                    got.add((node, SWAPPED))
+                continue
             child = self.next[node].get(c)
-            if child is not None and (e == 0 or self.deep[child]):
+            if child is not None and (e == 0 or (self.swap if e == SWAPPED else self.deep)[child]):
                 got.add((child, e))
             if e == 0 and self.deep[node]:
                 got.add((node, 1))                                   # a letter too many
                 got.update((k, 1) for k in self.next[node].values() if self.deep[k])   # another letter
+            if e == 0 and self.swap[node]:
+                for first, k in self.next[node].items():
+                    both = self.next[k].get(c) if first != c else None
+                    if both is not None and self.swap[both]:
+                        got.add((both, first))
         s = self._closed(got)
         if s not in self.ids:
             self.ids[s] = len(self.sets)
@@ -133,10 +152,11 @@ class Matcher(dict):
         if stem is not None:
             hit = (stem, 0)
         for n, e in pairs:
-            t = self.exact.get(n)
-            if t is not None and (e == 0 or (self.length[t] >= self.fuzzy_from and word not in self.known)):
-                if hit is None or e < hit[1]:
-                    hit = (t, e)
+            t = None if isinstance(e, str) else self.exact.get(n)
+            if t is not None and self.length[t] >= self.shortest[e] and (e == 0 or word not in self.known):
+                found = (t, min(e, 1))
+                if hit is None or (found[1], found[0]) < (hit[1], hit[0]):
+                    hit = found
         self[word] = hit
         return hit
 

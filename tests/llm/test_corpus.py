@@ -217,22 +217,37 @@ def test_levenshtein_matcher():
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
             row = new
         return row[-1]
-    terms = [("idiot", False), ("moron", False), ("scum", False), ("lowe", True)]
-    m = toxicity.Matcher(terms, frozenset({"moros"}))
+    def swapped(a, b):
+        """Whether swapping two neighbouring letters of b makes a."""
+        return any(a == b[:i] + b[i + 1] + b[i] + b[i + 2:] for i in range(len(b) - 1))
+
+    # some short terms begin or share letters with longer ones, where other edits are allowed
+    terms = [("idiot", False), ("moron", False), ("scum", False), ("scumble", False), ("aab", False), ("lowe", True)]
+    known = {"moros", "mroon", "csum"}
+    m = toxicity.Matcher(terms, frozenset(known))
     r = random.Random(4)
-    for _ in range(3000):
-        w = list(r.choice(["idiot", "moron", "scum", "lowen"]))
+    seen = 0
+    for _ in range(6000):
+        w = list(r.choice(["idiot", "moron", "scum", "scumble", "aab", "lowen"]))
         for _ in range(r.randrange(3)):
             k = r.randrange(len(w) + 1)
-            w[k:k + r.randrange(2)] = r.choice(["", "i", "o", "x", "m"])
+            if r.random() < 0.5:
+                w[k:k + 2] = w[k:k + 2][::-1]
+            else:
+                w[k:k + r.randrange(2)] = r.choice(["", "i", "o", "x", "m"])
         w = "".join(w)
-        want = {(i, distance(w, t)) for i, (t, stem) in enumerate(terms) if not stem and (w == t or (len(t) >= 5 and distance(w, t) == 1))}
-        if w.startswith("lowe"):
-            want.add((3, 0))
-        if w == "moros":
-            want = set()
+        want = set()
+        for i, (t, stem) in enumerate(terms):
+            if stem:
+                want |= {(i, 0)} if w.startswith(t) else set()
+            elif w == t:
+                want.add((i, 0))
+            elif w not in known and ((len(t) >= 5 and distance(w, t) == 1) or (len(t) >= 4 and swapped(w, t))):
+                want.add((i, 1))
         got = m[w]
-        assert (got is None) == (not want) and (got is None or got in want)
+        assert (got is None) == (not want) and (got is None or got in want), w
+        seen += got is not None and got[1] == 1 and all(distance(w, t) > 1 for t, _ in terms)
+    assert seen > 100 and m["sucm"] == (2, 1) and m["scam"] is None and m["csum"] is None and m["aba"] is None
 
 
 def labelled(spark, n=400):
