@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zipfile
 from collections import Counter
 from itertools import product
@@ -208,6 +209,29 @@ def test_common_subsequence():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_common_subsequence_of_long_pages():
+    """Repeated lines and distinct ones: whole alignments, with memory far below the table of lengths."""
+    n = 6000
+    a = ["menu" if i % 2 else f"a{i}" for i in range(n)]
+    b = ["menu" if i % 3 else f"b{i}" for i in range(n)]
+    tracemalloc.start()
+    pairs = html_extract.common_subsequence(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == min(a.count("menu"), b.count("menu")) and all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    assert peak < 8_000_000
+    lines = [f"line {i}" for i in range(n)]
+    assert html_extract.common_subsequence(lines, ["x", *lines[::2], "y"]) == [(2 * i, i + 1) for i in range(n // 2)]
+
+
+def test_page_with_many_open_tags():
+    """Tags that are never closed are found by count, and closing one closes those inside it."""
+    page = "<article>" + "<b>x" * 40_000 + "</i>" * 40_000 + "</article><p>outside"
+    assert html_extract.blocks(page) == (["x" * 40_000], True)
+    assert html_extract.blocks("<nav><b><i>menu</nav><p>a<p>b</b>c")[0] == ["a", "bc"]
+
+
 def test_levenshtein_matcher():
     def distance(a, b):
         row = list(range(len(b) + 1))
