@@ -221,15 +221,25 @@ def is_copy(text: Column, kept: Column) -> Column:
 
 
 def without_copies(ws: Workspace, labelled: DataFrame) -> DataFrame:
-    """Rows (text, y, h) of which copies speak once; (f, y) of a row names the family that it is compared in."""
-    rows = ws.save(labelled.withColumn("n", F.monotonically_increasing_id()), "labelled")
-    first = rows.groupBy("f", "y").agg(F.min(F.struct("h", "n")).alias("one"), F.count(F.lit(1)).alias("rows"))
-    first = first.filter("rows > 1").select("f", "y", F.col("one.n").alias("kept"))
-    # only the numbers of rows that share a family, and those families' kept texts, are joined
-    texts = rows.select(F.col("n").alias("kept"), F.col("text").alias("kept_text")).join(first, "kept")
-    pairs = rows.join(texts, ["f", "y"]).filter("n != kept")
-    copies = pairs.filter(is_copy(F.coalesce("text", F.lit("")), F.coalesce("kept_text", F.lit("")))).select("n")
-    return ws.save(rows.join(copies, "n", "left_anti").select("text", "y", "h"), "counted")
+    """Rows (text, y, h) of which copies speak once; (f, y) of a row names the family that it is compared in.
+
+    Families are found by numbers alone, and a text equal to its family's kept one is known by its digest. Texts
+    move only for the other rows of families with several different texts.
+    """
+    rows = ws.save(labelled.withColumn("n", F.monotonically_increasing_id())
+                   .withColumn("d", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "labelled")
+    numbers = rows.select("n", "f", "y", "h", "d")
+    first = numbers.groupBy("f", "y").agg(F.min(F.struct("h", "n", "d")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    first = first.filter("rows > 1").select("f", "y", F.col("one.n").alias("kept"), F.col("one.d").alias("kept_d"))
+    pairs = ws.save(numbers.join(first, ["f", "y"]).filter("n != kept")
+                    .select("n", "kept", (F.col("d") == F.col("kept_d")).alias("same")), "pairs")
+    differ = pairs.filter("not same").select("n", "kept")
+    texts = rows.select("n", "text").join(small(differ), "n")
+    kept = (rows.select(F.col("n").alias("kept"), F.coalesce("text", F.lit("")).alias("kept_text"))
+            .join(small(differ.select("kept").distinct()), "kept"))
+    near = texts.join(kept, "kept").filter(is_copy(F.coalesce("text", F.lit("")), F.col("kept_text"))).select("n")
+    copies = ws.save(pairs.filter("same").select("n").unionByName(near), "copies")
+    return rows.join(small(copies), "n", "left_anti").select("text", "y", "h")
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
