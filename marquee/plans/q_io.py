@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marquee.session import scratch_path
 from marquee.sources import artifacts as A
 from marquee.sources import io as IO
+from marquee.sources.runstore import RunStore
 from marquee.plans.registry import query, rnd, tables
 
 _CUST_SQL = ("select c_custkey, c_name, case when c_custkey % 10 = 0 then null else c_acctbal end as c_acctbal, "
@@ -193,7 +194,6 @@ def q_run_stage(spark, sf_dir):
 @query("model_artifacts")
 def q_model_artifacts(spark, sf_dir):
     """Train, persist metrics / predictions / model, read back, re-predict."""
-    from pyspark.ml.regression import LinearRegressionModel
     from marquee.operators import model as M
     from marquee.operators import evaluate as EV
     li = tables(spark, sf_dir)["lineitem"].withColumn(
@@ -204,9 +204,11 @@ def q_model_artifacts(spark, sf_dir):
     root = scratch_path(spark, "models")
     IO.write_csv(res.predictions, root, "run1", "predictions")
     IO.write_json(res.metrics, root, "run1", "metrics", "20240101_0000")
-    mpath = f"{root}/run1/LinearRegression.model"
-    res.models["LinearRegression"].write().overwrite().save(mpath)
-    back = LinearRegressionModel.load(mpath)
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    run = store.begin("run1")
+    run.put_model("LinearRegression", res.models["LinearRegression"])
+    run.commit()
+    back = store.activate("run1").models["LinearRegression"]
     data, _ = M.feature_target(va, "l_extendedprice", ["l_quantity", "l_discount"], "row_id")
     p = back.transform(data).select(F.col("row_id").alias("row_id"), F.lit("reloaded").alias("model"),
                                     F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
