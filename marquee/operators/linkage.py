@@ -241,11 +241,18 @@ def linkage_columns(base: DataFrame) -> DataFrame:
 
 
 def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame,
-                   cfg: LinkageConfig = LinkageConfig(), mode: str = "intended") -> DataFrame:
-    """Id map UNION metadata map of the rows the id map left."""
-    base = linkage_columns(base)
-    idm = id_entity_map(base, core, mode)
-    rest = unmatched(base, idm)
+                   cfg: LinkageConfig = LinkageConfig(), mode: str = "intended", stored: bool = False) -> DataFrame:
+    """Id map UNION metadata map of the rows the id map left. ``stored``: the base is a written table already."""
+    base = base.select("license_id", "title_id", "release_year", "territory") if stored else linkage_columns(base)
+    idm = save_table(id_entity_map(base, core, mode), "matched")      # read for the union and for what it leaves
+    # a row that matched by itself is not among the rest; only the others move to be compared with the map
+    own = F.col("title_id").isNotNull() & F.col("license_id").isNotNull()
+    if mode == "intended":
+        known = core.select(F.col("title_id").alias("_known"))
+        others = base.join(known, (F.col("title_id") == F.col("_known")) & F.col("license_id").isNotNull(), "left_anti")
+    else:
+        others = base.where(~own)
+    rest = unmatched(others, idm)
     er = resolve_entities(rest, cand, cfg)
     return idm.unionByName(er, allowMissingColumns=True)
 
@@ -274,14 +281,15 @@ def rank_entity_map(mapping: DataFrame, cfg: LinkageConfig = LinkageConfig(),
                     mode: str = "intended") -> DataFrame:
     """Best mapping row per licence: method rank desc, score desc, title id asc.
 
-    ``min_by`` over a sort struct is aggregated partially in each task (a sort aggregate, as
-    rows hold strings), so a licence with very many rows is never gathered in one task.
+    The smallest struct that begins with the sort order is aggregated partially in each task (a sort
+    aggregate, as rows hold strings), so a licence with very many rows is never gathered in one task,
+    and each column moves once. Ties go to the smaller of the other columns.
     """
     cols = [c for c in mapping.columns if c != "license_id"]
-    order = F.struct((-method_rank_expr(cfg, mode)).alias("a"), (-F.col("match_score")).alias("b"),
-                     F.col("title_id").isNull().alias("c"), F.col("title_id").alias("d"))
-    best = mapping.groupBy("license_id").agg(F.min_by(F.struct(*cols), order).alias("w"))
-    return best.select("license_id", *[F.col(f"w.{c}").alias(c) for c in cols])
+    order = F.struct((-method_rank_expr(cfg, mode)).alias("_a"), (-F.col("match_score")).alias("_b"),
+                     F.col("title_id").isNull().alias("_c"), "title_id", *[c for c in cols if c not in ("title_id", "match_score")])
+    best = mapping.groupBy("license_id").agg(F.min(order).alias("w"))
+    return best.select("license_id", *[(-F.col("w._b") if c == "match_score" else F.col(f"w.{c}")).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- title similarity

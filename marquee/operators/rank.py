@@ -87,6 +87,7 @@ def popularity_blend(df: DataFrame, pv_col: str = "pv_30d", votes_col: str = "nu
         return df
     tmp = df.withColumns({"_pv0": F.coalesce(F.col(pv_col).cast("double"), F.lit(0.0)),
                           "_v0": F.coalesce(F.col(votes_col).cast("double"), F.lit(0.0))})
+    tmp = save_table(tmp, "blended")        # both ranks read it twice
     tmp = pct_rank_global(tmp, "_pv0", "_r_pv")
     tmp = pct_rank_global(tmp, "_v0", "_r_v")
     return tmp.withColumn("popularity_blend", F.col("_r_pv") * 0.6 + F.col("_r_v") * 0.4).drop(

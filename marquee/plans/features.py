@@ -39,17 +39,18 @@ def prepare_base(base: DataFrame) -> DataFrame:
 
 
 def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.LinkageConfig(),
-                   mode: str = "intended", mapping: DataFrame | None = None) -> DataFrame:
+                   mode: str = "intended", mapping: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """base LEFT JOIN best mapping (method, score) LEFT JOIN catalogue attributes + features.
 
     ``parity``: the mapping's title id is dropped, so only the base id reaches the
     catalogue (as in the reference).  ``intended``: the mapped id wins when present.
     Joins are left joins on equality keys; AQE picks broadcast vs sort-merge from
-    runtime sizes and splits skewed licence partitions.
+    runtime sizes and splits skewed licence partitions. ``stored``: the base is a written table,
+    so linkage reads it as it is.
     """
     base = prepare_base(base) if "title_norm" not in base.columns else base
-    emap = mapping if mapping is not None else L.entity_mapping(base, cat.core, cat.cand, cfg, mode)
-    ranked = L.rank_entity_map(emap, cfg, mode)
+    emap = mapping if mapping is not None else L.entity_mapping(base, cat.core, cat.cand, cfg, mode, stored)
+    ranked = L.rank_entity_map(emap.select(*L.MAPPING_COLUMNS), cfg, mode)
     imdb = cat.core.select("title_id", "primaryTitle", "primary_title_norm", "releaseYear",
                            "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"]).withColumn("_known", F.lit(True))
     if mode == "parity":
@@ -75,10 +76,11 @@ def roles_of(staged: dict[str, DataFrame], mode: str = "intended") -> dict[str,
 
 
 def feature_build(staged: dict[str, DataFrame], roles: dict[str, str] | None = None, cfg: L.LinkageConfig = L.LinkageConfig(),
-                  mode: str = "intended") -> DataFrame:
+                  mode: str = "intended", stored: bool = False) -> DataFrame:
     """Staged tables -> feature master in one call: guess roles, normalise columns, assemble the catalogue, link.
 
     ``roles`` overrides the guess for the roles it names. A table may not fill two roles.
+    ``stored``: the base table is a written one, not a view that is computed at each reading.
     """
     chosen = {**roles_of(staged), **(roles or {})}
     missing = [r for r, label in chosen.items() if label not in staged]
@@ -88,7 +90,7 @@ def feature_build(staged: dict[str, DataFrame], roles: dict[str, str] | None = N
         raise ValueError(f"a table fills two roles: {chosen}")
     base = normalize_columns(staged[chosen["base"]])
     cat = build_catalogue(staged[chosen["basics"]], staged[chosen["ratings"]], staged[chosen["akas"]], store=True)
-    return feature_master(base, cat, cfg, mode)
+    return feature_master(base, cat, cfg, mode, stored=stored)
 
 
 # fixed values: seasonality multiplier by start month (1..12)

@@ -18,6 +18,11 @@ def _lic(spark, sf_dir):
     return tables(spark, sf_dir)["licensing"]
 
 
+def _kept(spark, sf_dir, columns=None):
+    """The licences (or some of their columns) written once: the joins behind them are not made for each pass."""
+    return tables(spark, sf_dir).stored("licensing", columns)
+
+
 def _u(parts):
     return "\nunion all\n".join(parts)
 
@@ -72,7 +77,7 @@ _OF_CTE = (f"with f1 as (select * from licensing where price >= {_f1lo} and pric
 
 @query("outliers_filter", _OF_CTE + "select license_id, round(price, 6) as price, round(units, 6) as units from f2")
 def q_outliers_filter(spark, sf_dir):
-    out, _ = C.outliers_filter(_lic(spark, sf_dir), ["price", "units"], 1.5)
+    out, _ = C.outliers_filter(_kept(spark, sf_dir, ["license_id", "price", "units"]), ["price", "units"], 1.5)
     return rnd(out.select("license_id", "price", "units"))
 
 
@@ -82,7 +87,7 @@ def q_outliers_filter(spark, sf_dir):
        f"union all select 'units', round({_f2lo}, 6), round({_f2hi}, 6), "
        f"(select count(*) from f1) - (select count(*) from f2)")
 def q_outliers_filter_report(spark, sf_dir):
-    _, rep = C.outliers_filter(_lic(spark, sf_dir), ["price", "units"], 1.5)
+    _, rep = C.outliers_filter(_kept(spark, sf_dir, ["price", "units"]), ["price", "units"], 1.5)
     return rnd(rep)
 
 
@@ -99,7 +104,7 @@ def _report_join_sql(before_sql, after_sql, cols, std_delta=False):
 @query("outliers_report", _OF_CTE + _report_join_sql(_summary_sql("licensing", ["price", "units"]),
                                                      _summary_sql("f2", ["price", "units"]), ["price", "units"], True))
 def q_outliers_report(spark, sf_dir):
-    lic = _lic(spark, sf_dir)
+    lic = _kept(spark, sf_dir, ["price", "units"])
     out, _ = C.outliers_filter(lic, ["price", "units"], 1.5)
     return rnd(R.outliers_report(lic, out, ["price", "units"]))
 
@@ -112,7 +117,7 @@ def _clip_sql(c):
 @query("outliers_clip", f"select license_id, round({_clip_sql('price')}, 6) as price, "
        f"round({_clip_sql('units')}, 6) as units from licensing")
 def q_outliers_clip(spark, sf_dir):
-    out, _ = C.outliers_clip(_lic(spark, sf_dir), ["price", "units"], 1.5)
+    out, _ = C.outliers_clip(_kept(spark, sf_dir, ["license_id", "price", "units"]), ["price", "units"], 1.5)
     return rnd(out.select("license_id", "price", "units"))
 
 
@@ -121,7 +126,7 @@ def q_outliers_clip(spark, sf_dir):
     f"count(*) filter (where {c} is null or {c} < {_fence('licensing', c)[0]} or {c} > {_fence('licensing', c)[1]}) as clipped "
     f"from licensing" for c in ["price", "units"]]))
 def q_outliers_clip_report(spark, sf_dir):
-    _, rep = C.outliers_clip(_lic(spark, sf_dir), ["price", "units"], 1.5)
+    _, rep = C.outliers_clip(_kept(spark, sf_dir, ["price", "units"]), ["price", "units"], 1.5)
     return rnd(rep)
 
 
@@ -145,7 +150,7 @@ _MODE_TID = ("(select title_id from licensing where title_id is not null group b
        "round(coalesce(units, (select quantile_cont(units, 0.5) from licensing)), 6) as units, "
        f"coalesce(title_id, {_MODE_TID}) as title_id from licensing")
 def q_impute(spark, sf_dir):
-    out = C.impute(_lic(spark, sf_dir), "median", ["release_year", "units", "title_id"])
+    out = C.impute(_kept(spark, sf_dir, ["license_id", "title_id", "release_year", "units"]), "median", ["release_year", "units", "title_id"])
     return rnd(out.select("license_id", F.col("release_year").cast("double").alias("release_year"),
                           "units", "title_id"))
 
@@ -186,7 +191,7 @@ def _impute_report_sql(cols, tol=2.0):
 
 @query("impute_report", _impute_report_sql(["release_year", "units", "price"]))
 def q_impute_report(spark, sf_dir):
-    lic = _lic(spark, sf_dir).withColumn("release_year", F.col("release_year").cast("double"))
+    lic = _kept(spark, sf_dir, ["release_year", "units", "price"]).withColumn("release_year", F.col("release_year").cast("double"))
     after = C.impute(lic, "median", ["release_year", "units", "price"])
     # 4 places: the delta percentages amplify last-bit differences of two averages
     return rnd(R.impute_report(lic, after, ["release_year", "units", "price"], 2.0), 4)
@@ -196,7 +201,7 @@ def q_impute_report(spark, sf_dir):
                                                         _summary_sql("imp", ["units", "price"]), ["units", "price"]))
 def q_compare_summaries(spark, sf_dir):
     from marquee.operators import profile as P
-    lic = _lic(spark, sf_dir).withColumn("release_year", F.col("release_year").cast("double"))
+    lic = _kept(spark, sf_dir, ["release_year", "units", "price"]).withColumn("release_year", F.col("release_year").cast("double"))
     after = C.impute(lic, "median", ["release_year", "units"])
     return rnd(R.compare_summaries(P.num_summary(lic, ["units", "price"]), P.num_summary(after, ["units", "price"])))
 
@@ -247,7 +252,7 @@ _COMPLETE = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in
        f"order by {_COMPLETE} desc, license_id) as rn from licensing where title_id is not null) t where rn = 1 "
        f"union all select license_id, title_id from licensing where title_id is null")
 def q_dedup_most_complete(spark, sf_dir):
-    return C.dedup_most_complete(_lic(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id")
+    return C.dedup_most_complete(_kept(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id")
 
 
 @query("dedup_latest",
@@ -256,7 +261,7 @@ def q_dedup_most_complete(spark, sf_dir):
        "where title_id is not null) t where rn = 1 union all "
        "select license_id, title_id, window_end from licensing where title_id is null")
 def q_dedup_latest(spark, sf_dir):
-    return C.dedup_latest(_lic(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id", "window_end")
+    return C.dedup_latest(_kept(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id", "window_end")
 
 
 @query("deduplicate",
@@ -273,7 +278,7 @@ def q_deduplicate(spark, sf_dir):
        "as rows_after, count(*) - (select count(distinct title_id) from licensing) - "
        "(select count(*) from licensing where title_id is null) as removed from licensing")
 def q_dedup_report(spark, sf_dir):
-    lic = _lic(spark, sf_dir)
+    lic = _kept(spark, sf_dir)
     return C.dedup_report(lic, C.dedup_most_complete(lic, "title_id", ["license_id"]), "title_id")
 
 
@@ -400,7 +405,7 @@ def q_schema_report(spark, sf_dir):
 def q_step_manifest(spark, sf_dir):
     """A cleaning run on the licensing view recorded as a manifest, read back as dashboard lines."""
     from marquee.operators import profile as P
-    lic = _lic(spark, sf_dir).withColumn("release_year", F.col("release_year").cast("double"))
+    lic = _kept(spark, sf_dir).withColumn("release_year", F.col("release_year").cast("double"))
     imp = C.impute(lic, "median", ["release_year", "units"])
     rep_imp = R.impute_report(lic, imp, ["release_year", "units"])
     clipped, rep_out = C.outliers_clip(imp, ["price", "units"])

@@ -190,8 +190,8 @@ def q_popularity_blend(spark, sf_dir):
        "round(meta_score, 6) as meta_score from win")
 def q_score_metadata(spark, sf_dir):
     t = tables(spark, sf_dir)
-    cat = build_catalogue(t["title_basics"], t["title_ratings"], t["title_akas"])
-    base = prepare_base(t["licensing"])
+    cat = build_catalogue(t["title_basics"], t["title_ratings"], t["title_akas"], store=True)
+    base = L.linkage_columns(prepare_base(t["licensing"]))
     rest = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     cfg = L.LinkageConfig()
     winners = L.score_blocks(L.block_keys(rest, cfg), cat.cand, cfg)
@@ -251,7 +251,7 @@ def _pred(spark, sf_dir):
 
 @query("report_eda")
 def q_report_eda(spark, sf_dir):
-    return R.section_values(R.report_eda(tables(spark, sf_dir)["licensing"]))
+    return R.section_values(R.report_eda(tables(spark, sf_dir).stored("licensing")))
 
 
 @query("report_visual")
@@ -266,7 +266,7 @@ def q_report_model(spark, sf_dir):
 
 @query("report_full")
 def q_report_full(spark, sf_dir):
-    return R.section_values(R.report_full(tables(spark, sf_dir)["licensing"], _pred(spark, sf_dir), "run1"))
+    return R.section_values(R.report_full(tables(spark, sf_dir).stored("licensing"), _pred(spark, sf_dir), "run1"))
 
 
 @query("eda_profile")

@@ -48,7 +48,7 @@ def q_id_entity_map_parity(spark, sf_dir):
        "select license_id, title_id, release_year, territory, round(price, 6) as price from unm")
 def q_unmatched(spark, sf_dir):
     t = tables(spark, sf_dir)
-    base = prepare_base(t["licensing"])
+    base = prepare_base(t.stored("licensing", _BASE_COLS))
     cat = _cat(t, store=True)
     u = L.unmatched(base, L.id_entity_map(base, cat.core, "intended"))
     return rnd(u.select("license_id", "title_id", "release_year", "territory", "price"))
@@ -102,6 +102,7 @@ def q_rank_entity_map(spark, sf_dir):
     return rnd(L.rank_entity_map(m.select(*L.MAPPING_COLUMNS)))
 
 
+_BASE_COLS = ["license_id", "title_id", "title", "release_year", "territory", "price"]
 _FM_COLS = ["license_id", "title_id", "method", "match_score", "title_final", "releaseYear",
             "numVotes", "averageRating", "log1p_numVotes", "has_entity", "price"]
 
@@ -115,21 +116,21 @@ def _fm_sql(mode):
 @query("feature_master", _fm_sql("intended"))
 def q_feature_master(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return rnd(feature_master(t["licensing"], _cat(t, store=True), mode="intended").select(*_FM_COLS))
+    return rnd(feature_master(t.stored("licensing", _BASE_COLS), _cat(t, store=True), mode="intended", stored=True).select(*_FM_COLS))
 
 
 @query("feature_build", _fm_sql("intended"))
 def q_feature_build(spark, sf_dir):
     """The staged tables under names of their own; roles come from the names and the columns."""
     t = tables(spark, sf_dir)
-    staged = {"titles.tsv": t["title_basics"], "deals": t["licensing"], "akas_2024": t["title_akas"], "scores": t["title_ratings"]}
-    return rnd(feature_build(staged).select(*_FM_COLS))
+    staged = {"titles.tsv": t["title_basics"], "deals": t.stored("licensing", _BASE_COLS), "akas_2024": t["title_akas"], "scores": t["title_ratings"]}
+    return rnd(feature_build(staged, stored=True).select(*_FM_COLS))
 
 
 @query("feature_master_parity", _fm_sql("parity"))
 def q_feature_master_parity(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return rnd(feature_master(t["licensing"], _cat(t, store=True), mode="parity").select(*_FM_COLS))
+    return rnd(feature_master(t.stored("licensing", _BASE_COLS), _cat(t, store=True), mode="parity", stored=True).select(*_FM_COLS))
 
 
 _TERR_SQL = (f"with {S.linkage_ctes('intended')},{S.feature_master_sql('intended')} "
@@ -149,7 +150,7 @@ def territory_summary(fm):
 @query("territory_summary", _TERR_SQL)
 def q_territory_summary(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return territory_summary(feature_master(t["licensing"], _cat(t, store=True), mode="intended"))
+    return territory_summary(feature_master(t.stored("licensing", _BASE_COLS), _cat(t, store=True), mode="intended", stored=True))
 
 
 # titles of licences as they were sold (brand after "__"), one row for each title and year

@@ -56,7 +56,7 @@ def _num_summary_sql(table, cols):
 
 @query("num_summary", _num_summary_sql("licensing", LIC_NUM))
 def q_num_summary(spark, sf_dir):
-    return rnd(P.num_summary(_lic(spark, sf_dir), LIC_NUM))
+    return rnd(P.num_summary(tables(spark, sf_dir).stored("licensing", LIC_NUM), LIC_NUM))
 
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -82,7 +82,7 @@ def q_num_summary_hist_path(spark, sf_dir):
     f"select '{c}' as column, round(avg({c}), 6) as mean, round(quantile_cont({c}, 0.5), 6) as median, "
     f"count(*) filter (where {c} is null) as missing from licensing" for c in LIC_NUM]))
 def q_imputation_summary(spark, sf_dir):
-    return rnd(P.imputation_summary(_lic(spark, sf_dir), LIC_NUM))
+    return rnd(P.imputation_summary(tables(spark, sf_dir).stored("licensing", LIC_NUM), LIC_NUM))
 
 
 def _describe_sql():
@@ -108,7 +108,7 @@ def _describe_sql():
 
 @query("describe_all", _describe_sql())
 def q_describe_all(spark, sf_dir):
-    return rnd(P.describe_all(_lic(spark, sf_dir)))
+    return rnd(P.describe_all(tables(spark, sf_dir).stored("licensing")))
 
 
 CAT3 = ["territory", "media", "platform"]
@@ -252,7 +252,7 @@ BOX = ["price", "units"]
 
 @query("box_stats", _box_sql(BOX))
 def q_box_stats(spark, sf_dir):
-    return rnd(P.box_stats(_lic(spark, sf_dir), BOX))
+    return rnd(P.box_stats(tables(spark, sf_dir).stored("licensing", BOX), BOX))
 
 
 @query("month_box",

@@ -33,6 +33,10 @@ def _licensing(spark, sf_dir):
     return tables(spark, sf_dir)["licensing"]
 
 
+def _stored(spark, sf_dir):
+    return tables(spark, sf_dir).stored("licensing")
+
+
 def section_query(report, sections, name, sql=None, same_as=None):
     key = f"{report}_{name}"
 
@@ -48,6 +52,10 @@ def _eda(spark, sf_dir):
     return R.eda_sections(_licensing(spark, sf_dir))
 
 
+def _eda_stored(spark, sf_dir):
+    return R.eda_sections(_stored(spark, sf_dir))
+
+
 def _visual(spark, sf_dir):
     return R.visual_sections(_licensing(spark, sf_dir))
 
@@ -60,6 +68,10 @@ def _profile(spark, sf_dir):
     return R.profile_sections(_licensing(spark, sf_dir))
 
 
+def _profile_stored(spark, sf_dir):
+    return R.profile_sections(_stored(spark, sf_dir))
+
+
 _ROW = "license_id, title_id, title, release_year, territory, media, platform, window_start, window_end, round(units, 6) as units, round(price, 6) as price, currency"
 _TOP = "from licensing where license_id is not null group by license_id order by count desc, value limit 20"
 _BINS = ("with st as (select min({0}) as lo, max({0}) as hi from {1}), w as (select lo, (hi - lo) / 30.0 as width from st), "
@@ -72,7 +84,7 @@ _ENSEMBLES = ("select model, " + QM._r(["RMSE", "MAE", "R2"]) + f" from (select
               f"avg(y_pred) as y_pred from preds group by row_id) a union all select 'weighted_inverse_rmse', {QM._METRICS} from (select row_id, "
               "any_value(y_true) as y_true, sum(weight * y_pred) as y_pred from preds join w on preds.model = w.model group by row_id) b) t")
 
-section_query("report_eda", _eda, "describe", same_as="describe_all")
+section_query("report_eda", _eda_stored, "describe", same_as="describe_all")
 section_query("report_eda", _eda, "preview", f"select {_ROW} from licensing order by license_id nulls first limit 25")
 section_query("report_eda", _eda, "histogram", _BINS.format("cast(release_year as double)", "licensing"))
 section_query("report_eda", _eda, "top_values", f"select license_id as value, count(*) as count {_TOP}")
@@ -85,7 +97,7 @@ section_query("report_model", _model, "residual_histogram", QM._PRED_CTE + ", r
 section_query("report_model", _model, "actual_vs_pred", same_as="actual_vs_pred")
 section_query("eda_profile", _profile, "shape", same_as="shape")
 section_query("eda_profile", _profile, "missing", same_as="missing_counts")
-section_query("eda_profile", _profile, "describe", same_as="describe_all")
+section_query("eda_profile", _profile_stored, "describe", same_as="describe_all")
 section_query("eda_profile", _profile, "corr_numeric", _CORR.replace(", 6)", ", 3)"))
 section_query("eda_profile", _profile, "sample_head", f"select {_ROW} from licensing order by license_id nulls first limit 10")
 section_query("eda_profile", _profile, "datetime_summary", " union all ".join(
@@ -111,7 +123,7 @@ def q_report_full_sections(spark, sf_dir):
     """All sections of the full report written in one run; the committed run's tables and rows."""
     store = _store(spark)
     run = store.begin(RUN)
-    R.store_sections(run, R.full_sections(_licensing(spark, sf_dir), QM.predictions_long(spark, sf_dir), RUN))
+    R.store_sections(run, R.full_sections(_stored(spark, sf_dir), QM.predictions_long(spark, sf_dir), RUN))
     run.commit()
     return store.manifest().select(F.col("name").alias("section"), "rows")
 

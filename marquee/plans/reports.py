@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import profile as P
-from marquee.session import cut_lineage
+from marquee.session import save_table
 from marquee.sources.runstore import RunWriter
 
 EPS = 1e-12
@@ -145,8 +145,8 @@ def profile_sections(df: DataFrame) -> Sections:
 
 
 def eda_profile(df: DataFrame) -> dict[str, DataFrame]:
-    """All sections of the profile, sharing one checkpointed input."""
-    return made(profile_sections(cut_lineage(df)))
+    """All sections of the profile, sharing one written input of which each reads its columns."""
+    return made(profile_sections(save_table(df, "profiled")))
 
 
 def eda_sections(df: DataFrame) -> Sections:
