@@ -78,3 +78,21 @@ def test_query(spark, whole):
     got = {x.doc_id: (x.n_bytes, x.n_tokens, x.over_limit) for x in tc.op11_token_counts(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text")).collect()
     assert got == {d.doc_id: (len((d.text or "").encode()), whole(d.text), whole(d.text) > 512) for d in docs}
+
+
+def test_units_add_up_and_frequent_ones_are_encoded_once(whole, monkeypatch):
+    tok, margin = tc.load(tc.TOKENIZER)
+    assert tc.separable(tok, margin) and not tc.separable(tok, None)
+    r = random.Random(5)
+    texts = ["", " ", "word", " word word", "a  b", "a\x1c b", "a  b", "a᠎ b", f"x {SPECIAL} y{SPECIAL} z", *[nasty(r, r.randrange(60)) for _ in range(1500)]]
+    for limit in (tc.UNITS, 20):
+        monkeypatch.setattr(tc, "UNITS", limit)
+        known, seen = {}, tc.Counter()
+        got = [n for i in range(0, len(texts), 50) for n in tc._units(tok, texts[i:i + 50], known, seen)]
+        assert got == [whole(t) for t in texts]
+    monkeypatch.undo()
+    sent, known, seen, plain = [], {}, tc.Counter(), tc._whole
+    monkeypatch.setattr(tc, "_whole", lambda t, xs: sent.extend(xs) or plain(t, xs))
+    for _ in range(10):
+        tc._units(tok, ["the same words again and again"] * 3, known, seen)
+    assert sum(map(len, sent)) < 200
