@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from marquee.functions.columns import epoch_micros, select_dtypes
 from marquee.operators.profile import _num, _q, quantiles
+from marquee.session import save_table
 
 
 # ---------------------------------------------------------------- nulls / filters
@@ -214,22 +215,41 @@ def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame
 
 # ---------------------------------------------------------------- deduplication
 #
-# "Keep one row per key" is an aggregate with ``min_by(row, sort key)``: map-side partial
+# "Keep one row per key" is the smallest struct that begins with the sort key: map-side partial
 # aggregation keeps one row per key per partition, so a key holding a third of the table
-# never lands in one task whole (a window would sort it in one task). As rows hold strings,
-# Spark plans it as sort aggregates: each task sorts its rows by key, on disk if need be.
-
-def _keep_best(df: DataFrame, keys: list[str], sort_key: Column, keep_null_keys: bool) -> DataFrame:
-    cols = df.columns
+# never lands in one task whole (a window would sort it in one task). Each column moves once; rows tied
+# in the sort key go by their other columns. As rows hold strings, Spark plans it as sort aggregates:
+# each task sorts its rows by key, on disk if need be.
+
+def _keep_best(df: DataFrame, keys: list[str], first: list[Column], order_by: list[str], keep_null_keys: bool,
+               columns: list[str] | None = None) -> DataFrame:
+    """The row per key that is smallest by ``first``, then ``order_by``. ``columns``: those returned (default all);
+    where null keys are kept, the columns needed are written once, as the rows are read twice."""
+    cols = list(columns or df.columns)
+    ranks = [f"__rank{i}" for i in range(len(first))]
+    held = list(dict.fromkeys([*keys, *order_by, *cols]))
+    rows = df.withColumns(dict(zip(ranks, first))).select(*[_q(c) for c in [*held, *ranks]])
     nk = F.lit(False)
     for k in keys:
         nk = nk | _q(k).isNull()
-    body = df.where(~nk) if keep_null_keys else df
-    best = body.groupBy(*[_q(k) for k in keys]).agg(
-        F.min_by(F.struct(*[_q(c) for c in cols]), sort_key).alias("_w")).select("_w.*")
     if keep_null_keys:
-        best = best.unionByName(df.where(nk))
-    return best
+        rows = save_table(rows, "ranked")
+    body = rows.where(~nk) if keep_null_keys else rows
+    kinds = {c: df.schema[c].dataType.simpleString() for c in cols}
+    # grouping makes -0.0 and 0.0 one value, so a fractional key is carried with its row
+    grouped = [c for c in cols if c in keys and kinds[c] not in ("double", "float")]
+    order = list(dict.fromkeys([*ranks, *order_by]))
+    carried = [*order, *[c for c in cols if c not in grouped and c not in order]]
+    row = F.struct(*[_q(c) for c in carried])
+    if any("map<" in k or "variant" in k for k in kinds.values()):        # no order of their own
+        best = F.min_by(row, F.struct(*[_q(c) for c in order]))
+    else:
+        best = F.min(row)
+    out = body.groupBy(*[_q(k) for k in keys]).agg(best.alias("_w"))
+    out = out.select(*[_q(c) if c in grouped else F.col(f"_w.`{c}`").alias(c) for c in cols])
+    if keep_null_keys:
+        out = out.unionByName(rows.where(nk).select(*[_q(c) for c in cols]))
+    return out
 
 
 def deduplicate(df: DataFrame, subset: list[str], order_by: list[str] | None = None) -> DataFrame:
@@ -237,7 +257,7 @@ def deduplicate(df: DataFrame, subset: list[str], order_by: list[str] | None = N
     without an order any one row per key is kept (``dropDuplicates``)."""
     if not order_by:
         return df.dropDuplicates(subset)
-    return _keep_best(df, subset, F.struct(*[_q(c) for c in order_by]), keep_null_keys=False)
+    return _keep_best(df, subset, [], order_by, keep_null_keys=False)
 
 
 def completeness(df: DataFrame, cols: list[str] | None = None) -> Column:
@@ -253,22 +273,20 @@ def _missing_any(df, c):
     return _missing(df, c)
 
 
-def dedup_most_complete(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
-    """Per key keep the row with most non-null fields, first in ``order_by`` on ties;
-    rows with a null key are left untouched."""
-    sk = F.struct((-completeness(df)).alias("_c"), *[_q(c) for c in order_by])
-    return _keep_best(df, [key], sk, keep_null_keys=True)
+def dedup_most_complete(df: DataFrame, key: str, order_by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Per key keep the row with most non-null fields (of all of ``df``), first in ``order_by`` on ties;
+    rows with a null key are left untouched. ``columns``: those returned."""
+    return _keep_best(df, [key], [-completeness(df)], order_by, keep_null_keys=True, columns=columns)
 
 
-def dedup_latest(df: DataFrame, key: str, order_by: list[str], ts: str = "window_end") -> DataFrame:
+def dedup_latest(df: DataFrame, key: str, order_by: list[str], ts: str = "window_end", columns: list[str] | None = None) -> DataFrame:
     """Per key keep the latest ``ts`` (first in ``order_by`` on ties or all-null);
-    without a ``ts`` column the first row in ``order_by`` order; null keys untouched."""
+    without a ``ts`` column the first row in ``order_by`` order; null keys untouched. ``columns``: those returned."""
+    first = []
     if ts in df.columns:
         t = epoch_micros(df, ts)
-        sk = F.struct(t.isNull().alias("_n"), (-F.coalesce(t, F.lit(0))).alias("_t"), *[_q(c) for c in order_by])
-    else:
-        sk = F.struct(*[_q(c) for c in order_by])
-    return _keep_best(df, [key], sk, keep_null_keys=True)
+        first = [t.isNull(), -F.coalesce(t, F.lit(0))]
+    return _keep_best(df, [key], first, order_by, keep_null_keys=True, columns=columns)
 
 
 def dedup_report(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -59,14 +59,14 @@ _lo, _hi = _fence("licensing", "price")
 
 @query("iqr_filter", f"select license_id, round(price, 6) as price from licensing where price >= {_lo} and price <= {_hi}")
 def q_iqr_filter(spark, sf_dir):
-    return rnd(C.iqr_filter(_lic(spark, sf_dir), "price").select("license_id", "price"))
+    return rnd(C.iqr_filter(_kept(spark, sf_dir, ["license_id", "price"]), "price").select("license_id", "price"))
 
 
 @query("winsorize", "select license_id, round(case when units is null then null else least(greatest(units, "
        "(select quantile_cont(units, 0.01) from licensing)), (select quantile_cont(units, 0.99) from licensing)) end, 6)"
        " as units from licensing")
 def q_winsorize(spark, sf_dir):
-    return rnd(C.winsorize(_lic(spark, sf_dir), "units", 0.01, 0.99).select("license_id", "units"))
+    return rnd(C.winsorize(_kept(spark, sf_dir, ["license_id", "units"]), "units", 0.01, 0.99).select("license_id", "units"))
 
 
 _f1lo, _f1hi = _fence("licensing", "price")
@@ -252,7 +252,7 @@ _COMPLETE = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in
        f"order by {_COMPLETE} desc, license_id) as rn from licensing where title_id is not null) t where rn = 1 "
        f"union all select license_id, title_id from licensing where title_id is null")
 def q_dedup_most_complete(spark, sf_dir):
-    return C.dedup_most_complete(_kept(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id")
+    return C.dedup_most_complete(_lic(spark, sf_dir), "title_id", ["license_id"], ["license_id", "title_id"])
 
 
 @query("dedup_latest",
@@ -261,7 +261,7 @@ def q_dedup_most_complete(spark, sf_dir):
        "where title_id is not null) t where rn = 1 union all "
        "select license_id, title_id, window_end from licensing where title_id is null")
 def q_dedup_latest(spark, sf_dir):
-    return C.dedup_latest(_kept(spark, sf_dir), "title_id", ["license_id"]).select("license_id", "title_id", "window_end")
+    return C.dedup_latest(_lic(spark, sf_dir), "title_id", ["license_id"], columns=["license_id", "title_id", "window_end"])
 
 
 @query("deduplicate",
@@ -279,7 +279,7 @@ def q_deduplicate(spark, sf_dir):
        "(select count(*) from licensing where title_id is null) as removed from licensing")
 def q_dedup_report(spark, sf_dir):
     lic = _kept(spark, sf_dir)
-    return C.dedup_report(lic, C.dedup_most_complete(lic, "title_id", ["license_id"]), "title_id")
+    return C.dedup_report(lic, C.dedup_most_complete(lic, "title_id", ["license_id"], ["title_id"]), "title_id")
 
 
 # ---------------------------------------------------------------- encoding
@@ -411,7 +411,7 @@ def q_step_manifest(spark, sf_dir):
     clipped, rep_out = C.outliers_clip(imp, ["price", "units"])
     enc = E.one_hot(clipped, ["media"])
     scaled = C.scale_standard(enc, ["price"])
-    dedup = C.dedup_most_complete(scaled, "title_id", ["license_id"])
+    dedup = C.dedup_most_complete(scaled, "title_id", ["license_id"], ["title_id"])
     steps = [("post_impute_check", rep_imp),
              ("outliers", {"method": "Winsorize", "iqr_multiplier": 1.5,
                            "impact": [r.asDict() for r in rep_out.collect()]}),
