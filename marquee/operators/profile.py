@@ -62,14 +62,49 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool =
     return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
+#: error of the sketch that brackets a wanted rank (a share of the rows is 1 in so many), the share of the rows
+#: kept on either side of it, and the rows up to which a group is taken whole
+_SKETCH, _NEAR, _FEW = 1000, 0.002, 1000
+
+
 def group_quantiles(rows: DataFrame, group: str, value: str, probs: list[float]) -> dict:
     """{group: [q(p) for p in probs]}, exact, for a bounded number of groups of non-null values.
 
-    A histogram is written in ranges of (group, value). The ranges' totals, at most groups +
+    A sketch brackets each wanted rank; only values inside a bracket move one by one, those between brackets
+    move as counts. Small groups, and groups where a rank lies outside its bracket after all, are taken whole.
+    ``rows`` are read two or three times.
+    """
+    near = [min(1.0, max(0.0, p + d)) for p in probs for d in (-_NEAR, _NEAR)]
+    sketch = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, near, _SKETCH).alias("_at")).collect()
+    large = [r for r in sketch if r["_n"] > _FEW]
+    found = {}
+    if large:
+        kinds = [rows.schema[c].dataType.simpleString() for c in (group, value)]
+        ends = [f"_e{i}" for i in range(len(near))]
+        cuts = rows.sparkSession.createDataFrame([(r[group], *r["_at"]) for r in large],
+                                                 f"`{group}` {kinds[0]}, " + ", ".join(f"{e} {kinds[1]}" for e in ends))
+        v = F.col(value)
+        cell, inside = F.lit(0), F.lit(False)
+        for lo, hi in zip(ends[::2], ends[1::2]):
+            cell = cell + (v >= F.col(lo)).cast("int") + (v > F.col(hi)).cast("int")
+            inside = inside | ((v >= F.col(lo)) & (v <= F.col(hi)))
+        coarse = rows.join(F.broadcast(cuts), group).select(group, cell.alias("_cell"), F.when(inside, v).alias(value))
+        found = _order_statistics(coarse, group, value, probs)
+    whole = [r[group] for r in sketch if None in found.get(r[group], [None])]
+    if whole:
+        some = rows if len(whole) == len(sketch) else rows.where(F.col(group).isin(whole))
+        found.update(_order_statistics(some.withColumn("_cell", F.lit(0)), group, value, probs))
+    return found
+
+
+def _order_statistics(rows: DataFrame, group: str, value: str, probs: list[float]) -> dict:
+    """{group: [q(p) for p in probs]} of values ordered by (_cell, value); None where a rank falls on rows without a value.
+
+    A histogram is written in ranges of (group, _cell, value). The ranges' totals, at most groups +
     ranges numbers, tell which range holds a wanted order statistic; only those are read again.
     """
-    hist = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    h = in_ranges(hist, [group, value])
+    hist = rows.groupBy(group, "_cell", value).agg(F.count(F.lit(1)).alias("cnt"))
+    h = in_ranges(hist, [group, "_cell", value])
     sizes, parts = {}, {}
     for r in h.groupBy(group, "_b").agg(F.sum("cnt").alias("n")).orderBy("_b").collect():
         parts.setdefault(r[group], []).append((r["_b"], sizes.get(r[group], 0), r["n"]))
@@ -86,13 +121,16 @@ def group_quantiles(rows: DataFrame, group: str, value: str, probs: list[float])
         return {}
     kind = rows.schema[group].dataType.simpleString()
     asked = rows.sparkSession.createDataFrame(asked, f"`{group}` {kind}, _b int, _before long, _ks array<long>")
-    le = F.sum("cnt").over(Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    le = F.sum("cnt").over(Window.partitionBy(group, "_b").orderBy("_cell", value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # order statistic k (0-based) is the value whose count range [le-cnt, le-1] holds k
     hit = h.join(F.broadcast(asked), [group, "_b"]).withColumn("_le", le).select(
         group, value, "_before", F.explode(F.filter("_ks", lambda k: (F.col("_le") - F.col("cnt") <= k) & (k < F.col("_le")))).alias("_k"))
     at_rank = {(r[group], r["_before"] + r["_k"]): r[value] for r in hit.collect()}
-    return {g: [at_rank[(g, lo)] + (h - lo) * (at_rank[(g, hi)] - at_rank[(g, lo)]) for h, lo, hi in at]
-            for g, at in wanted.items()}
+
+    def between(g, h, lo, hi):
+        a, b = at_rank[(g, lo)], at_rank[(g, hi)]
+        return None if a is None or b is None else a + (h - lo) * (b - a)
+    return {g: [between(g, *x) for x in at] for g, at in wanted.items()}
 
 
 # ---------------------------------------------------------------- shape / missing

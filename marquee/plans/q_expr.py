@@ -159,7 +159,8 @@ _SEASON = "[0.8, 0.85, 1.0, 1.0, 1.05, 1.1, 1.15, 1.15, 1.1, 1.05, 1.0, 0.85]"
        "ln(1 + coalesce(units, 0.0)) / 10.0)), 0) as reference_price from x")
 def q_reference_price(spark, sf_dir):
     """Checked at whole currency units: exp/ln differ in the last bit between engines."""
-    return reference_price(tables(spark, sf_dir)["licensing"], places=0).select("license_id", "reference_price")
+    lic = tables(spark, sf_dir).stored("licensing", ["license_id", "territory", "window_start", "release_year", "units", "price"])
+    return reference_price(lic, places=0).select("license_id", "reference_price")
 
 
 @query("pct_rank_avg", "select license_id, round((rank() over (partition by territory order by price) + "

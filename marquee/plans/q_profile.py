@@ -268,4 +268,4 @@ def q_box_stats(spark, sf_dir):
        "count(*) filter (where not (v >= lf and v <= hf)) as fliers, count(*) as n from j "
        "group by month, q1, median, q3")
 def q_month_box(spark, sf_dir):
-    return rnd(P.month_box(_lic(spark, sf_dir), "window_start", "price"))
+    return rnd(P.month_box(tables(spark, sf_dir).stored("licensing", ["window_start", "price"]), "window_start", "price"))
