@@ -317,26 +317,32 @@ def round_keys(seed: int) -> list[int]:
     return [int(hashlib.md5(f"{seed}:{j}".encode()).hexdigest()[:8], 16) % _PRIME for j in range(_ROUNDS)]
 
 
-def with_image(df: DataFrame, i: str, n: int, keys: list[Column], out: str) -> DataFrame:
+def with_image(df: DataFrame, i: str, n: int, keys: list[Column], out: str, back: bool = False) -> DataFrame:
     """``out``: image of ``i`` (0 to n-1, n below 2**53) under a bijection of that range, keyed by ``round_keys``.
+    ``back``: the number whose image ``i`` is.
 
     A Feistel network over digits (low, high) of a grid just larger than n: each round adds
     a keyed function of one digit to the other, so it can be undone. An image outside the range is mapped
     again until it falls inside, which keeps the map one-to-one.
     """
     low, high = _grid(n)
+    order = list(enumerate(keys))[::-1] if back else list(enumerate(keys))
+
+    def moved(x: Column, y: Column, size: int) -> Column:
+        by = y * y % _PRIME
+        return (x + (size - by % size)) % size if back else (x + by) % size
 
     def digits(x: Column) -> tuple[Column, Column]:
         return x % low, ((x - x % low) / low).cast("long")
 
     def rounds(a: Column, b: Column):
         """The digits after each round."""
-        for j, key in enumerate(keys):
+        for j, key in order:
             y = ((b if j % 2 == 0 else a) + key) % _PRIME
             if j % 2 == 0:
-                a = (a + y * y % _PRIME) % low
+                a = moved(a, y, low)
             else:
-                b = (b + y * y % _PRIME) % high
+                b = moved(b, y, high)
             yield a, b
 
     def again(x: Column) -> Column:
@@ -344,10 +350,10 @@ def with_image(df: DataFrame, i: str, n: int, keys: list[Column], out: str) -> D
         return b * low + a
     a, b = digits(F.col(i))
     step = df.withColumns({"_a": a, "_b": b})
-    for j, key in enumerate(keys):         # a column a round: nothing is computed twice
+    for j, key in order:                   # a column a round: nothing is computed twice
         y = (F.col("_b" if j % 2 == 0 else "_a") + key) % _PRIME
         mine, size = ("_a", low) if j % 2 == 0 else ("_b", high)
-        step = step.withColumn("_y", y).withColumn(mine, (F.col(mine) + F.col("_y") * F.col("_y") % _PRIME) % size)
+        step = step.withColumn("_y", y).withColumn(mine, moved(F.col(mine), F.col("_y"), size))
     step = step.withColumn("_w", F.col("_b") * low + F.col("_a"))
     walk = F.aggregate(F.array_repeat(F.lit(0), _STEPS), F.col("_w"), lambda x, _: F.when(x < n, x).otherwise(again(x)))
     step = step.withColumn(out, F.when(F.col("_w") < n, F.col("_w")).otherwise(walk))
@@ -380,7 +386,8 @@ def permutation_importance(model, data: DataFrame, features: list[str], key: str
     """Mean drop in R2 when one feature is shuffled, over ``repeats`` shuffles.
 
     Rows are numbered in order of key and features. A shuffle is a keyed bijection of these
-    numbers: the row gets the feature of the row that its number maps to. All shuffles of all
+    numbers: the row gets the feature of the row that its number maps to. A row sends its features to
+    the rows that get them, so only numbers and single values move: all shuffles of all
     features are one equi-join on row numbers and one aggregate.
     """
     base = data.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col("label").cast("double").alias("label"))
@@ -395,16 +402,16 @@ def permutation_importance(model, data: DataFrame, features: list[str], key: str
         e = F.col("label") - F.col("prediction")
         return model.transform(va).groupBy(*by).agg(F.sum(e * e).alias("sse"))
     whole = sse(rows, []).first()["sse"]
-    trials = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(r).alias("_r"), F.array(*[F.lit(k).cast("long") for k in round_keys(seed + 1000 * j + r)]).alias("_k"))
-                       for j in range(len(features)) for r in range(repeats)])
-    asked = rows.withColumn("_x", F.explode(trials)).select(*features, "label", "_i", "_x.*")
-    asked = with_image(asked, "_i", n, [F.col("_k")[i] for i in range(_ROUNDS)], "_t").drop("_i", "_k")
-    donors = rows.select(F.col("_i").alias("_t"), *[F.col(f"`{f}`").alias(f"_d{j}") for j, f in enumerate(features)])
-    mixed = asked.join(donors, "_t")
-    mixed = mixed.withColumns({f: F.when(F.col("_j") == j, F.col(f"_d{j}")).otherwise(F.col(f"`{f}`")) for j, f in enumerate(features)})
+    trials = F.array(*[F.struct(F.lit(j * repeats + r).alias("_trial"), F.array(*[F.lit(k).cast("long") for k in round_keys(seed + 1000 * j + r)]).alias("_k"),
+                                F.col(f"`{f}`").alias("_given"))
+                       for j, f in enumerate(features) for r in range(repeats)])
+    given = rows.select("_i", F.explode(trials).alias("_x")).select("_i", "_x.*")
+    given = with_image(given, "_i", n, [F.col("_k")[i] for i in range(_ROUNDS)], "_to", back=True).select("_to", "_trial", "_given")
+    mixed = given.join(rows, F.col("_to") == F.col("_i")).withColumn("_j", F.floor(F.col("_trial") / repeats).cast("int"))
+    mixed = mixed.withColumns({f: F.when(F.col("_j") == j, F.col("_given")).otherwise(F.col(f"`{f}`")) for j, f in enumerate(features)})
     name = F.array(*[F.lit(f) for f in features])
     # R2 falls by (sse of the shuffle - sse) / sst
-    return (sse(mixed, ["_j", "_r"]).groupBy("_j").agg(F.avg((F.col("sse") - F.lit(whole)) / F.lit(sst)).alias("importance"))
+    return (sse(mixed, ["_j", "_trial"]).groupBy("_j").agg(F.avg((F.col("sse") - F.lit(whole)) / F.lit(sst)).alias("importance"))
             .select(name[F.col("_j")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature"))
 
 
