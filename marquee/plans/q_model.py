@@ -28,15 +28,13 @@ def _li(spark, sf_dir):
 def predictions_long(spark, sf_dir):
     li = _li(spark, sf_dir)
     tr, va = li.where(F.col("l_orderkey") % 5 != 0), li.where(F.col("l_orderkey") % 5 == 0)
-    parts = []
+    made = []
     for name, x in ONE.items():
         b, a = M.fit_ols_1d(tr, x, "y")
-        parts.append(va.select("row_id", F.lit(name).alias("model"), F.col("y").alias("y_true"),
-                               (F.lit(a) + F.lit(b) * F.col(x)).alias("y_pred")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        made.append(F.struct(F.lit(name).alias("model"), (F.lit(a) + F.lit(b) * F.col(x)).alias("y_pred")))
+    # the models' predictions of a row are made together, so that ensembles combine them before they move
+    out = va.select("row_id", F.col("y").alias("y_true"), F.explode(F.array(*made)).alias("p"))
+    return out.select("row_id", "p.model", "y_true", "p.y_pred")
 
 
 _PRED_CTE = (
