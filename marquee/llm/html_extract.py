@@ -3,25 +3,28 @@
 1. A page is cut into blocks: the text between block-level tags, character references
    decoded, white space turned into one space. Blocks inside menus, headers, footers,
    sidebars, notices, adverts, forms, comments and the like (by element, role, class or
-   id) are dropped, and so are scripts, styles and markup. Where a page marks its article
-   (``article``, ``main``), the blocks inside it are the candidates and are sure;
-   elsewhere all blocks left are candidates and unsure.
+   id) are dropped, and so are scripts, styles and markup. All blocks left are candidates;
+   those inside an ``article`` or ``main`` carry the number of that region, the innermost one.
 2. Pages are sorted by (host, path) and dealt to buckets by sampled splitters, so that
    neighbours in the path order of a host meet. A page is compared with the ``NEIGHBOURS``
    pages before and after it on its host, those first whose paths share the longer prefix.
-3. The lines of two pages are aligned by longest common subsequence. Shared lines are
-   template text: they are deleted, except where they are sure, and except where the two
+3. The lines of two pages are aligned by longest common subsequence, for every page. On pages
+   without regions, shared lines are template text: they are deleted, except where the two
    pages are copies (most of the larger text is shared): a copied article is no template.
    After a copy, or a page that has little but shared text, the next neighbour is asked.
    Where all neighbours look like copies, but at least two of them, at other paths, have text
    of their own as the page has, the lines that all of these share are template text.
+   On pages with regions, the alignment decides which regions are the page's own: a region that
+   two neighbours at other paths hold whole, and that are no copies of the page, is a teaser or
+   notice of the site. The own regions are returned whole. Where no region is the page's own, its
+   text outside of them that no neighbour shares is returned if it is the longer text, else all regions.
 
 Buckets are read in order, a few pages at a time, so a host with a third of all pages is
 spread over many buckets and none is held whole. Splitters depend on the pages alone; the
 pages at the edges of a bucket are also sent to its neighbours, so that the text of a page
 does not depend on the splitters.
 
-The alignment does not touch marked articles, because equal paragraphs of two articles
+The alignment deletes no single lines of a region, because equal paragraphs of two articles
 are no template, and the article is to be returned whole.
 
 Defined cases: null or empty html gives an empty text; a null or unparsable url has an
@@ -90,11 +93,20 @@ def _is_template(name: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
-    """(candidate blocks in page order, whether they are sure)."""
-    inside, outside = [], []
+    """(the blocks inside regions, or all candidates where there are none, in page order; whether there are regions)."""
+    lines, regions = marked_blocks(page)
+    inside = [x for x, r in zip(lines, regions) if r]
+    return (inside, True) if inside else (lines, False)
+
+
+def marked_blocks(page: str) -> tuple[list[str], list[int]]:
+    """(candidate blocks in page order, the number of the article or main each stands in, from 1; 0 outside of all)."""
+    lines: list[str] = []
+    regions: list[int] = []
     stack: list[tuple[str, bool, bool]] = []       # name, opens template text, opens an article
     opened: dict[str, int] = {}                    # how often a name is on the stack
-    dropped = articles = 0
+    articles: list[int] = []                       # numbers of the articles on the stack
+    dropped = found = 0
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -103,7 +115,19 @@ def blocks(page: str) -> tuple[list[str], bool]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                (inside if articles else outside).append(line)
+                lines.append(line)
+                regions.append(articles[-1] if articles else 0)
+
+    def leave(name: str) -> None:
+        nonlocal dropped
+        while stack:
+            x = stack.pop()
+            opened[x[0]] -= 1
+            dropped -= x[1]
+            if x[2]:
+                articles.pop()
+            if x[0] == name:
+                break
 
     while at < n:
         m = _TAG.search(page, at)
@@ -121,13 +145,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
             if name in _BLOCK:
                 close()
             if opened.get(name):
-                while stack:
-                    x = stack.pop()
-                    opened[x[0]] -= 1
-                    dropped -= x[1]
-                    articles -= x[2]
-                    if x[0] == name:
-                        break
+                leave(name)
             continue
         if name in _BLOCK:
             close()
@@ -137,27 +155,23 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if name in _VOID or raw_attrs.endswith("/") and name not in _BLOCK:
             continue
         if name == "p" and stack and any(x[0] == "p" for x in stack[-3:]):
-            while stack:
-                x = stack.pop()
-                opened[x[0]] -= 1
-                dropped -= x[1]
-                articles -= x[2]
-                if x[0] == "p":
-                    break
+            leave("p")
         attrs = _attributes(raw_attrs) if raw_attrs.strip() else {}
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        drop = _is_template(name, attrs, articles > 0)
+        drop = _is_template(name, attrs, bool(articles))
         article = not drop and not dropped and (name in ("article", "main") or attrs.get("role") == "main"
                                                 or attrs.get("itemprop") == "articlebody")
         stack.append((name, drop, article))
         opened[name] = opened.get(name, 0) + 1
         dropped += drop
-        articles += article
+        if article:
+            found += 1
+            articles.append(found)
     close()
-    return (inside, True) if inside else (outside, False)
+    return lines, regions
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -257,6 +271,28 @@ def without_shared(path: str, lines: list[str], others: list[tuple[str, list[str
     return [x for i, x in enumerate(lines) if i not in gone]
 
 
+def own_text(path: str, lines: list[str], regions: list[int], others: list[tuple[str, list[str], list[int]]]) -> list[str]:
+    """Lines of a page's own text (others: path, lines, regions; nearest first)."""
+    inside = [x for x, r in zip(lines, regions) if r]
+    if not inside:
+        return without_shared(path, lines, [(p, [x for x, r in zip(o, rs) if r] or o) for p, o, rs in others])
+    total = sum(map(len, lines))
+    gone: set[int] = set()
+    held: dict[int, set[str]] = {r: set() for r in regions if r}       # region -> paths of the pages that hold it whole
+    for place_of, other, _ in others:
+        shared = {i for i, _ in common_subsequence(lines, other)} if place_of != path else set()
+        if not shared or sum(len(lines[i]) for i in shared) >= COPY_SHARE * max(total, sum(map(len, other))):
+            continue
+        gone |= shared
+        for r in held.keys() - {r for i, r in enumerate(regions) if i not in shared}:
+            held[r].add(place_of)
+    own = {r for r, paths in held.items() if len(paths) < 2}
+    if own:
+        return [x for x, r in zip(lines, regions) if r in own]
+    rest = [x for i, (x, r) in enumerate(zip(lines, regions)) if not r and i not in gone]
+    return rest if sum(map(len, rest)) > sum(map(len, inside)) else inside
+
+
 def neighbourhoods(rows: Iterator[tuple], k: int) -> Iterator[tuple]:
     """Each row with the k rows before it and the k rows after it."""
     before: deque = deque(maxlen=k)
@@ -322,7 +358,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     cuts = splitters(pages, id_col, url_col)
     id_type = pages.schema[id_col].dataType.simpleString()
     id_type = id_type if id_type in ("bigint", "int") else "string"
-    names = ["bucket", "host", "path", "_id", "url", "lines", "sure", "guest"]
+    names = ["bucket", "host", "path", "_id", "url", "lines", "regions", "guest"]
     light = pages.select(F.col(id_col).cast(id_type).alias("_id"), F.col(url_col).cast("string").alias("url"),
                          F.col(html_col).cast("string").alias("html"))
     also = guests(light.select("_id", "url"), cuts, id_type)
@@ -333,7 +369,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 batch = whole.slice(a, 500)
                 urls = batch.column(1).to_pylist()
                 at = [place(u) for u in urls]
-                found = [blocks(h or "") for h in batch.column(2).to_pylist()]
+                found = [marked_blocks(h or "") for h in batch.column(2).to_pylist()]
                 to = [(i, bisect.bisect_right(cuts, p), False) for i, p in enumerate(at)]
                 if also:
                     ids = batch.column(0).to_pylist()
@@ -343,7 +379,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     [pa.array([b for _, b, _ in to], pa.int32()), pa.array([at[i][0] for i in rows], pa.string()),
                      pa.array([at[i][1] for i in rows], pa.string()), batch.column(0).take(pa.array(rows, pa.int64())),
                      pa.array([urls[i] for i in rows], pa.string()), pa.array([found[i][0] for i in rows], pa.list_(pa.string())),
-                     pa.array([found[i][1] for i in rows], pa.bool_()), pa.array([g for _, _, g in to], pa.bool_())], names=names)
+                     pa.array([found[i][1] for i in rows], pa.list_(pa.int32())), pa.array([g for _, _, g in to], pa.bool_())], names=names)
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -354,9 +390,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for here, before, after in neighbourhoods(rows(), NEIGHBOURS):
             if here[6]:
                 continue
-            lines = here[4]
-            if not here[5]:
-                lines = without_shared(here[1], lines, [(x[1], x[4]) for x in nearest(here, before, after)])
+            lines = own_text(here[1], here[4], here[5], [(x[1], x[4], x[5]) for x in nearest(here, before, after)])
             out.append((here[2], here[3], "\n".join(lines)))
             if len(out) >= 500:
                 yield _batch(out, types)
@@ -367,9 +401,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
     types = [("_id", arrow), ("url", pa.string()), ("text", pa.string())]
     parsed = light.mapInArrow(parse, f"bucket int, host string, path string, _id {id_type}, url string, "
-                                     "lines array<string>, sure boolean, guest boolean")
+                                     "lines array<string>, regions array<int>, guest boolean")
     dealt = parsed.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("host", "path", "_id", "url")
-    return dealt.select("host", "path", "_id", "url", "lines", "sure", "guest").mapInArrow(
+    return dealt.select("host", "path", "_id", "url", "lines", "regions", "guest").mapInArrow(
         difference, f"_id {id_type}, url string, text string")
 
 
