@@ -17,6 +17,9 @@ Scale notes
 * Candidates are read once: the roll-up by (year, region, votes) is written, and
   the coarser ones that null years and unmapped territories need are rolled up
   from it. Windows run over a block's distinct (year, region, votes), not its titles.
+* Most licence ids stand in one row, and that row alone decides their mapping. ``split_by_licence`` finds the ids
+  that do not (8 bytes a row move) and linkage maps the other rows where they stand; rows of repeated or null ids
+  are grouped and joined by licence.
 * ``title_similarity_join`` finds pairs by shared segments, not by comparing all
   titles of a year.
 """
@@ -49,6 +52,8 @@ class LinkageConfig:
         "meta_year_region_votes": 2, "fuzzy_title_norm_year": 1, "no_match": 0})
 
 
+REPEATED_IDS = 1_000_000     # hashes of repeated licence ids that are sent to every task, 8 bytes each
+
 META_METHOD = "meta_year+region+votes"
 MAPPING_COLUMNS = ["license_id", "title_id", "method", "match_score"]
 
@@ -97,11 +102,30 @@ def candidate_universe(core: DataFrame, akas: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- id mapping
 
-def id_entity_map(base: DataFrame, core: DataFrame | None = None, mode: str = "intended") -> DataFrame:
+def split_by_licence(base: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows whose licence id stands in no other row, rows of repeated and null ids); None for a part without rows.
+
+    ``base`` is a written table, as it is read up to three times. Ids are counted by a hash: rows of two ids with the same hash count
+    as repeated. With more than ``REPEATED_IDS`` such hashes, all rows count as repeated.
+    """
+    licence = F.xxhash64("license_id")
+    rows = F.sum(F.when(F.col("license_id").isNull(), 2).otherwise(1))      # a null id is never a single one
+    repeated = save_table(base.groupBy(licence.alias("_licence")).agg(rows.alias("n")).where("n > 1").select("_licence"), "repeated")
+    n = repeated.count()
+    if n == 0:
+        return base, None
+    if n > REPEATED_IDS:
+        return None, base
+    same = licence == F.col("_licence")
+    return base.join(F.broadcast(repeated), same, "left_anti"), base.join(F.broadcast(repeated), same, "left_semi")
+
+
+def id_entity_map(base: DataFrame, core: DataFrame | None = None, mode: str = "intended", carry: list[str] | None = None) -> DataFrame:
     """Licences carrying a title id -> (license_id, title_id, 'id_exact', 1.0).
 
     ``intended`` keeps only ids present in the catalogue (left-semi join);
     ``parity`` keeps every non-null id, as the reference's self-keyed left merge does.
+    ``carry``: licences stand in one row each, so rows are distinct as they are, and these columns come along.
     """
     require_columns(base, ["license_id", "title_id"], "base")
     hits = base.where(F.col("title_id").isNotNull())
@@ -109,8 +133,8 @@ def id_entity_map(base: DataFrame, core: DataFrame | None = None, mode: str = "i
         if core is None:
             raise ValueError("intended id mapping needs the catalogue")
         hits = hits.join(core.select("title_id"), "title_id", "left_semi")
-    return (hits.select("license_id", "title_id").distinct()
-            .withColumns({"method": F.lit("id_exact"), "match_score": F.lit(1.0)}))
+    found = hits.select("license_id", "title_id").distinct() if carry is None else hits.select("license_id", "title_id", *carry)
+    return (found.withColumns({"method": F.lit("id_exact"), "match_score": F.lit(1.0)}))
 
 
 def unmatched(base: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -131,19 +155,23 @@ def block_keys(rows: DataFrame, cfg: LinkageConfig) -> DataFrame:
                        _iso2(F.col("territory"), cfg).alias("k_iso2")).distinct()
 
 
-def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
+def candidate_rollup(cand: DataFrame) -> DataFrame:
+    """Candidates by (year, region, votes) with their count and least title id, written once."""
+    c = cand.select(F.col("releaseYear").cast("bigint").alias("c_year"),
+                    F.col("region").alias("c_region"),
+                    F.col("numVotes").cast("bigint").alias("c_votes"), "title_id")
+    return save_table(c.groupBy("c_year", "c_region", "c_votes").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id")), "candidates")
+
+
+def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig, rollup: DataFrame | None = None):
     """Best candidate per block key: (k_year, k_iso2, best_title_id, meta_score).
 
-    Keys whose block is empty get no row.
+    Keys whose block is empty get no row. ``rollup``: the candidates' roll-up where it is written already.
     """
     n = cfg.contingency_year
-    votes = F.col("numVotes")
-    c = cand.select(F.col("releaseYear").cast("bigint").alias("c_year"),
-                    F.col("region").alias("c_region"),
-                    votes.cast("bigint").alias("c_votes"), "title_id")
     # candidate roll-ups: every block reads one of them through an equi-join
-    lattice = save_table(c.groupBy("c_year", "c_region", "c_votes").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("title_id").alias("best_id")), "candidates")
+    lattice = candidate_rollup(cand) if rollup is None else rollup
     by_year_region = lattice.where(F.col("c_year").isNotNull())
 
     kb = save_table(keys, "keys")     # read by every branch below; its size is known to the planner
@@ -213,20 +241,25 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig):
 
 
 def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = LinkageConfig(),
-                     snapshot: bool = True) -> DataFrame:
-    """One mapping row per input row: best metadata match at or above the threshold, else no_match."""
+                     snapshot: bool = True, rollup: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One mapping row per input row: best metadata match at or above the threshold, else no_match.
+
+    ``carry``: columns of the rows that come along; ``rollup``: see ``score_blocks``.
+    """
+    carry = carry or []
     require_columns(rows, ["license_id", "release_year", "territory"], "base")
     require_columns(cand, ["title_id", "releaseYear", "numVotes", "region"], "cand")
-    # the rows are read for their keys and again for the winners: three narrow columns are written once
+    # the rows are read for their keys and again for the winners: their narrow columns are written once
     keyed = save_table(rows.select("license_id", F.col("release_year").cast("bigint").alias("k_year"),
-                                   _iso2(F.col("territory"), cfg).alias("k_iso2")), "keyed")
-    winners = score_blocks(keyed.select("k_year", "k_iso2").distinct(), cand, cfg)
+                                   _iso2(F.col("territory"), cfg).alias("k_iso2"), *carry), "keyed")
+    # one row a block: written, so that the planner knows that the rows need not move to it
+    winners = save_table(score_blocks(keyed.select("k_year", "k_iso2").distinct(), cand, cfg, rollup), "winners")
     joined = keyed.join(winners,
                         keyed.k_year.eqNullSafe(winners.k_year) & keyed.k_iso2.eqNullSafe(winners.k_iso2),
                         "left")
     ok = F.col("meta_score") >= F.lit(cfg.min_similarity_score)
     out = joined.select(
-        "license_id",
+        "license_id", *carry,
         F.when(ok, F.col("best_title_id")).alias("title_id"),
         F.when(ok, F.lit(META_METHOD)).otherwise(F.lit("no_match")).alias("method"),
         F.when(ok, F.col("meta_score")).otherwise(F.lit(0.0)).alias("match_score"))
@@ -240,11 +273,20 @@ def linkage_columns(base: DataFrame) -> DataFrame:
     return save_table(base.select("license_id", "title_id", "release_year", "territory"), "licences")
 
 
-def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame,
-                   cfg: LinkageConfig = LinkageConfig(), mode: str = "intended", stored: bool = False) -> DataFrame:
-    """Id map UNION metadata map of the rows the id map left. ``stored``: the base is a written table already."""
-    base = base.select("license_id", "title_id", "release_year", "territory") if stored else linkage_columns(base)
-    idm = save_table(id_entity_map(base, core, mode), "matched")      # read for the union and for what it leaves
+def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame, cfg: LinkageConfig = LinkageConfig(), mode: str = "intended",
+                   stored: bool = False, rollup: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Id map UNION metadata map of the rows the id map left. ``stored``: the base is a written table already.
+
+    ``carry``: each licence of the base stands in one row and none is null. Then no row moves by its licence,
+    and these columns come along. ``rollup``: see ``score_blocks``.
+    """
+    single = carry is not None
+    if single:
+        base = base.select("license_id", *dict.fromkeys(["title_id", "release_year", "territory", *carry]))
+    else:
+        base = base.select("license_id", "title_id", "release_year", "territory") if stored else linkage_columns(base)
+    idm = id_entity_map(base, core, mode, carry)
+    idm = idm if single else save_table(idm, "matched")      # read for the union and for what it leaves
     # a row that matched by itself is not among the rest; only the others move to be compared with the map
     own = F.col("title_id").isNotNull() & F.col("license_id").isNotNull()
     if mode == "intended":
@@ -252,8 +294,8 @@ def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame,
         others = base.join(known, (F.col("title_id") == F.col("_known")) & F.col("license_id").isNotNull(), "left_anti")
     else:
         others = base.where(~own)
-    rest = unmatched(others, idm)
-    er = resolve_entities(rest, cand, cfg)
+    rest = others if single else unmatched(others, idm)
+    er = resolve_entities(rest, cand, cfg, rollup=rollup, carry=carry)
     return idm.unionByName(er, allowMissingColumns=True)
 
 

@@ -38,6 +38,30 @@ def prepare_base(base: DataFrame) -> DataFrame:
     return base.withColumn("title_norm", normalize_title("title"))
 
 
+def _linked(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig, mode: str, mapping: DataFrame | None, stored: bool,
+            rollup: DataFrame | None = None) -> DataFrame:
+    """base LEFT JOIN the best mapping of its licence, with the title id that reaches the catalogue."""
+    base = prepare_base(base) if "title_norm" not in base.columns else base
+    emap = mapping if mapping is not None else L.entity_mapping(base, cat.core, cat.cand, cfg, mode, stored, rollup)
+    ranked = L.rank_entity_map(emap.select(*L.MAPPING_COLUMNS), cfg, mode)
+    if mode == "parity":
+        return base.join(ranked.select("license_id", "method", "match_score"), "license_id", "left")
+    m = ranked.select("license_id", "method", "match_score", F.col("title_id").alias("_mapped_id"))
+    return (base.join(m, "license_id", "left")
+            .withColumn("title_id", F.coalesce(F.col("_mapped_id"), F.col("title_id")))
+            .drop("_mapped_id"))
+
+
+def _linked_singly(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig, mode: str, rollup: DataFrame) -> DataFrame:
+    """``_linked`` for rows that are the only ones of their licence: a row's one mapping is its best, and carries the row."""
+    rest = [c for c in base.columns if c not in ("license_id", "title_id")]
+    emap = L.entity_mapping(base.withColumn("_base_id", F.col("title_id")), cat.core, cat.cand, cfg, mode, True, rollup, ["_base_id", *rest])
+    title = F.col("_base_id") if mode == "parity" else F.coalesce(F.col("title_id"), F.col("_base_id"))
+    out = emap.withColumn("title_id", title).select(*base.columns, "method", "match_score")
+    out = prepare_base(out) if "title_norm" not in base.columns else out
+    return out.select("license_id", *[c for c in out.columns if c not in ("license_id", "method", "match_score")], "method", "match_score")
+
+
 def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.LinkageConfig(),
                    mode: str = "intended", mapping: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """base LEFT JOIN best mapping (method, score) LEFT JOIN catalogue attributes + features.
@@ -46,20 +70,18 @@ def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.Lin
     catalogue (as in the reference).  ``intended``: the mapped id wins when present.
     Joins are left joins on equality keys; AQE picks broadcast vs sort-merge from
     runtime sizes and splits skewed licence partitions. ``stored``: the base is a written table,
-    so linkage reads it as it is.
+    so linkage reads it as it is, and rows that are the only ones of their licence are mapped where they stand.
     """
-    base = prepare_base(base) if "title_norm" not in base.columns else base
-    emap = mapping if mapping is not None else L.entity_mapping(base, cat.core, cat.cand, cfg, mode, stored)
-    ranked = L.rank_entity_map(emap.select(*L.MAPPING_COLUMNS), cfg, mode)
+    if mapping is None and stored:
+        rollup = L.candidate_rollup(cat.cand)
+        single, several = L.split_by_licence(base)
+        parts = [_linked(several, cat, cfg, mode, None, stored, rollup)] if several is not None else []
+        parts += [_linked_singly(single, cat, cfg, mode, rollup)] if single is not None else []
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    else:
+        out = _linked(base, cat, cfg, mode, mapping, stored)
     imdb = cat.core.select("title_id", "primaryTitle", "primary_title_norm", "releaseYear",
                            "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"]).withColumn("_known", F.lit(True))
-    if mode == "parity":
-        out = base.join(ranked.select("license_id", "method", "match_score"), "license_id", "left")
-    else:
-        m = ranked.select("license_id", "method", "match_score", F.col("title_id").alias("_mapped_id"))
-        out = (base.join(m, "license_id", "left")
-               .withColumn("title_id", F.coalesce(F.col("_mapped_id"), F.col("title_id")))
-               .drop("_mapped_id"))
     out = out.join(imdb, "title_id", "left")
     out = out.withColumns({
         "title_final": F.coalesce(F.col("primaryTitle"), F.col("title")),
