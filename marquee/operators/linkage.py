@@ -19,7 +19,8 @@ Scale notes
   from it. Windows run over a block's distinct (year, region, votes), not its titles.
 * Most licence ids stand in one row, and that row alone decides their mapping. ``split_by_licence`` finds the ids
   that do not (8 bytes a row move) and linkage maps the other rows where they stand; rows of repeated or null ids
-  are grouped and joined by licence.
+  are grouped and joined by licence. The single rows get their title's columns as the id map finds them, and a block's
+  winner brings its own, so rows do not move by title again for the catalogue's columns.
 * ``title_similarity_join`` finds pairs by shared segments, not by comparing all
   titles of a year.
 """
@@ -120,23 +121,33 @@ def split_by_licence(base: DataFrame) -> tuple[DataFrame | None, DataFrame | Non
     return base.join(F.broadcast(repeated), same, "left_anti"), base.join(F.broadcast(repeated), same, "left_semi")
 
 
-def id_entity_map(base: DataFrame, core: DataFrame | None = None, mode: str = "intended", carry: list[str] | None = None) -> DataFrame:
+def id_entity_map(base: DataFrame, core: DataFrame | None = None, mode: str = "intended", carry: list[str] | None = None,
+                  titles: DataFrame | None = None) -> DataFrame:
     """Licences carrying a title id -> (license_id, title_id, 'id_exact', 1.0).
 
     ``intended`` keeps only ids present in the catalogue (left-semi join);
     ``parity`` keeps every non-null id, as the reference's self-keyed left merge does.
     ``carry``: licences stand in one row each, so rows are distinct as they are, and these columns come along.
+    ``titles``: the catalogue with one row a title; with ``carry``, its columns come along, too.
     """
     require_columns(base, ["license_id", "title_id"], "base")
     hits = base.where(F.col("title_id").isNotNull())
     if mode == "intended":
         if core is None:
             raise ValueError("intended id mapping needs the catalogue")
-        hits = hits.join(core.select("title_id"), "title_id", "left_semi")
-    found = hits.select("license_id", "title_id").distinct() if carry is None else hits.select("license_id", "title_id", *carry)
+        if titles is None:
+            hits = hits.join(core.select("title_id"), "title_id", "left_semi")
+    if titles is not None:
+        hits = hits.join(titles, "title_id", "inner" if mode == "intended" else "left")
+    along = _title_columns(titles)
+    found = hits.select("license_id", "title_id").distinct() if carry is None else hits.select("license_id", "title_id", *carry, *along)
     return (found.withColumns({"method": F.lit("id_exact"), "match_score": F.lit(1.0)}))
 
 
+def _title_columns(titles: DataFrame | None) -> list[str]:
+    return [c for c in titles.columns if c != "title_id"] if titles is not None else []
+
+
 def unmatched(base: DataFrame, id_map: DataFrame) -> DataFrame:
     """Base rows whose licence has no id mapping."""
     return base.join(id_map.select("license_id"), "license_id", "left_anti")
@@ -241,19 +252,28 @@ def score_blocks(keys: DataFrame, cand: DataFrame, cfg: LinkageConfig, rollup: D
 
 
 def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = LinkageConfig(),
-                     snapshot: bool = True, rollup: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+                     snapshot: bool = True, rollup: DataFrame | None = None, carry: list[str] | None = None,
+                     keys: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """One mapping row per input row: best metadata match at or above the threshold, else no_match.
 
-    ``carry``: columns of the rows that come along; ``rollup``: see ``score_blocks``.
+    ``carry``: columns of the rows that come along; ``rollup``: see ``score_blocks``. ``keys``: block keys, those of
+    the rows among them, so that the rows need not be read for them. ``titles``: one row a title; the columns of
+    a matched one come along.
     """
     carry = carry or []
     require_columns(rows, ["license_id", "release_year", "territory"], "base")
     require_columns(cand, ["title_id", "releaseYear", "numVotes", "region"], "cand")
-    # the rows are read for their keys and again for the winners: their narrow columns are written once
-    keyed = save_table(rows.select("license_id", F.col("release_year").cast("bigint").alias("k_year"),
-                                   _iso2(F.col("territory"), cfg).alias("k_iso2"), *carry), "keyed")
+    keyed = rows.select("license_id", F.col("release_year").cast("bigint").alias("k_year"), _iso2(F.col("territory"), cfg).alias("k_iso2"), *carry)
+    if keys is None:
+        # the rows are read for their keys and again for the winners: their narrow columns are written once
+        keyed = save_table(keyed, "keyed")
+        keys = keyed.select("k_year", "k_iso2").distinct()
     # one row a block: written, so that the planner knows that the rows need not move to it
-    winners = save_table(score_blocks(keyed.select("k_year", "k_iso2").distinct(), cand, cfg, rollup), "winners")
+    winners = save_table(score_blocks(keys, cand, cfg, rollup), "winners")
+    if titles is not None:
+        won = winners.select(F.col("best_title_id").alias("title_id"))
+        named = titles.join(F.broadcast(won), "title_id", "left_semi").withColumnRenamed("title_id", "best_title_id")
+        winners = save_table(winners.join(named, "best_title_id", "left"), "winners")
     joined = keyed.join(winners,
                         keyed.k_year.eqNullSafe(winners.k_year) & keyed.k_iso2.eqNullSafe(winners.k_iso2),
                         "left")
@@ -262,7 +282,8 @@ def resolve_entities(rows: DataFrame, cand: DataFrame, cfg: LinkageConfig = Link
         "license_id", *carry,
         F.when(ok, F.col("best_title_id")).alias("title_id"),
         F.when(ok, F.lit(META_METHOD)).otherwise(F.lit("no_match")).alias("method"),
-        F.when(ok, F.col("meta_score")).otherwise(F.lit(0.0)).alias("match_score"))
+        F.when(ok, F.col("meta_score")).otherwise(F.lit(0.0)).alias("match_score"),
+        *[F.when(ok, F.col(c)).alias(c) for c in _title_columns(titles)])
     if snapshot:
         out = out.withColumn("snapshot_date", F.date_format(F.current_date(), "yyyy-MM-dd"))
     return out
@@ -274,19 +295,23 @@ def linkage_columns(base: DataFrame) -> DataFrame:
 
 
 def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame, cfg: LinkageConfig = LinkageConfig(), mode: str = "intended",
-                   stored: bool = False, rollup: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+                   stored: bool = False, rollup: DataFrame | None = None, carry: list[str] | None = None,
+                   titles: DataFrame | None = None) -> DataFrame:
     """Id map UNION metadata map of the rows the id map left. ``stored``: the base is a written table already.
 
     ``carry``: each licence of the base stands in one row and none is null. Then no row moves by its licence,
-    and these columns come along. ``rollup``: see ``score_blocks``.
+    and these columns come along, as do those of the mapped title in ``titles`` (a written catalogue with one row
+    a title). ``rollup``: see ``score_blocks``.
     """
-    single = carry is not None
-    if single:
+    if carry is not None:
         base = base.select("license_id", *dict.fromkeys(["title_id", "release_year", "territory", *carry]))
-    else:
-        base = base.select("license_id", "title_id", "release_year", "territory") if stored else linkage_columns(base)
-    idm = id_entity_map(base, core, mode, carry)
-    idm = idm if single else save_table(idm, "matched")      # read for the union and for what it leaves
+        idm = id_entity_map(base, core, mode, carry, titles)
+        known = core if titles is None else titles
+        rest = base.join(known.select("title_id"), "title_id", "left_anti") if mode == "intended" else base.where(F.col("title_id").isNull())
+        er = resolve_entities(rest, cand, cfg, rollup=rollup, carry=carry, keys=block_keys(base, cfg), titles=titles)
+        return idm.unionByName(er, allowMissingColumns=True)
+    base = base.select("license_id", "title_id", "release_year", "territory") if stored else linkage_columns(base)
+    idm = save_table(id_entity_map(base, core, mode), "matched")      # read for the union and for what it leaves
     # a row that matched by itself is not among the rest; only the others move to be compared with the map
     own = F.col("title_id").isNotNull() & F.col("license_id").isNotNull()
     if mode == "intended":
@@ -294,8 +319,7 @@ def entity_mapping(base: DataFrame, core: DataFrame, cand: DataFrame, cfg: Linka
         others = base.join(known, (F.col("title_id") == F.col("_known")) & F.col("license_id").isNotNull(), "left_anti")
     else:
         others = base.where(~own)
-    rest = others if single else unmatched(others, idm)
-    er = resolve_entities(rest, cand, cfg, rollup=rollup, carry=carry)
+    er = resolve_entities(unmatched(others, idm), cand, cfg, rollup=rollup)
     return idm.unionByName(er, allowMissingColumns=True)
 
 

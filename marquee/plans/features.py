@@ -52,14 +52,22 @@ def _linked(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig, mode: str, ma
             .drop("_mapped_id"))
 
 
-def _linked_singly(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig, mode: str, rollup: DataFrame) -> DataFrame:
-    """``_linked`` for rows that are the only ones of their licence: a row's one mapping is its best, and carries the row."""
+def _linked_singly(base: DataFrame, titles: DataFrame, cat: Catalogue, cfg: L.LinkageConfig, mode: str, rollup: DataFrame) -> DataFrame:
+    """``_linked`` and joined with ``titles``, for rows that are the only ones of their licence.
+
+    A row's one mapping is its best, and carries the row and the title's columns. In ``parity`` mode a mapped title id
+    does not reach the catalogue, so only the row's own brings columns.
+    """
     rest = [c for c in base.columns if c not in ("license_id", "title_id")]
-    emap = L.entity_mapping(base.withColumn("_base_id", F.col("title_id")), cat.core, cat.cand, cfg, mode, True, rollup, ["_base_id", *rest])
-    title = F.col("_base_id") if mode == "parity" else F.coalesce(F.col("title_id"), F.col("_base_id"))
-    out = emap.withColumn("title_id", title).select(*base.columns, "method", "match_score")
+    found = [c for c in titles.columns if c != "title_id"]
+    emap = L.entity_mapping(base.withColumn("_base_id", F.col("title_id")), cat.core, cat.cand, cfg, mode, True, rollup, ["_base_id", *rest], titles)
+    own = F.col("_base_id")
+    if mode == "parity":
+        emap = emap.withColumns({"title_id": own, **{c: F.when(own.isNotNull(), F.col(c)) for c in found}})
+    out = emap.withColumn("title_id", F.coalesce("title_id", own)).select(*base.columns, "method", "match_score", *found)
     out = prepare_base(out) if "title_norm" not in base.columns else out
-    return out.select("license_id", *[c for c in out.columns if c not in ("license_id", "method", "match_score")], "method", "match_score")
+    last = ["method", "match_score", *found]
+    return out.select("title_id", "license_id", *[c for c in out.columns if c not in ("license_id", "title_id", *last)], *last)
 
 
 def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.LinkageConfig(),
@@ -70,19 +78,20 @@ def feature_master(base: DataFrame, cat: Catalogue, cfg: L.LinkageConfig = L.Lin
     catalogue (as in the reference).  ``intended``: the mapped id wins when present.
     Joins are left joins on equality keys; AQE picks broadcast vs sort-merge from
     runtime sizes and splits skewed licence partitions. ``stored``: the base is a written table,
-    so linkage reads it as it is, and rows that are the only ones of their licence are mapped where they stand.
+    so linkage reads it as it is, and rows that are the only ones of their licence are mapped where they stand
+    and move by title once, for the id map and the catalogue's columns together.
     """
+    titles = cat.core.select("title_id", "primaryTitle", "primary_title_norm", "releaseYear",
+                             "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"]).withColumn("_known", F.lit(True))
     if mapping is None and stored:
+        titles = save_table(titles, "titles")     # read by the id map, for the rows it leaves and for the winners
         rollup = L.candidate_rollup(cat.cand)
         single, several = L.split_by_licence(base)
-        parts = [_linked(several, cat, cfg, mode, None, stored, rollup)] if several is not None else []
-        parts += [_linked_singly(single, cat, cfg, mode, rollup)] if single is not None else []
+        parts = [_linked(several, cat, cfg, mode, None, stored, rollup).join(titles, "title_id", "left")] if several is not None else []
+        parts += [_linked_singly(single, titles, cat, cfg, mode, rollup)] if single is not None else []
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     else:
-        out = _linked(base, cat, cfg, mode, mapping, stored)
-    imdb = cat.core.select("title_id", "primaryTitle", "primary_title_norm", "releaseYear",
-                           "titleType", "averageRating", "numVotes").dropDuplicates(["title_id"]).withColumn("_known", F.lit(True))
-    out = out.join(imdb, "title_id", "left")
+        out = _linked(base, cat, cfg, mode, mapping, stored).join(titles, "title_id", "left")
     out = out.withColumns({
         "title_final": F.coalesce(F.col("primaryTitle"), F.col("title")),
         "log1p_numVotes": F.log1p(F.coalesce(F.col("numVotes").cast("double"), F.lit(0.0))),
