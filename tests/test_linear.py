@@ -109,6 +109,18 @@ def test_dense_index_and_importance(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_importance_never_broadcasts_the_rows(spark):
+    # a small file of all rows still takes too much of the driver: the join merges, whatever its size
+    x, y = data(300, 2)
+    frame_, names = frame(spark, x, y)
+    m = G.solve(G.total(G.grams(frame_, names, "y")), "linear")
+    rows = M.permutation_importance(m, frame_.withColumn("label", F.col("y")), names, "id")
+    for _ in range(2):                          # as planned, and as run
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert len(rows.collect()) == 2
+
+
 def test_splits_do_not_depend_on_the_engine(spark):
     import hashlib
     df = spark.createDataFrame([(f"k{i}", i) for i in range(200)] + [(None, 1)], "a string, b long")
