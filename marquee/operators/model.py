@@ -406,9 +406,13 @@ def permutation_importance(model, data: DataFrame, features: list[str], key: str
                                 F.col(f"`{f}`").alias("_given"))
                        for j, f in enumerate(features) for r in range(repeats)])
     given = rows.select("_i", F.explode(trials).alias("_x")).select("_i", "_x.*")
-    given = with_image(given, "_i", n, [F.col("_k")[i] for i in range(_ROUNDS)], "_to", back=True).select("_to", "_trial", "_given")
+    given = with_image(given, "_i", n, [F.col("_k")[i] for i in range(_ROUNDS)], "_to", back=True)
+    # row and trial in one number, so that rows are short; never null, so that no filter of the join makes the image again
+    count = len(features) * repeats
+    given = given.select(F.coalesce(F.col("_to") * count + F.col("_trial"), F.lit(-count)).alias("_place"), "_given")
     # merged, not broadcast: the file of all rows is a small part of what they take in a driver's memory
-    mixed = given.join(rows.hint("merge"), F.col("_to") == F.col("_i")).withColumn("_j", F.floor(F.col("_trial") / repeats).cast("int"))
+    mixed = given.join(rows.hint("merge"), F.expr(f"_place div {count}") == F.col("_i")).withColumn("_trial", (F.col("_place") % count).cast("int"))
+    mixed = mixed.withColumn("_j", F.floor(F.col("_trial") / repeats).cast("int"))
     mixed = mixed.withColumns({f: F.when(F.col("_j") == j, F.col("_given")).otherwise(F.col(f"`{f}`")) for j, f in enumerate(features)})
     name = F.array(*[F.lit(f) for f in features])
     # R2 falls by (sse of the shuffle - sse) / sst
